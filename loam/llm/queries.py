@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import packing, sharding
+from loam.llm import packing, pii, sharding
 from loam.llm.common import documents
 
 
@@ -18,8 +18,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=2048)
 
 
+def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_interleaved_shards, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_interleaved_shards, op8_best_fit_packing, op10_weak_supervision_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
