@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import packing, pii, sharding
-from loam.llm.common import documents
+from loam.llm import packing, pii, quality, sharding
+from loam.llm.common import documents, table
 
 
 def op1_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(documents(spark, sf_dir), shards=40)
 
 
+def op2_boosted_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=2048)
 
@@ -23,7 +28,7 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_interleaved_shards, op8_best_fit_packing, op10_weak_supervision_pii)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
