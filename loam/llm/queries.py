@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import packing, pii, quality, sharding
+from loam.llm import packing, pii, quality, sharding, warc
 from loam.llm.common import documents, table
 
 
@@ -19,6 +19,10 @@ def op2_boosted_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_salvaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=2048)
 
@@ -32,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_interleaved_shards": sharding.oracle()}
+    return {"op1_interleaved_shards": sharding.oracle(), "op7_salvaged_warc": warc.oracle()}
