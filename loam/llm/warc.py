@@ -110,7 +110,10 @@ def _plain_record(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header without a colon")
-        headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        name = name.decode("latin-1").strip().lower()
+        if name in headers:
+            raise Damaged("two records' headers run together")
+        headers[name] = value.decode("utf-8", "replace").strip()
     if not headers.get("content-length", "").isdigit():
         raise Damaged("no content length")
     if not re.fullmatch(r"<[^<>\s]+>", headers.get("warc-record-id", "")):
