@@ -33,7 +33,7 @@ REVISIT_BYTES = 1000
 #: An archive is closed at this size, so that a reader's task holds no more than an archive and its largest record.
 ARCHIVE_BYTES = 16 << 20
 #: About how many bytes of payload a writing task gets.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 
 _EPOCH = "1970-01-01T00:00:00Z"  # archives of equal pages are equal
 _VERSION = b"WARC/1."
@@ -127,17 +127,19 @@ def _plain_record(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
 def read_record(data: bytes, start: int) -> Record:
     """The record at ``start``, whole and checked, or ``Damaged``."""
     if data[start : start + 3] == _MEMBER:
-        z = zlib.decompressobj(31)
+        z, end, parts = zlib.decompressobj(31), start, []
         try:
-            plain = z.decompress(memoryview(data)[start:])
+            while not z.eof and end < len(data):  # by pieces: what follows a member is copied by the library
+                parts.append(z.decompress(memoryview(data)[end : end + 8192]))
+                end += 8192
         except zlib.error as e:
             raise Damaged(f"member: {e}") from None
         if not z.eof:
             raise Damaged("member is cut off")
+        plain, end = b"".join(parts), min(end, len(data)) - len(z.unused_data)
         headers, block, used = _plain_record(plain, 0)
         if used != len(plain):
             raise Damaged("member holds more than a record")
-        end = len(data) - len(z.unused_data)
     else:
         headers, block, end = _plain_record(data, start)
     if headers.get("warc-block-digest", _sha1(block)) != _sha1(block):
@@ -232,9 +234,10 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     plan = plan_revisits(pages.withColumn(id_col, F.col(id_col).cast("long")), id_col, html_col)
     size = pages.select(F.sum(F.octet_length(F.col(html_col).cast("string")) + 300)).first()[0] or 0
     parts = max(1, -(-size // TASK_BYTES), spark.sparkContext.defaultParallelism)
-    plan = plan.withColumnsRenamed({"page_id": "p", "digest": "d"}).withColumn("grouped", F.lit(True))
-    dealt = rows.repartition(int(parts), "page_id", "digest")
-    joined = dealt.join(plan.repartition(int(parts), "p", "d").hint("merge"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    pair = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(" "), F.col("digest")).alias("pair")
+    plan = plan.select(pair, "target", F.lit(True).alias("grouped"))
+    # Both sides are dealt by the same key into as many parts, so that payloads move once and equal rows meet.
+    joined = rows.withColumn("pair", pair).repartition(int(parts), "pair").join(plan.repartition(int(parts), "pair").hint("merge"), "pair", "left")
     ordered = joined.select("page_id", "url", "body", "digest", F.coalesce("grouped", F.lit(False)).alias("grouped"), "target").sortWithinPartitions("page_id", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
