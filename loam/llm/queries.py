@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import decontam, neardup, packing, pii, quality, sharding, warc
+from loam.llm import decontam, neardup, packing, pii, quality, sharding, toxicity, warc
 from loam.llm.common import documents, table
 
 
@@ -23,6 +23,11 @@ def op4_greedy_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return decontam.find(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op5_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(documents(spark, sf_dir))
 
