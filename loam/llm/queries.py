@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import decontam, neardup, packing, pii, quality, sharding, toxicity, warc
+from loam.llm import decontam, langid, neardup, packing, pii, quality, sharding, toxicity, warc
 from loam.llm.common import documents, table
 
 
@@ -19,6 +19,11 @@ def op2_boosted_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.train(docs))
+
+
 def op4_greedy_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
