@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import decontam, langid, neardup, packing, pii, quality, sharding, toxicity, warc
+from loam.llm import decontam, langid, lm, neardup, packing, pii, quality, sharding, toxicity, warc
 from loam.llm.common import documents, table
 
 
@@ -45,6 +45,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=2048)
 
 
+def op9_recurrent_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lm.score(docs, lm.train(docs))
+
+
 def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
