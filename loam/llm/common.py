@@ -53,6 +53,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """``df`` as a reliable checkpoint in the shared folder, for small rows that are read whole; in ``parts`` files at most.
+
+    One file a partition, without a commit protocol: many small rounds cost far fewer file operations than tables do.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
+
+
+def parts_for(rows: int, each: int = 250_000) -> int:
+    """Files for so many narrow rows: a dozen at least, and ``each`` rows in a file beyond that."""
+    return max(12, -(-rows // each))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import materialize
+from loam.llm.common import checkpointed, parts_for
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -17,9 +17,10 @@ def _with_least(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, limit: int = 64) -> DataFrame:
     """node, root of every node of the edges (u, v); root is the least node of its component.
 
-    Each round is written to the shared folder.  Stars converge in a few rounds; ``limit`` only guards against a fault.
+    Each round is checkpointed to the shared folder, in files by its number of edges, which never grows.  Stars converge
+    in a few rounds; ``limit`` only guards against a fault.
     """
-    now = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = checkpointed(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(limit):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -31,5 +32,5 @@ def components(edges: DataFrame, limit: int = 64) -> DataFrame:
         down = large.distinct()
         near = _with_least(down)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).filter("u != v")
-        now = materialize(small.distinct(), "edges")
+        now = checkpointed(small.distinct(), parts_for(mark[0]))
     raise RuntimeError("stars did not converge")

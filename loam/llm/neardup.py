@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import materialize, mix64, words_of
+from loam.llm.common import checkpointed, materialize, mix64, parts_for
 from loam.llm.graph import components
 
 NGRAM = 5
@@ -279,9 +279,10 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     made = rows.mapInArrow(_features(depth), f"doc_id {id_type}, key binary, shingles long, labels array<long>, signature binary")
     features = materialize(made.withColumn("uid", F.monotonically_increasing_id()), "features")
     own = F.when(F.col("labels").isNotNull(), F.col("uid"))
-    texts = materialize(features.groupBy("key").agg(F.min(own).alias("uid"), F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies")), "texts")
+    parts = parts_for(features.count())
+    texts = checkpointed(features.groupBy("key").agg(F.min(own).alias("uid"), F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies")), parts)
     once = features.filter("labels is not null").select("uid", "shingles", "labels", "signature").join(texts.select("uid"), "uid", "left_semi")
-    once = materialize(once, "once")
+    once = materialize(once.coalesce(parts), "once")
 
     entries = once.select("uid", F.posexplode("labels").alias("tree", "label"))
     shared = entries.groupBy("tree", "label").agg(F.count("*").alias("n")).filter("n > 1")
@@ -293,17 +294,17 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
 
     sized = clusters.join(once.select("uid", "shingles"), "uid")
     chunks = sized.groupBy("cid").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_CHUNK), F.ceil(F.sum("shingles") / CLUSTER_SHINGLES)).cast("int").alias("chunks"))
-    members = materialize(_blocks(clusters.join(chunks, "cid"), "uid", "chunks"), "members")
+    members = checkpointed(_blocks(clusters.join(chunks, "cid"), "uid", "chunks"), parts)
     wanted = members.select("uid").distinct().join(texts.select("uid", "key", _key_of("text_id").alias("id")), "uid")
     placed = members.join(_bodies(df, id_col, text_col, wanted), "uid").select("cid", "low", "high", "chunk", "uid", "body")
     grouped = placed.repartition("cid", "low", "high").sortWithinPartitions("cid", "low", "high", "uid")
-    links = materialize(grouped.mapInArrow(_cluster_links, "uid long, links long, root long"), "links")
+    links = checkpointed(grouped.mapInArrow(_cluster_links, "uid long, links long, root long"))
 
     counts = links.groupBy("uid").agg(F.sum("links").alias("n_links"))
     roots = components(links.select(F.col("uid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("uid"), "root")
     known = texts.join(counts, "uid", "left").join(roots, "uid", "left")
     known = known.select("key", "text_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "uid").alias("root"))
-    return features.select("doc_id", "key"), materialize(known, "classes")
+    return features.select("doc_id", "key"), checkpointed(known, parts)
 
 
 def _bodies(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
