@@ -31,7 +31,7 @@ SIZE = 16
 TRAIN_ROWS = 3_000
 TRAIN_TOKENS = 400_000
 EPOCHS = 2
-LEAST_STEPS = 300
+LEAST_STEPS = 150
 STREAMS = 64
 WINDOW = 16
 #: Tokens scored side by side in a task, and steps between two softmaxes.
