@@ -1,11 +1,405 @@
-"""Query catalogue over the driver's tables."""
+"""Query catalogue over the driver's tables, each with the same query in DuckDB's SQL where SQL can say it.
+
+``events`` is read as a changelog with many overwrites (key: user, order: event id), ``orders`` as records of unique keys.
+"""
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loam.config import Configuration
+from loam.functions import bloom, codec
+from loam.operators import folds, layout, lookup
+from loam.operators.merge import concat_runs as concat
+from loam.operators.merge import merge_runs, newest_wins, numbered
+from loam.plans.policy import cascade
+from loam.plans.replay import EVENTS, live_tables
+from loam.sources import sst
+from loam.sources.log import Files
+from loam.store import Store
+from loam.streaming.ingest import into_store
+
+#: Sizes of the parity folds over the small tables.
+BUFFER_BYTES, BLOCK_BYTES, TABLE_BYTES = 16_384, 1_024, 4_096
+LOWER, UPPER = "user00000010", "user00000060"
+POINT = "user00000007"
+
+KV_EVENTS = "SELECT printf('user%08d', user_id) AS key, encode(event_type || '|' || props) AS value, event_id AS seq FROM events"
+KV_ORDERS = "SELECT printf('%012d', o_orderkey) AS key, encode(o_orderstatus || '|' || o_orderpriority) AS value, o_orderkey AS seq FROM orders"
+SIZE = "(strlen(key) + octet_length(value) + 8)::BIGINT"
+
+
+def kv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.concat_ws("|", "event_type", "props").cast("binary")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.format_string("user%08d", "user_id").alias("key"), value.alias("value"), F.col("event_id").alias("seq"))
+
+
+def kv_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.concat_ws("|", "o_orderstatus", "o_orderpriority").cast("binary")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.format_string("%012d", "o_orderkey").alias("key"), value.alias("value"), F.col("o_orderkey").alias("seq"))
+
+
+def _hexed(df: DataFrame) -> DataFrame:
+    return df.withColumn("value", F.hex("value"))
+
+
+def _probes(spark: SparkSession, form: str, step: int, count: int = 60, tail: str = "") -> DataFrame:
+    return spark.range(count).select(F.concat(F.format_string(form, F.col("id") * step), F.lit(tail)).alias("probe"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; removed with the session's driver."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{(base or 'file://' + os.path.join(tempfile.gettempdir(), 'loam-shared')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if path.startswith("file:"):
+        atexit.register(shutil.rmtree, path.split(":", 1)[1].replace("//", "/", 1), ignore_errors=True)
+    return path
+
+
+# Codec
+
+
+def record_size(spark, sf_dir):
+    return kv_events(spark, sf_dir).select("seq", codec.record_size().alias("size"))
+
+
+def record_encode(spark, sf_dir):
+    return kv_orders(spark, sf_dir).select("key", F.hex(codec.encode()).alias("encoded"))
+
+
+def record_roundtrip(spark, sf_dir):
+    coded = kv_orders(spark, sf_dir).select(codec.encode().alias("data"))
+    return _hexed(coded.select(codec.decode("data").alias("r")).select("r.*"))
+
+
+def record_list_decode(spark, sf_dir):
+    """Byte strings of a hundred records each, taken apart."""
+    orders = kv_orders(spark, sf_dir)
+    packed = orders.groupBy(F.floor(F.col("seq") / 100).alias("g")).agg(F.array_sort(F.collect_list(F.struct("seq", codec.encode().alias("d")))).alias("r"))
+    joined = packed.select(F.unhex(F.array_join(F.transform("r", lambda x: F.hex(x["d"])), "")).alias("data"))
+    return _hexed(codec.decode_lists(joined, "data").select("key", "value", "position"))
+
+
+# Reads
+
+
+def point_get(spark, sf_dir):
+    return _hexed(lookup.get(kv_events(spark, sf_dir), POINT, ["seq"])).select("key", "value", "seq")
+
+
+def multi_get(spark, sf_dir):
+    keys = _probes(spark, "user%08d", 3).withColumnRenamed("probe", "key")
+    return _hexed(lookup.multi_get(kv_events(spark, sf_dir), keys, ["seq"])).select("key", "value")
+
+
+def range_scan(spark, sf_dir):
+    return _hexed(lookup.scan(kv_events(spark, sf_dir), LOWER, UPPER, ["seq"])).select("key", "value").orderBy("key")
+
+
+def full_scan(spark, sf_dir):
+    return _hexed(lookup.scan(kv_events(spark, sf_dir), None, None, ["seq"])).select("key", "value").orderBy("key")
+
+
+def lower_bound(spark, sf_dir):
+    return lookup.lower_bounds(kv_events(spark, sf_dir), _probes(spark, "user%08d", 7, tail="x"))
+
+
+# Merges
+
+
+def _runs(spark, sf_dir):
+    rows = kv_events(spark, sf_dir)
+    return [rows.filter(F.col("seq") % 3 == i) for i in range(3)]
+
+
+def merge_newest_wins(spark, sf_dir):
+    return _hexed(merge_runs(_runs(spark, sf_dir), order="seq")).select("key", "value", F.col("precedence").cast("long"))
+
+
+def merge_with_duplicates(spark, sf_dir):
+    return _hexed(numbered(_runs(spark, sf_dir))).select("key", "value", "seq", F.col("precedence").cast("long")).orderBy("key", "precedence", "seq")
+
+
+def concat_runs(spark, sf_dir):
+    return _hexed(concat(_runs(spark, sf_dir), "seq")).select("key", "value", "seq", F.col("table_pos").cast("long"))
+
+
+# Layout
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return df.withColumn("size", codec.record_size())
+
+
+def _batched(spark, sf_dir):
+    rows = _sized(kv_events(spark, sf_dir))
+    return rows.join(folds.freeze(rows, BUFFER_BYTES), "seq")
+
+
+def memtable_freeze(spark, sf_dir):
+    return folds.freeze(_sized(kv_events(spark, sf_dir)), BUFFER_BYTES)
+
+
+def _snapshot(spark, sf_dir):
+    return _batched(spark, sf_dir).groupBy("batch", "key").agg(F.max_by(F.struct("value", "size"), "seq").alias("v")).select("batch", "key", "v.*")
+
+
+def memtable_snapshot(spark, sf_dir):
+    return _hexed(_snapshot(spark, sf_dir)).select("batch", "key", "value")
+
+
+def approximate_vs_exact_size(spark, sf_dir):
+    """A buffer's counted size, overwrites included, and that of the newest values."""
+    rows = _batched(spark, sf_dir)
+    newest = rows.groupBy("batch", "key").agg(F.max_by("size", "seq").alias("last"), F.sum("size").alias("every"))
+    return newest.groupBy("batch").agg(F.sum("every").cast("long").alias("approximate_size"), F.sum("last").cast("long").alias("exact_size"))
+
+
+def _placed(spark, sf_dir):
+    return folds.blocks(_snapshot(spark, sf_dir).withColumnRenamed("batch", "table"), BLOCK_BYTES)
+
+
+def block_pack(spark, sf_dir):
+    return _placed(spark, sf_dir).select("table", "key", "block")
+
+
+def meta_blocks(spark, sf_dir):
+    return layout.meta_blocks(_placed(spark, sf_dir)).withColumn("records", F.col("records").cast("long"))
+
+
+def find_block(spark, sf_dir):
+    metas = layout.meta_blocks(_placed(spark, sf_dir).filter("table = 0"))
+    return lookup.find_blocks(metas, _probes(spark, "user%08d", 2, 80))
+
+
+def _summaries(spark, sf_dir):
+    return layout.table_summary(_snapshot(spark, sf_dir).withColumnRenamed("batch", "table"))
+
+
+def sstable_summary(spark, sf_dir):
+    return _summaries(spark, sf_dir)
+
+
+def table_range_prune(spark, sf_dir):
+    return lookup.tables_holding(_summaries(spark, sf_dir), _probes(spark, "user%08d", 9, 18))
+
+
+def bloom_parameters(spark, sf_dir):
+    size, hashes = bloom.parameter_columns(F.col("records"))
+    return _summaries(spark, sf_dir).select("table", "records", size.alias("nb_bytes"), hashes.alias("nb_hashes"))
+
+
+def bloom_membership(spark, sf_dir):
+    """For each table, keys of all tables that its filter lets through and that it holds."""
+    rows = _snapshot(spark, sf_dir).select(F.col("batch").alias("table"), "key")
+    made = bloom.filters(rows, "table")
+    probes = rows.select("key").distinct()
+    held = rows.withColumn("held", F.lit(True))
+    asked = probes.join(lookup.sent_if_small(made), how="cross")  # filters are a few a store, and their number is checked
+    asked = asked.withColumn("maybe", bloom.might_contain("bloom", "key")).join(held, ["table", "key"], "left")
+    return asked.groupBy("table").agg(F.count_if("maybe").alias("maybe"), F.count("held").alias("held"), F.count_if(F.col("held") & ~F.col("maybe")).alias("missed"))
+
+
+def get_serving_tier(spark, sf_dir):
+    rows = numbered(_runs(spark, sf_dir), "tier")
+    return lookup.serving_tiers(rows.withColumn("tier", F.col("tier").cast("long")))
+
+
+# Compaction and recovery
+
+
+def compact_l0(spark, sf_dir):
+    """Newest values of all flushed batches, cut into tables."""
+    merged = newest_wins(_snapshot(spark, sf_dir), ["batch"])
+    return folds.tables(merged, BLOCK_BYTES, TABLE_BYTES).select("key", "table")
+
+
+#: Tables by level before a pass: level 0 first.
+SHAPES = [(10, 0, 0, 0), (3, 2, 20, 0), (12, 1, 5, 40), (0, 0, 0, 7), (9, 1, 11, 3)]
+
+
+def compact_levels(spark, sf_dir):
+    """Tables by level after one pass of the policy, when a compaction leaves as many tables as it takes."""
+    config = Configuration(nb_levels=3)
+    out = []
+    for shape, before in enumerate(SHAPES):
+        counts = list(before)
+
+        def compact(level: int, counts: list[int] = counts) -> None:
+            moved, counts[level] = counts[level], 0
+            counts[level + 1] += moved
+
+        cascade(lambda counts=counts: counts, config, compact)
+        out += [(shape, level, n) for level, n in enumerate(counts)]
+    return spark.createDataFrame(out, "shape long, level long, tables long")
+
+
+LOG = [(1, "flush", None, [], ["s1"]), (2, "flush", None, [], ["s2"]), (3, "compaction", 0, ["s1", "s2"], ["s3", "s5"]), (4, "flush", None, [], ["s4"]), (5, "compaction", 1, ["s3"], ["s6"])]
+
+
+def manifest_replay(spark, sf_dir):
+    live = live_tables(spark.createDataFrame(LOG, EVENTS))
+    return live.select(F.col("level").cast("long"), "path", F.row_number().over(_by_level()).cast("long").alias("place"))
+
+
+def _by_level():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("level").orderBy(F.desc("event_seq"), "position")
+
+
+def wal_replay(spark, sf_dir):
+    """The log of unflushed puts, read back in order; later ones overwrite."""
+    path = _scratch(spark, "wal")
+    kv_events(spark, sf_dir).write.parquet(path)
+    log = spark.read.parquet(path)
+    return _hexed(newest_wins(log, ["seq"], keep=["value"])).select("key", "value")
+
+
+def _filled(spark, sf_dir, config=None) -> Store:
+    """A store that has been put to in three batches, flushed and compacted."""
+    store = Store.create(spark, _scratch(spark, "store"), config or Configuration(nb_levels=3, max_l0_sstables=2, max_sstable_size=100_000))
+    rows = kv_events(spark, sf_dir)
+    for part in range(3):
+        store.put_all(rows.filter(F.col("seq") % 3 == part) if part else rows.filter("seq % 3 = 0"), order="seq")
+        store.freeze()
+        store.flush_next()
+    return store
+
+
+def scan_after_compaction(spark, sf_dir):
+    """Reading a compacted store: batches are the runs of merge_newest_wins, the last the newest."""
+    return _hexed(_filled(spark, sf_dir).scan())
+
+
+def store_reopen(spark, sf_dir):
+    """A store that is left with unflushed puts, opened again."""
+    store = _filled(spark, sf_dir)
+    store.put_all(kv_events(spark, sf_dir).filter("seq % 50 = 0").withColumn("value", F.col("key").cast("binary")), order="seq")
+    return _hexed(Store.open(spark, store.files.root).scan())
+
+
+def store_multi_get(spark, sf_dir):
+    keys = _probes(spark, "user%08d", 3).withColumnRenamed("probe", "key")
+    return _hexed(_filled(spark, sf_dir).multi_get(keys))
+
+
+def sst_roundtrip(spark, sf_dir):
+    """Unique records written as byte-format tables and read back through the data source."""
+    sst.register(spark)
+    folder = _scratch(spark, "sst")
+    Files(spark, folder).make()
+    sst.write(kv_orders(spark, sf_dir), folder, BLOCK_BYTES).count()
+    return _hexed(spark.read.format("sst").load(folder).filter(F.col("key") >= "000000000100"))
+
+
+def streaming_upsert(spark, sf_dir):
+    """The changelog as a stream, put into a store batch by batch and read."""
+    source = _scratch(spark, "stream")
+    kv_events(spark, sf_dir).repartition(1).write.parquet(source)
+    store = Store.create(spark, _scratch(spark, "store"))
+    stream = spark.readStream.schema("key string, value binary, seq long").parquet(source)
+    query = into_store(stream, store, _scratch(spark, "offsets"), "events", order="seq")
+    query.awaitTermination()
+    return _hexed(store.scan())
+
+
+_NEWEST = "SELECT key, hex(arg_max(value, seq)) AS value FROM kv GROUP BY key"
+_RUNS = f"kv AS ({KV_EVENTS}), runs AS (SELECT *, seq % 3 AS precedence FROM kv)"
+_FOLD = f"""kv AS ({KV_EVENTS}), sized AS (SELECT *, {SIZE} AS size, row_number() OVER (ORDER BY seq) AS i FROM kv),
+fold AS (SELECT i, seq, 0::BIGINT AS batch, size AS running FROM sized WHERE i = 1
+  UNION ALL SELECT s.i, s.seq, f.batch + (f.running >= {BUFFER_BYTES})::BIGINT, CASE WHEN f.running >= {BUFFER_BYTES} THEN s.size ELSE f.running + s.size END
+  FROM fold f JOIN sized s ON s.i = f.i + 1),
+batched AS (SELECT s.*, f.batch FROM sized s JOIN fold f USING (i)),
+snapshot AS (SELECT batch, key, arg_max(value, seq) AS value, arg_max(size, seq) AS size FROM batched GROUP BY batch, key)"""
+_BLOCKS = f"""{_FOLD},
+ordered AS (SELECT batch, key, size, row_number() OVER (PARTITION BY batch ORDER BY key) AS k FROM snapshot),
+packed AS (SELECT batch, key, size, k, 0::BIGINT AS block, size AS filled FROM ordered WHERE k = 1
+  UNION ALL SELECT o.batch, o.key, o.size, o.k, p.block + (p.filled + o.size > {BLOCK_BYTES})::BIGINT,
+    CASE WHEN p.filled + o.size > {BLOCK_BYTES} THEN o.size ELSE p.filled + o.size END
+  FROM packed p JOIN ordered o ON o.batch = p.batch AND o.k = p.k + 1),
+metas AS (SELECT batch AS "table", block, min(key) AS first_key, max(key) AS last_key, count(*) AS records, sum(size)::BIGINT + 2 * count(*) + 2 AS bytes FROM packed GROUP BY batch, block)"""
+_SUMMARY = f"""{_FOLD}, summary AS (SELECT batch AS "table", min(key) AS first_key, max(key) AS last_key, count(*) AS records, sum(size)::BIGINT AS bytes FROM snapshot GROUP BY batch)"""
+
+
+def _numbers(form: str, step: int, count: int = 60, tail: str = "") -> str:
+    return f"probes AS (SELECT printf('{form}', i * {step}) || '{tail}' AS probe FROM range({count}) t(i))"
+
+
+ORACLES = {
+    "record_size": f"WITH kv AS ({KV_EVENTS}) SELECT seq, {SIZE} AS size FROM kv",
+    "record_encode": f"""WITH kv AS ({KV_ORDERS}) SELECT key,
+      printf('%02X000000', strlen(key)) || hex(encode(key)) || printf('%02X000000', octet_length(value)) || hex(value) AS encoded FROM kv""",
+    "record_roundtrip": f"WITH kv AS ({KV_ORDERS}) SELECT key, hex(value) AS value FROM kv",
+    "record_list_decode": f"WITH kv AS ({KV_ORDERS}) SELECT key, hex(value) AS value, row_number() OVER (PARTITION BY seq // 100 ORDER BY seq) - 1 AS position FROM kv",
+    "point_get": f"WITH kv AS ({KV_EVENTS}) SELECT key, hex(value) AS value, seq FROM kv WHERE key = '{POINT}' ORDER BY seq DESC LIMIT 1",
+    "multi_get": f"WITH kv AS ({KV_EVENTS}), {_numbers('user%08d', 3)}, newest AS ({_NEWEST}) SELECT probe AS key, value FROM probes LEFT JOIN newest ON key = probe",
+    "range_scan": f"WITH kv AS ({KV_EVENTS}) SELECT key, hex(arg_max(value, seq)) AS value FROM kv WHERE key BETWEEN '{LOWER}' AND '{UPPER}' GROUP BY key",
+    "full_scan": f"WITH kv AS ({KV_EVENTS}) {_NEWEST}",
+    "lower_bound": f"WITH kv AS ({KV_EVENTS}), {_numbers('user%08d', 7, tail='x')} SELECT probe, min(key) AS key FROM probes LEFT JOIN kv ON key >= probe GROUP BY probe",
+    "merge_newest_wins": f"""WITH {_RUNS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY precedence, seq DESC) AS n FROM runs)
+      SELECT key, hex(value) AS value, precedence FROM ranked WHERE n = 1""",
+    "merge_with_duplicates": f"WITH {_RUNS} SELECT key, hex(value) AS value, seq, precedence FROM runs",
+    "concat_runs": f"WITH {_RUNS} SELECT key, hex(value) AS value, seq, precedence AS table_pos FROM runs",
+    "memtable_freeze": f"WITH RECURSIVE {_FOLD} SELECT seq, batch FROM fold",
+    "memtable_snapshot": f"WITH RECURSIVE {_FOLD} SELECT batch, key, hex(value) AS value FROM snapshot",
+    "approximate_vs_exact_size": f"""WITH RECURSIVE {_FOLD} SELECT batch, a.n AS approximate_size, sum(s.size)::BIGINT AS exact_size
+      FROM (SELECT batch, sum(size)::BIGINT AS n FROM batched GROUP BY batch) a JOIN snapshot s USING (batch) GROUP BY batch, a.n""",
+    "block_pack": f'WITH RECURSIVE {_BLOCKS} SELECT batch AS "table", key, block FROM packed',
+    "meta_blocks": f"""WITH RECURSIVE {_BLOCKS} SELECT "table", block, first_key, last_key, records,
+      coalesce(sum(bytes) OVER (PARTITION BY "table" ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM metas""",
+    "find_block": f"""WITH RECURSIVE {_BLOCKS}, {_numbers('user%08d', 2, 80)} SELECT probe, min(block) AS block
+      FROM probes LEFT JOIN (SELECT * FROM metas WHERE "table" = 0) ON probe BETWEEN first_key AND last_key GROUP BY probe""",
+    "sstable_summary": f"WITH RECURSIVE {_SUMMARY} SELECT * FROM summary",
+    "table_range_prune": f'WITH RECURSIVE {_SUMMARY}, {_numbers("user%08d", 9, 18)} SELECT probe, "table" FROM probes JOIN summary ON probe BETWEEN first_key AND last_key',
+    "bloom_parameters": f"""WITH RECURSIVE {_SUMMARY}, bits AS (SELECT "table", records, -records * ln({bloom.RATE}) / (ln(2.0) * ln(2.0)) AS m FROM summary)
+      SELECT "table", records, ceil(m / 8)::BIGINT AS nb_bytes, round_even(m / records * ln(2.0), 0)::BIGINT AS nb_hashes FROM bits""",
+    "get_serving_tier": f"WITH {_RUNS} SELECT key, min(precedence) AS tier FROM runs GROUP BY key",
+    "compact_l0": f"""WITH RECURSIVE {_FOLD},
+      merged AS (SELECT key, arg_max(size, batch) AS size, row_number() OVER (ORDER BY key) AS k FROM snapshot GROUP BY key),
+      cut AS (SELECT k, key, 0::BIGINT AS "table", size AS filled, 1::BIGINT AS n, 0::BIGINT AS done FROM merged WHERE k = 1
+        UNION ALL SELECT m.k, m.key, c."table" + (c.done >= {TABLE_BYTES})::BIGINT,
+          CASE WHEN c.done >= {TABLE_BYTES} OR c.filled + m.size > {BLOCK_BYTES} THEN m.size ELSE c.filled + m.size END,
+          CASE WHEN c.done >= {TABLE_BYTES} OR c.filled + m.size > {BLOCK_BYTES} THEN 1 ELSE c.n + 1 END,
+          CASE WHEN c.done >= {TABLE_BYTES} THEN 0 WHEN c.filled + m.size > {BLOCK_BYTES} THEN c.done + c.filled + 2 * c.n + 2 ELSE c.done END
+        FROM cut c JOIN merged m ON m.k = c.k + 1)
+      SELECT key, "table" FROM cut""",
+    "compact_levels": """SELECT * FROM (VALUES (0,0,0),(0,1,0),(0,2,0),(0,3,10),(1,0,3),(1,1,0),(1,2,0),(1,3,22),(2,0,0),(2,1,0),(2,2,0),(2,3,58),
+      (3,0,0),(3,1,0),(3,2,0),(3,3,7),(4,0,9),(4,1,1),(4,2,0),(4,3,14)) t(shape, level, tables)""",
+    "manifest_replay": """WITH events AS (SELECT * FROM (VALUES (1,'flush',0,[]::VARCHAR[],['s1']),(2,'flush',0,[],['s2']),(3,'compaction',0,['s1','s2'],['s3','s5']),
+        (4,'flush',0,[],['s4']),(5,'compaction',1,['s3'],['s6'])) t(seq, kind, level, inputs, outputs)),
+      made AS (SELECT seq, CASE kind WHEN 'flush' THEN 0 ELSE level + 1 END AS level, unnest(outputs) AS path, unnest(range(len(outputs))) AS position FROM events),
+      gone AS (SELECT level, unnest(inputs) AS path FROM events WHERE kind = 'compaction')
+      SELECT level::BIGINT AS level, path, row_number() OVER (PARTITION BY level ORDER BY seq DESC, position) AS place FROM made m
+      WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.level = m.level AND g.path = m.path)""",
+    "wal_replay": f"WITH kv AS ({KV_EVENTS}) {_NEWEST}",
+    "scan_after_compaction": f"WITH kv AS (SELECT key, value, (seq % 3) * 1000000000000 + seq AS seq FROM ({KV_EVENTS})) {_NEWEST}",
+    "store_reopen": f"""WITH kv AS (SELECT key, value, (seq % 3) * 1000000000000 + seq AS seq FROM ({KV_EVENTS})
+        UNION ALL SELECT key, encode(key), 9000000000000 + seq FROM ({KV_EVENTS}) WHERE seq % 50 = 0) {_NEWEST}""",
+    "store_multi_get": f"""WITH kv AS (SELECT key, value, (seq % 3) * 1000000000000 + seq AS seq FROM ({KV_EVENTS})), {_numbers('user%08d', 3)}, newest AS ({_NEWEST})
+      SELECT probe AS key, value FROM probes LEFT JOIN newest ON key = probe""",
+    "sst_roundtrip": f"WITH kv AS ({KV_ORDERS}) SELECT key, hex(value) AS value FROM kv WHERE key >= '000000000100'",
+    "streaming_upsert": f"WITH kv AS ({KV_EVENTS}) {_NEWEST}",
+}
+
+_QUERIES = [
+    record_size, record_encode, record_roundtrip, record_list_decode, point_get, multi_get, range_scan, full_scan, lower_bound, merge_newest_wins,
+    merge_with_duplicates, concat_runs, memtable_freeze, memtable_snapshot, approximate_vs_exact_size, block_pack, meta_blocks, find_block, sstable_summary,
+    table_range_prune, bloom_parameters, bloom_membership, get_serving_tier, compact_l0, compact_levels, manifest_replay, wal_replay, scan_after_compaction,
+    store_reopen, store_multi_get, sst_roundtrip, streaming_upsert,
+]
+
 
 def queries() -> dict:
-    return {}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
