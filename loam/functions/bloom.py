@@ -48,8 +48,10 @@ def parameter_columns(n: Column, rate: float = RATE) -> tuple[Column, Column]:
 
 
 def places(key: str, size: int, hashes: int) -> list[int]:
+    """Bits of a key: hashes are taken as signed numbers, which matters unless the number of bits is a power of two."""
     raw = key.encode()
-    return [murmur3(raw, seed) % (8 * size) for seed in range(hashes)]
+    signed = lambda h: h - (h >> 31 << 32)
+    return [signed(murmur3(raw, seed)) % (8 * size) for seed in range(hashes)]
 
 
 def build(keys: list[str], size: int, hashes: int) -> bytes:

@@ -34,8 +34,9 @@ def scan(df: DataFrame, lower: str | None, upper: str | None, order: list[str])
     return newest_wins(df.filter(within(lower, upper)), order)
 
 
-def sent_if_small(df: DataFrame, rows: int = SEND_ROWS) -> DataFrame:
+def sent_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` marked for broadcast if a count, that stops at the bound, proves it small."""
+    rows = SEND_ROWS if rows is None else rows
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
