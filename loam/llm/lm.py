@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm.common import crc_mod, materialize
@@ -49,6 +49,13 @@ class _Ids(dict):
         return -1
 
 
+def _log_softmax(z: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax at one column of each row; sums by products, which are faster than sums along rows."""
+    if z.size and z.max() > 60:
+        z = z - z.max(1, keepdims=True)
+    return z[np.arange(len(z)), picked] - np.log(np.maximum(np.exp(z) @ np.ones(z.shape[1], np.float32), 1e-30))
+
+
 @dataclass
 class Model:
     """Words are 0 to ``words`` - 1 by frequency, then the end, the unknown word and, as input only, the start."""
@@ -94,17 +101,12 @@ class Model:
     def log_probabilities(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms of the targets' probabilities after states ``h``."""
         group, place = np.divmod(targets, self.class_size)
-        z = h @ self.class_w + self.class_b
-        top = z.max(1)
-        rows = np.arange(len(h))
-        out = z[rows, group] - top - np.log(np.exp(z - top[:, None]).sum(1))
+        out = _log_softmax(h @ self.class_w + self.class_b, group)
         order = np.argsort(group, kind="stable")
         bounds = np.searchsorted(group[order], np.arange(len(self.class_b) + 1))
         for c in np.flatnonzero(np.diff(bounds)):
             at = order[bounds[c] : bounds[c + 1]]
-            z = h[at] @ self.word_w[c] + self.word_b[c]
-            top = z.max(1)
-            out[at] += z[np.arange(len(at)), place[at]] - top - np.log(np.exp(z - top[:, None]).sum(1))
+            out[at] += _log_softmax(h[at] @ self.word_w[c] + self.word_b[c], place[at])
         return out
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, adam: Adam) -> tuple[np.ndarray, float]:
@@ -250,14 +252,30 @@ class Trained:
     model: Model | None
 
 
+def commonest(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """At most ``most`` words and their counts, the commonest first: all from some count up, found on a grid of counts
+    (a few hundred cells, whatever the corpus), so that no task sorts the words and the driver gets no more than these."""
+    cell = F.floor(F.log2("n") * 16).cast("int")
+    level, held = None, 0
+    for r in counts.groupBy(cell.alias("cell")).count().orderBy(F.desc("cell")).collect():
+        if held + r["count"] > most:
+            break
+        level, held = r["cell"], held + r["count"]
+    if level is None:
+        return [], np.empty(0, np.int64)
+    got = counts.filter(cell >= level).toArrow()
+    words, n = got.column("word").to_pylist(), got.column("n").to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
+    return [words[i] for i in order], n[order]
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, vocabulary: int = VOCABULARY, rows: int = TRAIN_ROWS, tokens: int = TRAIN_TOKENS) -> Trained:
     """Learns from rows whose crc32(doc_id as text) mod 7 is not 2; a null text is an end alone."""
     known = df.filter(crc_mod(id_col, 7) != 2).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"))
     counts = materialize(known.select("body").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     documents = known.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(hot).collect()  # bounded by ``hot``
-    words, numbers = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+    words, numbers = commonest(counts, hot)
     size = min(vocabulary, len(words))
     beyond, beyond_distinct = int(sums[0] - numbers[:size].sum()), int(sums[1] - size)
     trained = Trained(counts, documents, int(sums[0]) + documents, int(sums[1]) + (documents > 0), words, numbers, beyond, beyond_distinct, None)
@@ -273,15 +291,12 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     chosen = df.sparkSession.createDataFrame(chosen.select("doc_id").toArrow()).distinct()
-    got = known.join(F.broadcast(chosen), "doc_id").mapInArrow(encoded, f"doc_id {df.schema[id_col].dataType.simpleString()}, ids array<int>").withColumn("size", F.size("ids"))
-    sample, held = [], 0
-    for r in sorted(got.limit(2 * rows).toLocalIterator(), key=lambda r: (r["size"], r["ids"][:8], r["doc_id"])):
-        sample.append(np.array(r["ids"], np.int32))
-    for k, i in enumerate(np.random.default_rng(5).permutation(len(sample))):  # whole documents until there are enough tokens
-        held += len(sample[i]) + 1
-        if held > tokens and k:
-            sample = [sample[j] for j in np.random.default_rng(5).permutation(len(sample))[:k]]
-            break
+    got = known.join(F.broadcast(chosen), "doc_id").mapInArrow(encoded, f"doc_id {df.schema[id_col].dataType.simpleString()}, ids array<int>")
+    # Documents come in any order: by digest they are the same at every run.  Whole ones, until there are enough tokens.
+    tasks = got.withColumn("place", F.xxhash64(F.lit(23), "doc_id", "ids")).withColumn("size", F.size("ids") + 1)
+    enough = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    some = tasks.withColumn("before", F.coalesce(F.sum("size").over(enough), F.lit(0))).filter(F.col("before") < tokens).orderBy("place").select("ids").toArrow()
+    sample = [np.array(x.values.to_numpy(), np.int32) for x in some.column("ids")]
     trained.model = fit(sample, np.concatenate([numbers[:size], [documents, beyond + 1]]).astype(float))
     return trained
 
