@@ -40,6 +40,8 @@ SIGNATURE_LEAST = 0.65
 BUCKET_CHUNK = 4096
 CLUSTER_CHUNK = 1024
 CLUSTER_SHINGLES = 2_000_000
+#: Cells of text keys; a set of them is broadcast to spare other texts a shuffle.
+CELLS = 1 << 20
 
 _RNG = np.random.default_rng(20_240_229)
 _MULTIPLY = _RNG.integers(1, 2**63, TREES * DEEPEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -307,11 +309,23 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     return features.select("doc_id", "key"), checkpointed(known, parts)
 
 
+def _cell(key: str) -> Column:
+    """One of ``CELLS`` that a text's key falls in."""
+    return F.pmod(F.xxhash64(F.lit(41), key), F.lit(CELLS)).cast("int")
+
+
+def _cells(keys: DataFrame, key: str) -> DataFrame:
+    """The cells of some keys, for a broadcast of ``CELLS`` small rows at most: a text whose cell is not among them is
+    none of those texts and need not be shuffled to find that out."""
+    return F.broadcast(keys.select(_cell(key).alias("__cell")).distinct())
+
+
 def _bodies(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """uid, body of the wanted (uid, key, id).  The id takes part in the join, so that copies do not meet in one task."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body")
     keyed = df.select(text_key(text_col).alias("key"), _key_of(id_col).alias("id"), body)
-    return keyed.join(wanted, ["key", "id"]).dropDuplicates(["key", "id"]).select("uid", "body")
+    maybe = keyed.withColumn("__cell", _cell("key")).join(_cells(wanted, "key"), "__cell", "left_semi").drop("__cell")
+    return maybe.join(wanted, ["key", "id"]).dropDuplicates(["key", "id"]).select("uid", "body")
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,9 +343,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, that of the least id (null ids last), with all its columns."""
+    """One row of each class, that of the least id (null ids last), with all its columns.
+
+    Only rows whose text may have a copy or belong to another's class are shuffled; all others stay where they are.
+    """
     _, texts = classify(df, id_col, text_col)
     least = F.min(F.struct(F.col("text_id").isNull().alias("last"), "text_id", "key")).alias("w")
-    winners = texts.groupBy("root").agg(least).select(_key_of("w.text_id").alias("__id"), F.col("w.key").alias("__key"))
-    keyed = df.withColumns({"__id": _key_of(id_col), "__key": text_key(text_col)})
-    return keyed.join(winners, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*df.columns)
+    winners = texts.groupBy("root").agg(least)
+    losers = texts.join(winners, "root").filter((F.col("n_copies") > 1) | (F.col("key") != F.col("w.key")))
+    cells = _cells(losers, "key")
+    keyed = df.withColumns({"__id": _key_of(id_col), "__key": text_key(text_col)}).withColumn("__cell", _cell("__key"))
+    alone = keyed.join(cells, "__cell", "left_anti").select(*df.columns)
+    kept = winners.select(_key_of("w.text_id").alias("__id"), F.col("w.key").alias("__key"))
+    others = keyed.join(cells, "__cell", "left_semi").join(kept, ["__id", "__key"], "left_semi")
+    return alone.unionByName(others.dropDuplicates(["__id", "__key"]).select(*df.columns))
