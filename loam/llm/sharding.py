@@ -67,8 +67,7 @@ def interleave(
         .groupBy("cell")
         .agg(F.sum(F.expr(f"times * ((cell * n + {GRID // 2 - 1}) div {GRID})")).cast("long").alias("start"))
     )
-    total = starts.filter(F.col("cell") == GRID).select(F.col("start").alias("total"))
-    starts = starts.filter(F.col("cell") < GRID).crossJoin(F.broadcast(total))  # one row
+    starts = starts.withColumn("total", F.max("start").over(Window.partitionBy()))  # of GRID + 1 rows
 
     order = Window.partitionBy("cell").orderBy("fraction", "src", "digest", "text_crc32", "size")
     placed = (
