@@ -57,6 +57,8 @@ def _probes(spark: SparkSession, form: str, step: int, count: int = 60, tail: st
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share; removed with the session's driver."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = f"{(base or 'file://' + os.path.join(tempfile.gettempdir(), 'loam-shared')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if path.startswith("file:"):
         atexit.register(shutil.rmtree, path.split(":", 1)[1].replace("//", "/", 1), ignore_errors=True)
@@ -197,14 +199,15 @@ def bloom_parameters(spark, sf_dir):
 
 
 def bloom_membership(spark, sf_dir):
-    """For each table, keys of all tables that its filter lets through and that it holds."""
+    """For each table: keys of the store in its range, how many its filter lets through, and how many it holds."""
     rows = _snapshot(spark, sf_dir).select(F.col("batch").alias("table"), "key")
-    made = bloom.filters(rows, "table")
-    probes = rows.select("key").distinct()
-    held = rows.withColumn("held", F.lit(True))
-    asked = probes.join(lookup.sent_if_small(made), how="cross")  # filters are a few a store, and their number is checked
-    asked = asked.withColumn("maybe", bloom.might_contain("bloom", "key")).join(held, ["table", "key"], "left")
-    return asked.groupBy("table").agg(F.count_if("maybe").alias("maybe"), F.count("held").alias("held"), F.count_if(F.col("held") & ~F.col("maybe")).alias("missed"))
+    probes = rows.select(F.col("key").alias("probe")).distinct()
+    held = rows.select("table", F.col("key").alias("probe"), F.lit(True).alias("held"))
+    asked = lookup.tables_holding(_summaries(spark, sf_dir), probes).join(bloom.filters(rows, "table"), "table")
+    asked = asked.withColumn("maybe", bloom.might_contain("bloom", "probe")).join(held, ["table", "probe"], "left")
+    return asked.groupBy("table").agg(
+        F.count("*").alias("asked"), F.count_if("maybe").alias("maybe"), F.count("held").alias("held"), F.count_if(F.col("held") & ~F.col("maybe")).alias("missed")
+    )
 
 
 def get_serving_tier(spark, sf_dir):
