@@ -11,7 +11,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ from loam.sources.log import CommitLog, Conflict, Files
 
 ROWS = "key string, value binary, batch long, pos long"
 ORDER = ["batch", "pos"]
+#: Versions between two snapshots of the state, which bound what an opening reads.
+SNAPSHOT_EVERY = 64
 
 
 @dataclass(frozen=True)
@@ -48,11 +50,16 @@ class State:
     active: tuple[Run, ...] = ()
     immutable: tuple[tuple[Run, ...], ...] = ()  # newest first
     levels: tuple[tuple[Run, ...], ...] = ()  # newest first; 0 to nb_levels
-    tokens: frozenset = field(default_factory=frozenset)
+    streams: dict = field(default_factory=dict)  # last batch of each stream that was put
 
     def runs(self) -> list[Run]:
         return [*self.active, *(r for b in self.immutable for r in b), *(r for level in self.levels for r in level)]
 
+    @classmethod
+    def from_dict(cls, d: dict) -> State:
+        runs = lambda group: tuple(Run(**r) for r in group)
+        return cls(d["version"], d["next_batch"], runs(d["active"]), tuple(map(runs, d["immutable"])), tuple(map(runs, d["levels"])), d["streams"])
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, config: Configuration, state: State):
@@ -68,7 +75,8 @@ class Store:
         """A new store; the folder is made, and must not hold a store."""
         config = config or Configuration()
         files = Files(spark, root)
-        files.make("manifest")
+        for folder in ("manifest", "snapshots"):
+            files.make(folder)
         try:
             CommitLog(files).append(0, {"event_type": "create", "configuration": config.as_dict()})
         except Conflict:
@@ -79,18 +87,19 @@ class Store:
     def open(cls, spark: SparkSession, root: str) -> Store:
         """The store as its log says, with all records that were put."""
         log = CommitLog(Files(spark, root))
-        if 0 not in log.versions():
+        first = log.read(0)
+        if first is None:
             raise ValueError(f"{root} holds no store")
-        config = Configuration(**log.read(0)["configuration"])
-        store = cls(spark, root, config, State(levels=((),) * (config.nb_levels + 1)))
+        config = Configuration(**first["configuration"])
+        snapshot = log.last_snapshot()
+        store = cls(spark, root, config, State.from_dict(snapshot[1]) if snapshot else State(levels=((),) * (config.nb_levels + 1)))
         store.refresh()
         return store
 
     def refresh(self) -> State:
         with self._lock:
-            for version in self.log.versions():
-                if version > self.state.version:
-                    self.state = replace(_fold(self.state, self.log.read(version)), version=version)
+            while (event := self.log.read(self.state.version + 1)) is not None:
+                self.state = replace(_fold(self.state, event), version=self.state.version + 1)
             return self.state
 
     def close(self) -> None:
@@ -112,6 +121,8 @@ class Store:
             except Conflict:
                 continue
             self.state = replace(_fold(state, event), version=state.version + 1)
+            if self.state.version % SNAPSHOT_EVERY == 0:
+                self.log.snapshot(self.state.version, asdict(self.state))
             return True
 
     # Writing
@@ -119,10 +130,12 @@ class Store:
     def put(self, key: str, value: bytes) -> None:
         self.put_all(self.spark.createDataFrame([(key, bytearray(value))], "key string, value binary").coalesce(1))
 
-    def put_all(self, df: DataFrame, order: str | None = None, token: str | None = None) -> bool:
-        """Puts rows (key, value); later ones in ``order`` win, rows without an order in any.  A token is put once only."""
+    def put_all(self, df: DataFrame, order: str | None = None, batch_of: tuple[str, int] | None = None) -> bool:
+        """Puts rows (key, value); later ones in ``order`` win, rows without an order in any.  ``batch_of`` names a stream
+        and its batch's number: a batch up to the stream's last is not put again."""
+        again = lambda s: batch_of is not None and s.streams.get(batch_of[0], -1) >= batch_of[1]
         with self._lock:
-            if token is not None and token in self.refresh().tokens:
+            if again(self.refresh()):
                 return False
             self._commit(lambda s: {"event_type": "reserve"})
             batch = self.state.next_batch - 1  # this version's, so no other writer's
@@ -131,7 +144,7 @@ class Store:
             run = self._write(rows, f"log/{uuid.uuid4().hex}")
             if run is None:
                 return False
-            put = self._commit(lambda s: None if token is not None and token in s.tokens else {"event_type": "put", "run": run.__dict__, "token": token})
+            put = self._commit(lambda s: None if again(s) else {"event_type": "put", "run": run.__dict__, "batch_of": batch_of})
             if put and sum(r.bytes for r in self.state.active) >= self.config.max_sstable_size:
                 self.freeze()
             return put
@@ -241,8 +254,8 @@ def _fold(state: State, event: dict) -> State:
     kind = event["event_type"]
     if kind == "put":
         run = Run(**event["run"])
-        tokens = state.tokens | {event["token"]} if event.get("token") is not None else state.tokens
-        return replace(state, active=(*state.active, run), tokens=tokens)
+        streams = state.streams | dict([event["batch_of"]]) if event["batch_of"] else state.streams
+        return replace(state, active=(*state.active, run), streams=streams)
     if kind == "reserve":
         return replace(state, next_batch=state.next_batch + 1)
     if kind == "freeze":

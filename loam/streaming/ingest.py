@@ -13,7 +13,7 @@ def into_store(stream: DataFrame, store: Store, checkpoint: str, name: str, orde
     """Puts each micro-batch of (key, value) once, however often it is tried; with ``flush``, full buffers are flushed."""
 
     def put(df: DataFrame, batch: int) -> None:
-        store.put_all(df, order=order, token=f"{name}:{batch}")
+        store.put_all(df, order=order, batch_of=(name, batch))
         while flush and store.flush_next():
             pass
 

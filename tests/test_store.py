@@ -101,10 +101,10 @@ def test_writers_do_not_lose_each_others_work(spark, root):
         log.append(1, {"event_type": "freeze"})
 
 
-def test_tokens_nulls_and_empty_puts(spark, root):
+def test_streams_nulls_and_empty_puts(spark, root):
     store = Store.create(spark, root)
     rows = batch(spark, [("a", "1")])
-    assert store.put_all(rows, token="t:0") and not Store.open(spark, root).put_all(rows, token="t:0")
+    assert store.put_all(rows, batch_of=("t", 0)) and not Store.open(spark, root).put_all(rows, batch_of=("t", 0))
     assert not store.put_all(rows.limit(0))
     with pytest.raises(ValueError):
         store.put_all(spark.createDataFrame([("a", None)], "key string, value binary"))
@@ -117,3 +117,15 @@ def test_missing_store(spark, root):
     empty = Store.create(spark, root)
     assert empty.get("a") is None and read(empty) == [] and empty.vacuum() == []
     empty.close()
+
+
+def test_snapshots_bound_an_opening(spark, root, monkeypatch):
+    monkeypatch.setattr("loam.store.SNAPSHOT_EVERY", 3)
+    store = Store.create(spark, root, SMALL)
+    for n in range(4):
+        store.put_all(batch(spark, [(f"k{n}", str(n)), ("a", str(n))]), order="at", batch_of=("s", n))
+        store.freeze()
+    store.flush_next()
+    again = Store.open(spark, root)
+    assert again.state == store.state and again.log.last_snapshot()[0] > 0 and again.state.streams == {"s": 3}
+    assert read(again) == [("a", "3"), ("k0", "0"), ("k1", "1"), ("k2", "2"), ("k3", "3")]
