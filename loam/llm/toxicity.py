@@ -33,7 +33,8 @@ TRAIN_ROWS = 20_000
 WITNESSES = 400
 NEGATIVES = 20_000
 HARD_NEGATIVES = 4_000
-LANDMARKS = 96
+HARD_ROUNDS = 2
+LANDMARKS = 320
 DECAY = 0.75
 #: Letters that a subsequence may span, and letters of a unit that are seen at once (longer ones go by steps of half).
 SPAN = 8
@@ -159,38 +160,53 @@ class Machine:
         return value
 
 
+def kernel(words: list[bytes], marks: np.ndarray) -> np.ndarray:
+    """Kernel values of words with landmarks; ``marks`` has a row for each code, and a last one of zeros."""
+    out = np.zeros((len(words), marks.shape[1]))
+    for at, codes, weight in _coded(words):
+        if not len(weight):
+            continue
+        for i in range(0, len(at), 64):
+            out[at[i : i + 64]] = np.tensordot(weight.astype(np.float32), marks[codes[i : i + 64]], axes=(0, 1))
+    return out
+
+
 def fit_machine(
-    positive: list[bytes], negative: list[bytes], positive_weight: np.ndarray | None = None, negative_weight: np.ndarray | None = None, penalty: float = 0.002, landmarks: int = LANDMARKS
+    positive: list[bytes], negative: list[bytes], landmarks: list[bytes], positive_weight: np.ndarray | None = None, negative_weight: np.ndarray | None = None, penalty: float = 0.0002
 ) -> Machine:
     """Squared-hinge machine on landmark features, by Newton steps over the active rows.  A unit may be on both sides."""
     machine = Machine()
     if not positive or not negative:
         return machine
-    chosen = positive[: landmarks // 2]
-    step = max(1, len(negative) // max(1, landmarks - len(chosen)))
-    chosen = list(dict.fromkeys([*chosen, *negative[::step][: landmarks - len(chosen)]]))
-    mark = features(chosen)
-    values, vectors = np.linalg.eigh((mark @ mark.T).astype(float))
+    chosen = list(dict.fromkeys(landmarks))
+    marks = np.zeros((CODES + 1, len(chosen)), np.float32)
+    for at, codes, weight in _coded(chosen):
+        for n, row in zip(at, codes, strict=True):
+            np.add.at(marks[:, n], row, weight.astype(np.float32))
+    marks[-1] = 0
+    values, vectors = np.linalg.eigh((marks.T @ marks).astype(float))
     kept = values > 1e-6 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
-    rows = positive + negative
-    kernel = np.concatenate([features(rows[a : a + 128]) @ mark.T for a in range(0, len(rows), 128)]).astype(float)
-    z = np.concatenate([kernel @ root, np.ones((len(rows), 1))], 1)
-    y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
+    rows = list(dict.fromkeys(positive + negative))
+    z = np.concatenate([kernel(rows, marks) @ root, np.ones((len(rows), 1))], 1)
+    place = {w: i for i, w in enumerate(rows)}
     share = np.ones(len(positive)) if positive_weight is None else positive_weight
     other = np.ones(len(negative)) if negative_weight is None else negative_weight
-    weight = np.concatenate([share / share.sum(), other / share.sum() * min(1.0, share.sum() / other.sum() * 2)])
+    gain = np.zeros((2, len(rows)))  # weight of each row on either side
+    np.add.at(gain[0], [place[w] for w in positive], share / share.sum())
+    np.add.at(gain[1], [place[w] for w in negative], 2 * other / other.sum())
     ridge = np.full(z.shape[1], penalty / 10)
     ridge[-1] = 1e-6
-    w, active = np.zeros(z.shape[1]), np.ones(len(y), bool)
+    w, active = np.zeros(z.shape[1]), np.ones((2, len(rows)), bool)
     for _ in range(50):
-        za = z[active] * weight[active, None]
-        w = np.linalg.solve(z[active].T @ za + np.diag(ridge), za.T @ y[active])
-        now = y * (z @ w) < 1
+        live = gain * active
+        w = np.linalg.solve((z * live.sum(0)[:, None]).T @ z + np.diag(ridge), z.T @ (live[0] - live[1]))
+        value = z @ w
+        now = np.stack([value < 1, value > -1])
         if (now == active).all():
             break
         active = now
-    machine.weights[:-1] = (root @ w[:-1]) @ mark
+    machine.weights[:-1] = marks[:-1] @ (root @ w[:-1])
     machine.bias = float(w[-1])
     return machine
 
@@ -238,28 +254,34 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not found:
         return Machine()
     positive = [bytes(r["unit"]) for r in found]
-    others = seen.filter(~witness & (F.col("clean") > 0) & (F.col("toxic") / n <= 1.5 * rate))
+    others = seen.filter(~witness & (F.col("clean") > 0) & (2 * F.col("toxic") <= n))
     negative = sorted(bytes(r["unit"]) for r in others.orderBy(F.xxhash64(F.lit(5), "unit"), "unit").limit(NEGATIVES).collect())
     if not negative:
         return Machine()
     inserted = varied(positive)
-    given = np.sqrt(np.array([r["toxic"] for r in found], float))
-    rows_of = lambda extra, inserted: (  # noqa: E731  a witness that clean documents have too is on both sides, by its counts
-        positive + inserted,
-        negative + extra + positive,
-        np.concatenate([given, np.full(len(inserted), 0.3)]),
-        np.concatenate([np.full(len(negative), 0.02), np.full(len(extra), 0.3), given * np.array([r["clean"] / r["toxic"] for r in found])]),
-    )
-    machine = fit_machine(*rows_of([], inserted))
-
-    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.decide(words), pa.float64())], names=["unit", "value"])
-
-    hard = others.select("unit").mapInArrow(value, "unit binary, value double").orderBy(F.desc("value"), "unit").limit(HARD_NEGATIVES).collect()
-    extra = [bytes(r["unit"]) for r in hard]
-    machine = fit_machine(*rows_of(extra, [w for w in inserted if w not in set(extra)]))  # a clean unit is no variation
+    given = np.array([r["toxic"] for r in found], float)
+    clean_too = given * np.array([r["clean"] / r["toxic"] for r in found])
+    extra: list[bytes] = []
+    for _ in range(1 + HARD_ROUNDS):
+        # A witness that clean documents have too is on both sides, by its counts; a clean unit is no variation.
+        kept = [w for w in inserted if w not in set(extra)]
+        marks = positive[: LANDMARKS // 3] + extra[: LANDMARKS // 3]
+        marks += negative[:: max(1, len(negative) // (LANDMARKS - len(marks)))][: LANDMARKS - len(marks)]
+        machine = fit_machine(
+            positive + kept,
+            negative + extra + positive,
+            marks,
+            np.concatenate([given, np.full(len(kept), 0.02 * given.mean())]),
+            np.concatenate([np.full(len(negative), 0.02), np.full(len(extra), 0.3), clean_too]),
+        )
+
+        def value(batches: Iterator[pa.RecordBatch], machine: Machine = machine) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.decide(words), pa.float64())], names=["unit", "value"])
+
+        hard = others.select("unit").mapInArrow(value, "unit binary, value double").orderBy(F.desc("value"), "unit").limit(HARD_NEGATIVES).collect()
+        extra = list(dict.fromkeys([bytes(r["unit"]) for r in hard] + extra))[: 2 * HARD_NEGATIVES]
     got = _valued(known, machine, "__label int").limit(2 * rows).toArrow()
     x = np.stack([got.column(c).to_numpy() for c in ("top", "hits", "units")], 1).astype(float).reshape(-1, 3)
     y = (got.column("__label").to_numpy() > 0).astype(float)
@@ -274,14 +296,22 @@ def pooled_features(x: np.ndarray) -> np.ndarray:
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
-    """Ridge logistic regression by damped Newton steps."""
-    w = np.array([-4.0, 1.0, 1.0, 1.0])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        g = z.T @ (p - y) / max(len(y), 1) + ridge * w * [0, 1, 1, 1]
-        h = (z * (p * (1 - p))[:, None]).T @ z / max(len(y), 1) + ridge * np.eye(4)
-        w = w - 0.7 * np.linalg.solve(h, g)
-    return np.array([w[0], *np.maximum(w[1:], 0)])
+    """Ridge logistic regression by damped Newton steps; a feature that would speak against toxicity is left out."""
+    used = [0, 1, 2, 3]
+    while True:
+        x, w = z[:, used], np.array([-4.0] + [1.0] * (len(used) - 1))
+        keep = np.array([0.0] + [1.0] * (len(used) - 1))
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+            g = x.T @ (p - y) / max(len(y), 1) + ridge * w * keep
+            h = (x * (p * (1 - p))[:, None]).T @ x / max(len(y), 1) + ridge * np.eye(len(used))
+            w = w - 0.5 * np.linalg.solve(h, g)
+        worst = int(w[1:].argmin()) + 1 if len(used) > 1 else 0
+        if not worst or w[worst] >= 0:
+            out = np.zeros(4)
+            out[used] = w
+            return out
+        del used[worst]
 
 
 def _valued(df: DataFrame, machine: Machine, first: str) -> DataFrame:
