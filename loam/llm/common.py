@@ -77,11 +77,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """UTF-8 words ``[^\\x20\\x09-\\x0D]+`` of a text; a null text has none."""
-    return text.encode("utf-8", "replace").split() if text else []
-
-
 def mix64(a: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply, shift, xor) over an unsigned array."""
     with np.errstate(over="ignore"):
@@ -94,6 +89,43 @@ def mix64(a: np.ndarray) -> np.ndarray:
     return a
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[list(SPACES.encode())] = True
+_powers = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a UTF-8 text: a polynomial of its bytes, mixed.  No word becomes an object."""
+    global _powers
+    b = np.frombuffer(raw, np.uint8)
+    word = ~_SPACE[b]
+    kept = b[word]
+    if not len(kept):
+        return np.empty(0, np.uint64)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
+    lengths = edges[1::2] - edges[0::2]
+    first = np.cumsum(lengths) - lengths
+    while lengths.max() > len(_powers):
+        _powers = np.cumprod(np.full(2 * len(_powers), _powers[0], np.uint64))
+    place = np.arange(len(kept)) - np.repeat(first, lengths)
+    value = (kept.astype(np.uint64) + np.uint64(1)) * _powers[place]
+    return mix64(np.add.reduceat(value, first) + lengths.astype(np.uint64))
+
+
+def window_sums(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each window of ``size`` words, from the words' hashes."""
+    n = len(hashes) - size + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    total = np.full(n, size, np.uint64)
+    for k in range(size):
+        total += hashes[k : n + k] * _places[k]
+    return mix64(total)
+
+
+_places = np.random.default_rng(20_240_229).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of a column's decimal text, modulo ``modulus``; a null counts as remainder 0 of the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

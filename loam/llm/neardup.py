@@ -21,11 +21,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import checkpointed, materialize, mix64, parts_for
+from loam.llm.common import checkpointed, materialize, mix64, parts_for, window_sums, word_hashes
 from loam.llm.graph import components
 
 NGRAM = 5
@@ -44,9 +43,8 @@ CLUSTER_SHINGLES = 2_000_000
 CELLS = 1 << 20
 
 _RNG = np.random.default_rng(20_240_229)
-_MULTIPLY = _RNG.integers(1, 2**63, TREES * DEEPEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, TREES * DEEPEST, dtype=np.uint64)
-_PLACE = _RNG.integers(1, 2**63, NGRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLY = _RNG.integers(0, 2**31, TREES * DEEPEST, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.integers(0, 2**32, TREES * DEEPEST, dtype=np.uint32)
 
 
 def depth_for(threshold: float, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET) -> int:
@@ -57,37 +55,23 @@ def depth_for(threshold: float, trees: int = TREES, deepest: int = DEEPEST, targ
     return depth
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash, filled as words come; emptied when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 400_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(words: list[bytes], hashes: _Hashes | None = None, n: int = NGRAM) -> np.ndarray:
+def shingles(raw: bytes, n: int = NGRAM) -> np.ndarray:
     """Sorted distinct hashes of all n-word windows; of all words if there are fewer, none if there is no word."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = (hashes if hashes is not None else _Hashes()).of(words)
-    size = min(n, len(h))
-    total = np.full(len(h) - size + 1, size, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            total += h[k : len(h) - size + 1 + k] * _PLACE[k]
-    return np.unique(mix64(total))
+    h = word_hashes(raw)
+    if not len(h):
+        return h
+    s = np.sort(window_sums(h, min(n, len(h))))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def minima(s: np.ndarray) -> np.ndarray:
-    out = np.full(TREES * DEEPEST, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(s), 1024):
-            np.minimum(out, (s[None, at : at + 1024] * _MULTIPLY[:, None] + _ADD[:, None]).min(1), out=out)
+    """Least values of the shingles under 32-bit linear permutations."""
+    out = np.full(TREES * DEEPEST, 0xFFFFFFFF, np.uint32)
+    high = (s >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 1024):
+        x = high[None, at : at + 1024] * _MULTIPLY[:, None]
+        x += _ADD[:, None]
+        np.minimum(out, x.min(1), out=out)
     return out
 
 
@@ -96,7 +80,7 @@ def labels(m: np.ndarray, depth: int) -> np.ndarray:
     out = np.arange(TREES, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(depth):
-            out = mix64(out * np.uint64(31) + m.reshape(TREES, DEEPEST)[:, k])
+            out = mix64(out * np.uint64(31) + m.reshape(TREES, DEEPEST)[:, k].astype(np.uint64))
     return out
 
 
@@ -106,7 +90,7 @@ def text_key(text_col: str) -> Column:
 
 def _features(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = _Hashes(), set()
+        seen: set[bytes] = set()
         for batch in batches:
             keys, counts, label, signature = [], [], [], []
             for x in batch.column(1):
@@ -120,11 +104,11 @@ def _features(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     continue
                 if len(seen) < 500_000:
                     seen.add(key)
-                s = shingles(raw.split(), hashes)
+                s = shingles(raw)
                 m = minima(s)
                 counts.append(len(s))
                 label.append(labels(m, depth).view(np.int64) if len(s) else [])
-                signature.append((m >> np.uint64(48)).astype("<u2").tobytes())
+                signature.append((m >> np.uint32(16)).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(label, pa.list_(pa.int64())), pa.array(signature, pa.binary())],
                 names=["doc_id", "key", "shingles", "labels", "signature"],
@@ -240,13 +224,12 @@ def similar(inter: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.nda
 
 def _cluster_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns cid, low, high, chunk, uid, body; gives uid, links, root for each row of a pair of chunks."""
-    hashes = _Hashes()
     for table, bounds in _runs(batches, 3):
         uid, chunk, high = (table.column(c).to_numpy() for c in ("uid", "chunk", "high"))
         low, body = table.column("low").to_numpy(), table.column("body")
         out = []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            sets = [shingles((body[i].as_py() or b"").split(), hashes) for i in range(a, b)]
+            sets = [shingles(body[i].as_py() or b"") for i in range(a, b)]
             size = np.array([len(s) for s in sets])
             ids = uid[a:b]
             if low[a] == high[a]:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from loam.llm import neardup
+from loam.llm.common import word_hashes
 from loam.llm.graph import components
 from pyspark.sql import functions as F
 
@@ -129,3 +130,11 @@ def test_components(spark, shape):
     want = {i: find(i) for e in edges if e[0] != e[1] for i in e}
     out = components(spark.createDataFrame(edges, "u long, v long"))
     assert {r.node: r.root for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", "a b", " lead  tail ", "é\u00a0x\x1cy z\n\tq", "w" * 10_000 + " w", "ab ba aa bb a b"])
+def test_word_hashes(text):
+    words = text.encode().split()
+    got = word_hashes(text.encode()).tolist()
+    assert len(got) == len(words) and len(set(got)) == len(set(words))
+    assert got == [word_hashes(w).tolist()[0] for w in words]
