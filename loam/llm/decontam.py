@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import mix64
-from loam.llm.neardup import _PLACE, _Hashes
+from loam.llm.common import window_sums, word_hashes
 
 #: Words of a seed and of the shortest tile.
 LEAST = 5
@@ -32,20 +31,13 @@ CHUNK_WORDS = 1_000_000
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
 
-def plain_words(text: str | None) -> list[bytes]:
-    """Lower-case words; ASCII punctuation separates."""
-    return (text or "").lower().encode("utf-8", "replace").translate(_PLAIN).split()
+def plain(text: str | None) -> bytes:
+    """Lower-case text; ASCII punctuation separates words."""
+    return (text or "").lower().encode("utf-8", "replace").translate(_PLAIN)
 
 
-def window_hashes(words: list[bytes], hashes: _Hashes) -> np.ndarray:
-    if len(words) < LEAST:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
-    total = np.zeros(len(h) - LEAST + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(LEAST):
-            total += h[k : len(h) - LEAST + 1 + k] * _PLACE[k]
-    return mix64(total)
+def seeds(raw: bytes) -> np.ndarray:
+    return window_sums(word_hashes(raw), LEAST)
 
 
 def _windows(tokens: list, marked: list[bool], size: int) -> Iterator[tuple[int, int]]:
@@ -126,8 +118,7 @@ class Items:
     words: list[list[bytes]]
 
     def __post_init__(self):
-        hashes = _Hashes()
-        each = [np.unique(window_hashes(w, hashes)) for w in self.words]
+        each = [np.unique(seeds(b" ".join(w))) for w in self.words]
         values = np.concatenate([np.empty(0, np.uint64), *each])
         owner = np.repeat(np.arange(len(each)), [len(e) for e in each])
         order = np.argsort(values, kind="stable")
@@ -135,9 +126,9 @@ class Items:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.values >> np.uint64(42)] = True
 
-    def of(self, words: list[bytes], hashes: _Hashes) -> dict[int, list[int]]:
+    def of(self, raw: bytes) -> dict[int, list[int]]:
         """Items that share a seed with a text, each with the seeds' places in the text."""
-        h = window_hashes(words, hashes)
+        h = seeds(raw)
         at = np.flatnonzero(self.maybe[h >> np.uint64(42)])
         low, high = np.searchsorted(self.values, h[at], "left"), np.searchsorted(self.values, h[at], "right")
         out: dict[int, list[int]] = {}
@@ -146,11 +137,11 @@ class Items:
                 out.setdefault(item, []).append(place)
         return out
 
-    def matches(self, text: str | None, hashes: _Hashes, coverage: float) -> list[tuple]:
+    def matches(self, text: str | None, coverage: float) -> list[tuple]:
         """(item id, coverage, tiles) of the items that the text covers enough of; tiles by words of item and text."""
-        words = plain_words(text)
-        found = []
-        for item, places in self.of(words, hashes).items():
+        raw, words, found = plain(text), None, []
+        for item, places in self.of(raw).items():
+            words = raw.split() if words is None else words
             target = self.words[item]
             held = np.zeros(len(words), bool)
             for k in range(LEAST):
@@ -178,7 +169,7 @@ def item_chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk_words:
     chunks = max(1, -(-int(total) // chunk_words))
     for chunk in range(chunks):
         some = benchmark.filter(F.pmod(F.xxhash64(item_col, text_col), F.lit(chunks)) == chunk) if chunks > 1 else benchmark
-        got = [(r[0], plain_words(r[1])) for r in some.select(item_col, text_col).collect()]  # bounded by the chunk
+        got = [(r[0], plain(r[1]).split()) for r in some.select(item_col, text_col).collect()]  # bounded by the chunk
         got = sorted(((i, w) for i, w in got if len(w) >= LEAST), key=repr)
         yield Items([i for i, _ in got], [w for _, w in got])
 
@@ -198,13 +189,13 @@ def find(
         sent = df.sparkSession.sparkContext.broadcast((items.ids, items.words))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, hashes = Items(*sent.value), _Hashes()
+            items = Items(*sent.value)
             kind = None
             for batch in batches:
                 kind = batch.schema.field(0).type
                 which, got = [], []
                 for i, body in enumerate(batch.column(1)):
-                    for x in items.matches(body.as_py(), hashes, coverage):
+                    for x in items.matches(body.as_py(), coverage):
                         which.append(i)
                         got.append(x)
                 yield pa.RecordBatch.from_arrays(
@@ -231,9 +222,9 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
         sent = df.sparkSession.sparkContext.broadcast((items.ids, items.words))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, hashes = Items(*sent.value), _Hashes()
+            items = Items(*sent.value)
             for batch in batches:
-                yield batch.filter(pa.array([not items.matches(x.as_py(), hashes, coverage) for x in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not items.matches(x.as_py(), coverage) for x in batch.column(at)], pa.bool_()))
 
         df = df.mapInArrow(run, df.schema)
     return df
