@@ -113,8 +113,8 @@ def _shape(kind: str, body: Column) -> Column:
     return _vote(F.char_length(_digits(body)).between(10, 13), F.char_length(_digits(body)) > 15)
 
 
-def _starts(gaps: Column, matches: Column) -> Column:
-    """Code point positions of the matches: prefix sums, in blocks so that the work stays near linear."""
+def _blocks(gaps: Column, matches: Column) -> Column:
+    """Lengths of gaps and matches in blocks: sums by block, then within each, keep the work of positions near linear."""
     block = 256
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m")))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / block).cast("int")), lambda b: F.slice(steps, b * block + 1, F.lit(block)))
@@ -130,7 +130,7 @@ def _spans(df: DataFrame, kind: str, text: str, pattern: str, gate: str, loose:
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     gated = F.when(F.col(text).rlike(gate), F.col(text)).otherwise("")
     df = df.withColumns(_located(gated, pattern, "__"))
-    df = df.withColumn("__blocks", _starts(F.col("__g"), F.col("__m")))
+    df = df.withColumn("__blocks", _blocks(F.col("__g"), F.col("__m")))
     width = lambda b: F.aggregate(b, F.lit(0), lambda a, s: a + s["g"] + s["m"])
     step = lambda a, w: F.struct((a["at"] + w).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts"))
     df = df.withColumn("__offsets", F.aggregate(F.transform("__blocks", width), zero, step)["starts"])
