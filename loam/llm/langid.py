@@ -2,8 +2,9 @@
 
 Both directions read a word's bytes, and a softmax over their joined states labels every position.  States start anew at
 each word, so that a word's labels depend on the word alone: each distinct word of a task goes through the network once,
-however often it stands in the texts, and the whole of every text takes part.  A document's probabilities are the mean
-over all its positions in words of letters.
+however often it stands in the texts, and the whole of every text takes part.  A line's probabilities are the mean over
+all its positions in words of letters; the document's are the mean over its lines, each weighted by the logarithm of its
+number of words, so that one long quotation in another language does not outweigh the document.
 
 The network is trained in numpy by backpropagation through time on words of a bounded sample of documents
 (``TRAIN_ROWS`` documents, ``TRAIN_WORDS`` words).
@@ -32,15 +33,17 @@ LEAST_STEPS = 300
 LONGEST = 32
 CACHE = 300_000
 
-_PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 97 or 122 < c < 128 else c for c in range(256))
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c != 10 and c < 97 or 122 < c < 128 else c for c in range(256))
+
+
+def letter_lines(text: str | None) -> list[list[bytes]]:
+    """For each line with any, its lower-case runs of anything but ASCII signs and digits, longer ones in pieces."""
+    lines = [x.split() for x in (text or "").lower().encode("utf-8", "replace").translate(_PLAIN).split(b"\n")]
+    return [w if max(map(len, w)) <= LONGEST else [p[i : i + LONGEST] for p in w for i in range(0, len(p), LONGEST)] for w in lines if w]
 
 
 def letter_words(text: str | None) -> list[bytes]:
-    """Lower-case runs of anything but ASCII signs and digits, those longer than ``LONGEST`` in pieces."""
-    words = (text or "").lower().encode("utf-8", "replace").translate(_PLAIN).split()
-    if any(len(w) > LONGEST for w in words):
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+    return [w for line in letter_lines(text) for w in line]
 
 
 def has_letter(text: str | None) -> bool:
@@ -185,6 +188,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fit(languages, known, (counts / total[:, None]).astype(np.float32), np.sqrt(total).astype(np.float32))
 
 
+def pool(words: np.ndarray, per_line: np.ndarray) -> np.ndarray:
+    """A document's probabilities from its words' sums, in the order of its lines, and the lines' numbers of words."""
+    lines = np.add.reduceat(words.astype(np.float64), np.cumsum(per_line) - per_line, 0)
+    lines /= lines.sum(1, keepdims=True)
+    weight = np.log1p(per_line)
+    return weight @ lines / weight.sum()
+
+
 def predict(df: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row.
 
@@ -204,20 +215,19 @@ def predict(df: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: st
             live = [i for i, t in enumerate(texts) if net is not None and has_letter(t)]
             for at in range(0, len(live), 512):
                 part = live[at : at + 512]
-                split = [letter_words(texts[i]) for i in part]
-                new = set().union(*split) - index.keys()
+                split = [letter_lines(texts[i]) for i in part]
+                every = set().union(*(line for lines in split for line in lines))
+                new = every - index.keys()
                 if len(index) + len(new) > CACHE:
-                    index, sums, new = {}, sums[:0], set().union(*split)
+                    index, sums, new = {}, sums[:0], every
                 if new:
                     new_words = sorted(new)
                     index.update(zip(new_words, range(len(sums), len(sums) + len(new_words)), strict=True))
                     sums = np.concatenate([sums, net.sums(new_words)])
-                for i, words in zip(part, split, strict=True):
-                    if not words:  # letters that are signs to the splitter cannot be
-                        continue
-                    pooled = sums[list(map(index.__getitem__, words))].sum(0, dtype=np.float64)
+                for i, lines in zip(part, split, strict=True):
+                    pooled = pool(sums[[index[w] for line in lines for w in line]], np.array([len(line) for line in lines]))
                     best = int(pooled.argmax())
-                    said[i], score[i] = net.languages[best], min(1.0, pooled[best] / pooled.sum())
+                    said[i], score[i] = net.languages[best], min(1.0, pooled[best])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")

@@ -66,10 +66,10 @@ def test_held_out_accuracy(learned):
 def test_odd_texts(learned, docs):
     _, net = learned
     rng = random.Random(2)
-    texts = [None, "", "12 34 !", "\U0001f600", text(rng, "yy", 20_000), "bakomitu" * 30_000, "ÖSK STRÉNY"]
+    texts = [None, "", "12 34 !", "\U0001f600", text(rng, "yy", 20_000), "bakomitu" * 30_000, "ÖSK STRÉNY", "\n".join([text(rng, "xx", 12), text(rng, "yy", 40), text(rng, "xx", 12)])]
     df = docs(texts).withColumns({"lang_pred": F.lit("xx"), "score": F.lit(1), "body": F.lit("")})
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, net).collect()}
-    assert [got[i][0] for i in range(7)] == ["und"] * 4 + ["yy", "xx", "yy"] and got[0][1] == 0
+    assert [got[i][0] for i in range(8)] == ["und"] * 4 + ["yy", "xx", "yy", "xx"] and got[0][1] == 0
 
 
 def test_empty_tables(learned, docs):
