@@ -178,7 +178,7 @@ def meta_blocks(spark, sf_dir):
 
 def find_block(spark, sf_dir):
     metas = layout.meta_blocks(_placed(spark, sf_dir).filter("table = 0"))
-    return lookup.find_blocks(metas, _probes(spark, "user%08d", 2, 80))
+    return lookup.find_blocks(metas, _probes(spark, "user%08d", 2, 80)).withColumn("block", F.coalesce("block", F.lit(-1)))
 
 
 def _summaries(spark, sf_dir):
@@ -358,7 +358,7 @@ ORACLES = {
     "block_pack": f'WITH RECURSIVE {_BLOCKS} SELECT batch AS "table", key, block FROM packed',
     "meta_blocks": f"""WITH RECURSIVE {_BLOCKS} SELECT "table", block, first_key, last_key, records,
       coalesce(sum(bytes) OVER (PARTITION BY "table" ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM metas""",
-    "find_block": f"""WITH RECURSIVE {_BLOCKS}, {_numbers('user%08d', 2, 80)} SELECT probe, min(block) AS block
+    "find_block": f"""WITH RECURSIVE {_BLOCKS}, {_numbers('user%08d', 2, 80)} SELECT probe, coalesce(min(block), -1) AS block
       FROM probes LEFT JOIN (SELECT * FROM metas WHERE "table" = 0) ON probe BETWEEN first_key AND last_key GROUP BY probe""",
     "sstable_summary": f"WITH RECURSIVE {_SUMMARY} SELECT * FROM summary",
     "table_range_prune": f'WITH RECURSIVE {_SUMMARY}, {_numbers("user%08d", 9, 18)} SELECT probe, "table" FROM probes JOIN summary ON probe BETWEEN first_key AND last_key',
