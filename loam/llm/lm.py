@@ -5,14 +5,19 @@ tasks with their counts, which bounds what is broadcast; all other words of a te
 word, to an exact join with the counts table.
 
 The model reads words, with a softmax factored into classes of about the square root of the vocabulary, and is trained
-in numpy by truncated backpropagation on a bounded sample (``TRAIN_ROWS`` documents, ``TRAIN_TOKENS`` tokens).  Its
-vocabulary is the commonest ``VOCABULARY`` words and the end; any other word is the unknown token times the word's
-smoothed share of the training tokens beyond the vocabulary.  A text is scored whole: windows bound the memory, and the
-state is carried from each to the next.
+in numpy by truncated backpropagation.  The driver starts it on a bounded sample (``TRAIN_ROWS`` documents,
+``TRAIN_TOKENS`` tokens); each task then goes on from there over all its training documents, and the tasks' changes are
+averaged, those of a word or class by how often each task met it.  The vocabulary is the commonest words and the end:
+``VOCABULARY`` words, or twice the root of the training tokens if that is more, as far as ``HOT`` goes.  Any other word
+is the unknown token times the word's smoothed share of the training tokens beyond the vocabulary.  A text is read
+whole: windows bound the memory, and the state is carried from each to the next.
 """
 
 from __future__ import annotations
 
+import copy
+import heapq
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +39,11 @@ EPOCHS = 2
 LEAST_STEPS = 150
 STREAMS = 64
 WINDOW = 16
+#: Documents that a task learns from side by side, and its rate.
+TASK_STREAMS = 512
+TASK_RATE = 0.01
+#: Numbers in a row of a task's changes.
+CHUNK = 1 << 15
 #: Tokens scored side by side in a task, and steps between two softmaxes.
 SCORE_TOKENS = 4_000_000
 SCORE_WINDOW = 32
@@ -221,6 +231,118 @@ def fit(documents: list[np.ndarray], frequencies: np.ndarray, epochs: int = EPOC
     return model
 
 
+class LazyAdam(Adam):
+    """Leaves rows without a gradient as they are, so that a step costs by the words in it and not by the vocabulary."""
+
+    def step(self, grads: list[np.ndarray], clip: float = 5.0) -> None:
+        self.t += 1
+        rows = [np.flatnonzero(g.any(axis=tuple(range(1, g.ndim)))) if g.ndim > 1 else np.arange(len(g)) for g in grads]
+        some = [g[r] for g, r in zip(grads, rows, strict=True)]
+        norm = float(np.sqrt(sum(float((g * g).sum()) for g in some)))
+        scale = min(1.0, clip / (norm + 1e-9))
+        for p, g, r, m, v in zip(self.params, some, rows, self.m, self.v, strict=True):
+            g *= np.float32(scale)
+            a = m[r] = m[r] + 0.1 * (g - m[r])
+            b = v[r] = v[r] + 0.01 * (g * g - v[r])
+            p[r] -= self.rate * (a / (1 - 0.9**self.t)) / (np.sqrt(b / (1 - 0.99**self.t)) + 1e-8)
+
+
+def learn_on(model: Model, documents: Iterator[np.ndarray], streams: int = TASK_STREAMS, window: int = WINDOW, rate: float = TASK_RATE) -> tuple[np.ndarray, np.ndarray]:
+    """Goes once over all documents, each whole, and changes the model.  Gives how often each symbol was read and each
+    class was the target's.  Holds a few windows of each stream and the longest documents."""
+    adam = LazyAdam(model.params(), rate)
+    read, met = np.zeros(len(model.gru.x), np.int64), np.zeros(len(model.class_b), np.int64)
+    lanes: list[list[np.ndarray]] = [[] for _ in range(streams)]  # each of symbols with their targets, documents one after another
+    filled = [(0, k) for k in range(streams)]
+    h = np.zeros((streams, model.gru.size), np.float32)
+
+    def steps(n: int, lanes: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+        x = np.stack([a[:, :n] for a in lanes], 2)
+        for at in range(0, n, window):
+            inputs, targets = x[0, at : at + window], x[1, at : at + window]
+            live = targets >= 0
+            adam.rate = rate * min(1.0, live.sum() / (streams * window))
+            h, _ = model.learn(inputs, targets, inputs == model.start, h, adam)
+            np.add(read, np.bincount(inputs[live], minlength=len(read)), out=read)
+            np.add(met, np.bincount(targets[live] // model.class_size, minlength=len(met)), out=met)
+        return h
+
+    for d in documents:
+        n, k = heapq.heappop(filled)
+        lanes[k].append(np.stack([np.concatenate([[model.start], d]), np.concatenate([d, [model.end]])]).astype(np.int32))
+        heapq.heappush(filled, (n + len(d) + 1, k))
+        if (ready := filled[0][0]) >= 8 * window:
+            ready -= ready % window
+            joined = [np.concatenate(a, 1) for a in lanes]
+            h = steps(ready, joined, h)
+            lanes = [[a[:, ready:]] for a in joined]
+            filled = [(n - ready, k) for n, k in filled]
+    left = [(k, np.concatenate(a, 1)) for k, a in enumerate(lanes) if a]
+    left = [(k, a) for k, a in left if a.shape[1]]
+    h = h[[k for k, _ in left]]
+    rest = [a for _, a in left]
+    while rest:  # streams end one by one
+        pad = [np.pad(a, ((0, 0), (0, max(0, window - a.shape[1]))), constant_values=-1) for a in rest]
+        for a in pad:
+            a[0][a[0] < 0] = model.start
+        h = steps(window, pad, h)
+        more = [i for i, a in enumerate(rest) if a.shape[1] > window]
+        h, rest = h[more], [rest[i][:, window:] for i in more]
+    return read, met
+
+
+def _weights(model: Model, read: np.ndarray, met: np.ndarray) -> list[np.ndarray]:
+    """What each row of each parameter counts for."""
+    every = np.float64(read.sum())
+    return [read.astype(float)[:, None], every, every, every, every, met.astype(float)[:, None, None], met.astype(float)[:, None]]
+
+
+def learn_all(known: DataFrame, model: Model, words: list[bytes]) -> None:
+    """Every task goes on from the model over all its rows of ``body``; the model gets the average of their changes."""
+    sent = known.sparkSession.sparkContext.broadcast((words, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, first = sent.value
+        ids = _Ids(zip(words, range(len(words)), strict=True))
+        own = copy.deepcopy(first)
+
+        def documents() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for x in batch.column(0):
+                    a = _encode(x.as_py(), ids)
+                    yield np.where(a < 0, own.unknown, a)
+
+        read, met = learn_on(own, documents())
+        if not read.any():
+            return
+        changes = [((p.astype(float) - q) * w).ravel() for p, q, w in zip(own.params(), first.params(), _weights(own, read, met), strict=True)]
+        flat = np.concatenate([*changes, read, met])
+        for k in range(0, len(flat), CHUNK):
+            some = flat[k : k + CHUNK].astype(np.float32)
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["chunk", "x"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                some = np.frombuffer(x.as_py(), np.float32)
+                held[k] = held[k] + some if k in held else some.astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "x"])
+
+    params = model.params()
+    sizes = [p.size for p in params] + [len(model.gru.x), len(model.class_b)]
+    flat = np.zeros(sum(sizes))
+    summed = known.select("body").mapInArrow(run, "chunk int, x binary").repartition("chunk").mapInArrow(total, "chunk int, x binary").toArrow()
+    for k, x in zip(summed.column("chunk").to_pylist(), summed.column("x"), strict=True):
+        some = np.frombuffer(x.as_py(), float)
+        flat[k * CHUNK : k * CHUNK + len(some)] = some
+    *changes, read, met = np.split(flat, np.cumsum(sizes)[:-1])
+    for p, change, w in zip(params, changes, _weights(model, read, met), strict=True):
+        p += (change.reshape(p.shape) / np.maximum(w, 1)).astype(np.float32)
+    sent.destroy()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
@@ -269,14 +391,15 @@ def commonest(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
     return [words[i] for i in order], n[order]
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, vocabulary: int = VOCABULARY, rows: int = TRAIN_ROWS, tokens: int = TRAIN_TOKENS) -> Trained:
-    """Learns from rows whose crc32(doc_id as text) mod 7 is not 2; a null text is an end alone."""
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, vocabulary: int | None = None, rows: int = TRAIN_ROWS, tokens: int = TRAIN_TOKENS) -> Trained:
+    """Learns from rows whose crc32(doc_id as text) mod 7 is not 2; a null text is an end alone.  ``rows`` and ``tokens`` bound the
+    sample that the model starts on; it learns from all rows.  Without ``vocabulary`` its words grow with the tokens."""
     known = df.filter(crc_mod(id_col, 7) != 2).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"))
     counts = materialize(known.select("body").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     documents = known.count()
     words, numbers = commonest(counts, hot)
-    size = min(vocabulary, len(words))
+    size = min(vocabulary or max(VOCABULARY, 2 * math.isqrt(int(sums[0]))), len(words))
     beyond, beyond_distinct = int(sums[0] - numbers[:size].sum()), int(sums[1] - size)
     trained = Trained(counts, documents, int(sums[0]) + documents, int(sums[1]) + (documents > 0), words, numbers, beyond, beyond_distinct, None)
     if not documents:
@@ -298,6 +421,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: in
     some = tasks.withColumn("before", F.coalesce(F.sum("size").over(enough), F.lit(0))).filter(F.col("before") < tokens).orderBy("place").select("ids").toArrow()
     sample = [np.array(x.values.to_numpy(), np.int32) for x in some.column("ids")]
     trained.model = fit(sample, np.concatenate([numbers[:size], [documents, beyond + 1]]).astype(float))
+    learn_all(known, trained.model, words[:size])
     return trained
 
 

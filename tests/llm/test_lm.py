@@ -111,3 +111,25 @@ def test_empty_tables(docs, spark):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
     nulls = docs([None, None])
     assert lm.score(nulls, lm.train(nulls)).count() == 2
+
+
+def test_model_learns_from_rows_beyond_the_sample(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"w{i % 50}x{k}" for k in range(8))) for i in range(600)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "VOCABULARY", 10)
+    trained = lm.train(df, rows=4, tokens=40)
+    model = trained.model
+    assert model.words == 2 * int((trained.tokens - trained.documents) ** 0.5)  # grows with the tokens
+    frequencies = np.concatenate([trained.hot_counts[: model.words], [trained.documents, trained.beyond + 1]]).astype(float)
+    assert (model.gru.x != lm.Model.new(frequencies).gru.x).any(1)[: model.words].all()  # all words were read, and not four documents' alone
+
+
+def test_learning_on_reads_every_symbol_once():
+    rng = np.random.default_rng(4)
+    docs = [(rng.integers(0, 10) + np.arange(n)) % 10 for n in [0, 1, 700, *rng.integers(0, 60, 300)]]
+    model = lm.Model.new(np.ones(12))
+    before = model.score(docs).sum()
+    read, met = lm.learn_on(model, iter(docs), streams=8, rate=0.01)
+    want = np.bincount(np.concatenate([np.append(d, model.end) for d in docs]), minlength=12)
+    assert (read[:10] == want[:10]).all() and read[model.start] == len(docs)
+    assert met.sum() == want.sum() == read.sum()
+    assert model.score(docs).sum() > 0.6 * before
