@@ -77,3 +77,17 @@ def test_table(docs):
     assert got.sequence_id.nunique() <= 1.25 * got.length.sum() / 64
     assert packing.pack(df.limit(0)).count() == 0
     assert packing.pack(docs([(None, "x"), (1, "y"), (1, "y")])).count() == 3
+
+
+def test_added_tokens_and_long_runs_are_encoded_by_the_contract(docs):
+    from tokenizers import Tokenizer
+
+    contract = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|>" * 3, "a<|endoftext|", "\n" * 1_000_000 + "a", "b" + " \t" * 600_000, "é" * 200_000, "plain", ""]
+    want = [contract.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [31373, 220, 50256, 995]
+    encoder = packing.Encoder()
+    assert [encoder.encode(t) for t in texts] == want
+    got = packing.pack(docs(texts[:3]), capacity=64).toPandas().sort_values("doc_id")
+    assert got.length.tolist() == [len(ids) + 1 for ids in want[:3]]
+    assert got.ids_crc32.tolist() == [zlib.crc32(np.array([*ids, 0], "<u4").tobytes()) for ids in want[:3]]
