@@ -3,7 +3,7 @@
 Windows of ``LEAST`` words that a text shares with benchmark items are its seeds.  For each item that a text shares a
 seed with, running Karp-Rabin matching marks the longest common runs of words first, without overlap in either, until
 none of ``LEAST`` words is left; the tiles' share of the item is its coverage, wherever and in whatever order they stand
-in the text.  Texts are read once, whole, and never move: the items' words and seeds are sent to the tasks, in chunks of
+in the text.  An item of fewer than ``LEAST`` words is sought whole: its seed is all of it.  Texts are read once, whole, and never move: the items' words and seeds are sent to the tasks, in chunks of
 ``CHUNK_WORDS`` words at most (a pass over the texts for each), so that what is broadcast is bounded however long the
 benchmark.
 """
@@ -125,6 +125,11 @@ class Items:
         self.values, self.owner = values[order], owner[order]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.values >> np.uint64(42)] = True
+        self.short: dict[int, dict[int, list[int]]] = {}  # by length, items shorter than a seed by their one seed
+        for i, w in enumerate(self.words):
+            if len(w) < LEAST:
+                seed = int(window_sums(word_hashes(b" ".join(w)), len(w))[0])
+                self.short.setdefault(len(w), {}).setdefault(seed, []).append(i)
 
     def of(self, raw: bytes) -> dict[int, list[int]]:
         """Items that share a seed with a text, each with the seeds' places in the text."""
@@ -137,6 +142,17 @@ class Items:
                 out.setdefault(item, []).append(place)
         return out
 
+    def whole(self, raw: bytes, words: list[bytes]) -> dict[int, int]:
+        """Items shorter than a seed that stand whole in a text, each with its first place."""
+        hashes, out = word_hashes(raw), {}
+        for n, items in self.short.items():
+            h = window_sums(hashes, n)
+            for place in np.flatnonzero(np.isin(h, np.array(list(items), np.uint64))).tolist():
+                for item in items[int(h[place])]:
+                    if item not in out and words[place : place + n] == self.words[item]:
+                        out[item] = place
+        return out
+
     def matches(self, text: str | None, coverage: float) -> list[tuple]:
         """(item id, coverage, tiles) of the items that the text covers enough of; tiles by words of item and text."""
         raw, words, found = plain(text), None, []
@@ -159,18 +175,21 @@ class Items:
             share = sum(k for _, _, k in got) / len(target)
             if share >= coverage:
                 found.append((self.ids[item], share, got))
+        if self.short:
+            for item, place in self.whole(raw, raw.split() if words is None else words).items():
+                found.append((self.ids[item], 1.0, [(0, place, len(self.words[item]))]))
         return found
 
 
 def item_chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk_words: int) -> Iterator[Items]:
-    """The benchmark by chunks of about ``chunk_words`` words.  Items of under ``LEAST`` words have no seed and are left out."""
+    """The benchmark by chunks of about ``chunk_words`` words.  Items without a word are left out."""
     words = F.size(F.split(F.col(text_col), r"\s+"))
     total = benchmark.select(F.sum(words)).first()[0] or 0
     chunks = max(1, -(-int(total) // chunk_words))
     for chunk in range(chunks):
         some = benchmark.filter(F.pmod(F.xxhash64(item_col, text_col), F.lit(chunks)) == chunk) if chunks > 1 else benchmark
         got = [(r[0], plain(r[1]).split()) for r in some.select(item_col, text_col).collect()]  # bounded by the chunk
-        got = sorted(((i, w) for i, w in got if len(w) >= LEAST), key=repr)
+        got = sorted(((i, w) for i, w in got if w), key=repr)
         yield Items([i for i, _ in got], [w for _, w in got])
 
 
@@ -179,8 +198,8 @@ def find(
 ) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, longest, tiles for each document and item that it covers enough of.
 
-    tiles: ``item:text:words`` by word positions.  Null and empty texts, and items of fewer than five words, match
-    nothing.  Repeated rows and items are matched each for itself; null ids are carried.  Other columns are not read.
+    tiles: ``item:text:words`` by word positions.  Null and empty texts and items match nothing; an item of
+    fewer than five words matches whole only.  Repeated rows and items are matched each for itself; null ids are carried.  Other columns are not read.
     """
     schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}, coverage double, n_tiles long, longest long, tiles string"
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"))

@@ -82,3 +82,14 @@ def test_empty_tables(docs, spark):
     texts, bench = setup(docs, spark)
     assert decontam.find(docs([]), bench).count() == 0 and decontam.drop_leaks(docs([]), bench).count() == 0
     assert decontam.find(docs(texts), bench.limit(0)).count() == 0 and decontam.drop_leaks(docs(texts), bench.limit(0)).count() == len(texts)
+
+
+def test_items_shorter_than_a_seed_match_whole(docs, spark):
+    bench = spark.createDataFrame([(1, "Quick fox"), (2, "alpha beta gamma delta"), (3, "solo"), (4, " .. "), (5, None), (6, "one two three four five six")], "item_id long, text string")
+    texts = ["the quick, FOX runs; quick fox", "quick brown fox", "alpha beta gamma delta", "alpha beta gamma", "so lo solos", "Solo!", "x one two three four five six y solo", None, ""]
+    for chunk in (decontam.CHUNK_WORDS, 3):
+        found = decontam.find(docs(texts), bench, chunk_words=chunk).collect()
+        assert sorted((r.doc_id, r.item_id, r.coverage, r.n_tiles, r.tiles) for r in found) == [
+            (0, 1, 1.0, 1, "0:1:2"), (2, 2, 1.0, 1, "0:0:4"), (5, 3, 1.0, 1, "0:0:1"), (6, 3, 1.0, 1, "0:8:1"), (6, 6, 1.0, 1, "0:1:6"),
+        ]
+        assert sorted(r.doc_id for r in decontam.drop_leaks(docs(texts), bench, chunk_words=chunk).collect()) == [1, 3, 4, 7, 8]
