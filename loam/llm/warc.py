@@ -6,7 +6,8 @@ bounded size under a temporary name and renames them, which makes a task that ru
 
 Reading.  Each record is a gzip member (or a plain record).  A record that fails a check (member, version line, length,
 block or payload digest) sends the reader to the next member or version line from which a whole record can be read; the
-bytes between are logged as a quarantined gap and all later records are recovered.
+bytes between are logged as a quarantined gap and all later records are recovered.  Records of every type are returned; a
+digest, HTTP length or HTTP head that a record does not have is not checked.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ TASK_BYTES = 32 << 20
 _EPOCH = "1970-01-01T00:00:00Z"  # archives of equal pages are equal
 _VERSION = b"WARC/1."
 _MEMBER = b"\x1f\x8b\x08"
+#: Headers that a record has once; others, such as WARC-Concurrent-To, may be repeated.
+_ONCE = frozenset(
+    "content-length content-type warc-block-digest warc-date warc-filename warc-identified-payload-type warc-ip-address warc-payload-digest warc-profile warc-record-id warc-refers-to"
+    " warc-refers-to-date warc-refers-to-target-uri warc-segment-number warc-segment-origin-id warc-segment-total-length warc-target-uri warc-truncated warc-type warc-warcinfo-id".split()
+)
 
 
 def _sha1(data: bytes) -> str:
@@ -88,8 +94,8 @@ class Record:
     refers_to: int | None
     url: str
     payload: bytes | None
-    payload_bytes: int
-    digest: str
+    payload_bytes: int | None
+    digest: str | None
     start: int
     end: int
 
@@ -105,15 +111,23 @@ def _plain_record(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
     stop = data.find(b"\r\n\r\n", start)
     if stop < 0:
         raise Damaged("headers do not end")
-    headers = {}
+    headers: dict[str, str] = {}
+    name = ""
     for line in data[start:stop].split(b"\r\n")[1:]:
+        if line[:1] in (b" ", b"\t") and name:  # a folded line
+            headers[name] += " " + line.decode("utf-8", "replace").strip()
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header without a colon")
         name = name.decode("latin-1").strip().lower()
-        if name in headers:
+        value = value.decode("utf-8", "replace").strip()
+        if name not in headers:
+            headers[name] = value
+        elif name in _ONCE:
             raise Damaged("two records' headers run together")
-        headers[name] = value.decode("utf-8", "replace").strip()
+        else:
+            headers[name] += ", " + value
     if not headers.get("content-length", "").isdigit():
         raise Damaged("no content length")
     if not re.fullmatch(r"<[^<>\s]+>", headers.get("warc-record-id", "")):
@@ -124,6 +138,42 @@ def _plain_record(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
     return headers, data[stop + 4 : end], end + 4
 
 
+def _digest(stated: str | None) -> tuple[str, bytes] | None:
+    """Algorithm and value of a stated digest, in base 32 or 16; none if there is none or its algorithm is not known."""
+    name, _, value = (stated or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        found = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except (binascii.Error, ValueError):
+        found = b""
+    if len(found) != size:
+        raise Damaged("digest cannot be read")
+    return name, found
+
+
+def _agrees(stated: str | None, data: bytes, sha1: str | None = None) -> bool:
+    """Whether data has the stated digest, if one is stated; ``sha1`` is the data's, if known."""
+    digest = _digest(stated)
+    if digest is None:
+        return True
+    return (bytes.fromhex(sha1) if sha1 and digest[0] == "sha1" else hashlib.new(digest[0], data).digest()) == digest[1]
+
+
+def _dechunked(data: bytes) -> bytes:
+    """The body of an HTTP message in chunks, as far as they can be read."""
+    out, at = [], 0
+    while size := re.compile(rb"([0-9a-fA-F]+)[^\r\n]*\r\n").match(data, at):
+        n = int(size[1], 16)
+        if not n:
+            break
+        out.append(data[size.end() : size.end() + n])
+        at = size.end() + n + 2
+    return b"".join(out)
+
+
 def read_record(data: bytes, start: int) -> Record:
     """The record at ``start``, whole and checked, or ``Damaged``."""
     if data[start : start + 3] == _MEMBER:
@@ -142,22 +192,31 @@ def read_record(data: bytes, start: int) -> Record:
             raise Damaged("member holds more than a record")
     else:
         headers, block, end = _plain_record(data, start)
-    if headers.get("warc-block-digest", _sha1(block)) != _sha1(block):
+    if not _agrees(headers.get("warc-block-digest"), block):
         raise Damaged("block digest differs")
     kind = headers.get("warc-type", "")
-    stop = block.find(b"\r\n\r\n")
-    length = re.search(rb"(?im)^content-length:\s*(\d+)", block[: max(stop, 0)])
-    if kind not in ("response", "revisit") or stop < 0 or not length:
-        raise Damaged("not a response or revisit of a page")
-    payload = block[stop + 4 :] if kind == "response" else None
-    stated = headers.get("warc-payload-digest", "")
-    if payload is not None and (_sha1(payload) != stated or len(payload) != int(length[1])):
-        raise Damaged("payload digest or length differs")
-    try:
-        digest = base64.b32decode(stated.removeprefix("sha1:")).hex()
-    except (binascii.Error, ValueError):
-        raise Damaged("payload digest cannot be read") from None
-    return Record(kind, _page(headers.get("warc-record-id")), _page(headers.get("warc-refers-to")), headers.get("warc-target-uri", ""), payload, int(length[1]), digest, start, end)
+    if not kind:
+        raise Damaged("no record type")
+    stop = block.find(b"\r\n\r\n") if kind in ("response", "revisit") and block.startswith(b"HTTP/") else -1
+    http = block[: max(stop, 0)]
+    length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+    payload = None if kind == "revisit" else block[stop + 4 :] if stop >= 0 else block
+    stated = headers.get("warc-payload-digest")
+    if payload is None:
+        digest = _digest(stated)
+        size = int(length[1]) if length else None
+        read = digest[1].hex() if digest else None
+    else:
+        size, read = len(payload), hashlib.sha1(payload).hexdigest()
+        # Of a request the payload is what follows its HTTP head; of other types that are not of pages, the block.
+        body = block[block.find(b"\r\n\r\n") + 4 :] if kind == "request" and b"\r\n\r\n" in block else payload
+        chunked = re.search(rb"(?im)^transfer-encoding:.*chunked", http)
+        cut = "warc-truncated" in headers or "warc-segment-number" in headers
+        if not (cut or _agrees(stated, body, read if body is payload else None) or chunked and _agrees(stated, _dechunked(payload))):
+            raise Damaged("payload digest or length differs")
+        if length and not chunked and not cut and size != int(length[1]):
+            raise Damaged("payload digest or length differs")
+    return Record(kind, _page(headers.get("warc-record-id")), _page(headers.get("warc-refers-to")), headers.get("warc-target-uri", ""), payload, size, read, start, end)
 
 
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:

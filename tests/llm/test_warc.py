@@ -68,3 +68,38 @@ def test_small_archives_and_payloads(spark):
     assert index.count() == 50 and index.select("archive").distinct().count() > 5
     got = {r.page_id: r for r in warc.read(spark, folder).collect()}
     assert {i: bytes(r.payload).decode() for i, r in got.items()} == {i: h for i, _, h in rows} and got[3].url == "http://h/3"
+
+
+def foreign(kind, block, *extra, name="1"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Length: {len(block)}", *extra]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_undamaged_records_from_elsewhere_are_returned():
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    chunked = http[:-2] + b"Transfer-Encoding: chunked\r\n\r\n" + b"3\r\nabc\r\n2\r\nde\r\n0\r\n\r\n"
+    parts = [
+        foreign("warcinfo", b"software: x\r\n"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", "WARC-Concurrent-To: <urn:a>", "WARC-Concurrent-To: <urn:b>"),
+        foreign("response", http + b"no length, no digest"),
+        foreign("response", chunked, f"WARC-Payload-Digest: {warc._sha1(b'abcde')}"),
+        foreign("response", http + b"hex", f"WARC-Payload-Digest: sha256:{hashlib.sha256(b'hex').hexdigest()}", f"WARC-Block-Digest: md5:{hashlib.md5(http + b'hex').hexdigest()}"),
+        foreign("response", http[:-2] + b"Content-Length: 99\r\n\r\ncut", "WARC-Truncated: length"),
+        foreign("resource", b"a file", "WARC-Target-URI: file:///a", f"WARC-Block-Digest: {warc._sha1(b'a file')}"),
+        foreign("revisit", http),
+        foreign("metadata", b""),
+    ]
+    for data in (b"".join(parts), b"".join(map(gzip.compress, parts))):
+        got = list(warc.salvage(data))
+        assert [x.kind for x in got] == ["warcinfo", "request", "response", "response", "response", "response", "resource", "revisit", "metadata"]
+        assert got[2].payload == b"no length, no digest" and got[2].digest == hashlib.sha1(got[2].payload).hexdigest()
+        assert got[6].payload == b"a file" and got[7].payload_bytes is got[7].digest is None
+    for bad in (
+        foreign("response", http + b"x", f"WARC-Payload-Digest: {warc._sha1(b'y')}"),
+        foreign("response", http[:-2] + b"Content-Length: 99\r\n\r\ncut"),
+        foreign("resource", b"x", f"WARC-Block-Digest: {warc._sha1(b'y')}"),
+        foreign("resource", b"x", "WARC-Date: 2020-01-01T00:00:00Z"),
+        foreign("revisit", http, "WARC-Payload-Digest: sha1:??"),
+    ):
+        got = list(warc.salvage(bad + parts[0]))
+        assert [isinstance(x, warc.Record) for x in got] == [False, True]
