@@ -1,8 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by banded MinHash in place of an LSH forest, with exact verification.
 
-Signatures of a text are ``TREES`` labels of ``DEEPEST`` minima each.  In a tree, texts that share a prefix of their
-labels meet; prefixes are shortened from the deepest level until a pair at the threshold meets in some tree with the
-target probability.  Everything runs over distinct texts, so copies cost nothing.
+Signatures of a text are ``TREES`` labels of ``DEEPEST`` minima each.  In a tree, texts that share the first ``depth`` of
+their minima meet: ordinary bands of one fixed depth, the greatest at which a pair at the threshold meets in some tree
+with the target probability.  There are no tries and no descent: for a join at a fixed threshold every pair that a
+forest finds at this depth or deeper shares this prefix too.  The minima below serve the signatures alone.  Everything runs over distinct texts, so copies cost nothing.
 
 1. A bucket (texts that share a prefix) is cut into chunks of bounded size, and each pair of chunks goes to a task of its
    own; there a walk over whole signatures links texts that may reach the threshold.  What leaves a bucket is a star for
