@@ -5,9 +5,10 @@ spellings undone.  The kernel of two units is the inner product of their gap-wei
 (a subsequence that spans s letters weighs ``DECAY`` ** s), divided by a norm for their lengths; so an insult keeps most
 of its kernel values when letters are set apart or a strange one is put in.
 
-Labels are of documents; their sentences and units inherit them, and the units that occur in toxic training documents
-far beyond chance are the witnesses that the machine is trained on, with units of clean documents against them, the
-hardest of which are added for a second fit.  A landmark machine is linear in the subsequences, so it is folded into one
+Labels are of documents, and no sentence is seen: single units that occur in toxic training documents far beyond chance
+are the witnesses that the machine is trained on in place of sentences, all of them, with units of clean documents
+against them, the hardest of which are added for a second fit.  Kernels do not cross units, so an insult of several
+ordinary words is none, nor is one too rare to stand out.  A landmark machine is linear in the subsequences, so it is folded into one
 weight for each possible one.  A text is judged by its highest unit, by how many units are on the wrong side, and by
 their share, in a logistic regression on the training documents.
 
@@ -30,7 +31,6 @@ from loam.llm.common import crc_mod, materialize
 from loam.llm.quality import label_sample
 
 TRAIN_ROWS = 20_000
-WITNESSES = 400
 NEGATIVES = 20_000
 HARD_NEGATIVES = 4_000
 HARD_ROUNDS = 2
@@ -250,7 +250,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n, rate = F.col("toxic") + F.col("clean"), sums[0] / sums[1]
     gain = F.col("toxic") * F.log(F.col("toxic") / n / rate) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - rate))).otherwise(0)
     witness = (2 * F.col("toxic") > n) & (F.col("toxic") / n > rate) & (gain > float(np.log(sums[2]) + 3))
-    found = seen.filter(witness).orderBy(F.desc("toxic"), "unit").limit(WITNESSES).collect()
+    found = seen.filter(witness).orderBy(F.desc("toxic"), "unit").collect()  # of the sample's units
     if not found:
         return Machine()
     positive = [bytes(r["unit"]) for r in found]

@@ -76,3 +76,18 @@ def test_empty_tables(docs, spark):
     machine = toxicity.train(docs(["a b"]), none)
     assert toxicity.score(docs([]), machine).count() == 0
     assert [r.predicted for r in toxicity.score(docs([(None, "x y zebra")]), machine).collect()] == [0]
+
+
+def test_every_witness_is_a_positive(spark, monkeypatch):
+    rng = random.Random(8)
+    insults = ["zz" + "".join(rng.choice("bcdfgk") for _ in range(6)) for _ in range(450)]
+    plain = ["".join(rng.choice("aeioulmnrst") for _ in range(6)) for _ in range(300)]
+    rows = [(i, " ".join(rng.sample(plain, 60) + (rng.sample(insults, 40) if i % 2 else [])), i % 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    fit = toxicity.fit_machine
+    monkeypatch.setattr(toxicity, "HARD_ROUNDS", 0)
+    monkeypatch.setattr(toxicity, "fit_machine", lambda positive, *rest: seen.append(positive) or fit(positive, *rest))
+    toxicity.train(df.select("doc_id", "text"), df.select("doc_id", F.lit(1).alias("quality"), "toxic"))
+    units = {p for x in insults for u in toxicity.units(x) for p in toxicity.pieces(u)}
+    assert len(units) > 400 and units <= set(seen[0])
