@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -50,6 +52,37 @@ class Gru:
         return dh * z + d_g @ self.u.T
 
 
+def both(one: Gru, other: Gru) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """``step`` of two layers side by side: symbols (2, n), those of the second counted on from those of the first, and states
+    (2, n, size).  Halves and biases are put into the weights beforehand."""
+    n = one.size
+    x = np.concatenate([one.x, other.x])
+    x[: len(one.x), : 2 * n] += one.b[: 2 * n]
+    x[len(one.x) :, : 2 * n] += other.b[: 2 * n]
+    x_gates, x_new = x[:, : 2 * n] * np.float32(0.5), np.ascontiguousarray(x[:, 2 * n :])
+    u = np.stack([one.u, other.u])
+    u_gates, u_new = u[:, :, : 2 * n] * np.float32(0.5), np.ascontiguousarray(u[:, :, 2 * n :]) * np.float32(0.5)
+    b_new = np.stack([one.b[2 * n :], other.b[2 * n :]])[:, None, :] * np.float32(0.5)
+
+    def step(ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        gates = np.matmul(h, u_gates)
+        gates += x_gates.take(ids, 0)
+        np.tanh(gates, out=gates)
+        gates += 1  # twice the gates
+        new = np.matmul(h, u_new)
+        new += b_new
+        new *= gates[:, :, n:]
+        new += x_new.take(ids, 0)
+        np.tanh(new, out=new)
+        out = h - new
+        out *= gates[:, :, :n]
+        out *= np.float32(0.5)
+        out += new
+        return out
+
+    return step
+
+
 class Adam:
     def __init__(self, params: list[np.ndarray], rate: float = 0.01):
         self.params, self.rate, self.t = params, rate, 0

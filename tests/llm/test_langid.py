@@ -37,11 +37,61 @@ def test_gradients_against_differences():
         assert abs((up - down) / 0.02 - grad[at]) < 1e-3 * max(1, abs(grad[at]))
 
 
-def test_batches_do_not_change_a_word():
-    net = langid.Net.new(["a", "b"], 6)
-    words = [b"ab", b"abcdefg", b"q", "schön".encode()]
-    alone = np.concatenate([net.sums([w]) for w in words])
-    assert np.allclose(net.sums(words), alone, atol=1e-5) and np.allclose(alone.sum(1), [len(w) for w in words], atol=1e-4)
+def shaken(languages, size=6):
+    net, rng = langid.Net.new(languages, size), np.random.default_rng(7)
+    for p in net.params():
+        p[...] = rng.normal(0, 0.6, p.shape)
+    return net
+
+
+def slow_sums(net, line):
+    """One byte at a time, both ways, over the whole line."""
+    states = []
+    for gru, data in ((net.front, line), (net.back, line[::-1])):
+        h, own = np.zeros((1, gru.size), np.float32), []
+        for byte in data:
+            h = gru.step(np.array([byte]), h)
+            own.append(h[0])
+        states.append(own)
+    total = np.zeros(len(net.languages))
+    for at, byte in enumerate(line):
+        z = np.concatenate([states[0][at], states[1][len(line) - 1 - at]]) @ net.out + net.bias
+        if byte != 32:
+            total += np.exp(z) / np.exp(z).sum()
+    return total
+
+
+LINES = [b"ab", b"abcdefg hij", b"q", "schön war es".encode(), b"x" * 700, b"ab cd " * 40 + b"e"]
+
+
+def test_lines_side_by_side_against_byte_by_byte(monkeypatch):
+    net = shaken(["a", "b", "c"])
+    want = np.array([slow_sums(net, x) for x in LINES])
+    assert np.allclose(net.sums(LINES), want, atol=1e-3)
+    assert np.allclose(want.sum(1), [len(x) - x.count(b" ") for x in LINES])
+    monkeypatch.setattr(langid, "TOGETHER", 800)
+    assert np.allclose(net.sums(LINES), want, atol=1e-3)
+    monkeypatch.setattr(langid, "SEGMENT", 50)  # states of both directions are carried over the segments
+    assert np.allclose(net.sums(LINES), want, atol=1e-3)
+
+
+def test_documents_against_byte_by_byte(docs, monkeypatch):
+    net = shaken(["a", "b", "c"])
+    rng = random.Random(4)
+    texts = ["\n".join(text(rng, rng.choice(["xx", "yy"]), rng.randrange(1, 9)) + rng.choice(["", " 12!", "\n", " A|B"]) for _ in range(rng.randrange(1, 6))) for _ in range(12)]
+    texts += [texts[0] + "\n" + texts[0], "a" * 3000 + " " + "b" * 3000]
+    for cache in (10**9, 0):
+        monkeypatch.setattr(langid, "CACHE", cache)
+        got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs(texts), net).collect()}
+        for i, t in enumerate(texts):
+            lines = []
+            for raw in t.split("\n"):
+                words = "".join(c.lower() if c.isalpha() else " " for c in raw).split()
+                if words:
+                    p = slow_sums(net, " ".join(words).encode())
+                    lines.append((np.log1p(len(words)), p / p.sum()))
+            pooled = sum(w * p for w, p in lines) / sum(w for w, _ in lines)
+            assert got[i][0] == net.languages[pooled.argmax()] and abs(got[i][1] - pooled.max()) < 1e-3
 
 
 @pytest.fixture(scope="module")
