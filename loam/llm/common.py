@@ -69,6 +69,14 @@ def parts_for(rows: int, each: int = 250_000) -> int:
     return max(12, -(-rows // each))
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A name that no column of ``df`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,18 +1,26 @@
-"""N-gram Jaccard join by banded MinHash in place of an LSH forest, with exact verification.
-
-Signatures of a text are ``TREES`` labels of ``DEEPEST`` minima each.  In a tree, texts that share the first ``depth`` of
-their minima meet: ordinary bands of one fixed depth, the greatest at which a pair at the threshold meets in some tree
-with the target probability.  There are no tries and no descent: for a join at a fixed threshold every pair that a
-forest finds at this depth or deeper shares this prefix too.  The minima below serve the signatures alone.  Everything runs over distinct texts, so copies cost nothing.
-
-1. A bucket (texts that share a prefix) is cut into chunks of bounded size, and each pair of chunks goes to a task of its
-   own; there a walk over whole signatures links texts that may reach the threshold.  What leaves a bucket is a star for
-   each linked set, never its pairs.
-2. Connected components of the stars are candidate clusters.  Any pair above the threshold that met lies in one.
-3. Each cluster's texts are dealt once, again by pairs of chunks, and all pairs of a cluster are verified exactly on
-   their sets of 64-bit shingle hashes, by matrix products over the shingles that occur twice or more.  What leaves is,
-   for each text, its number of links and the root of its linked set: counts and stars, never pairs.
-4. Components of the verified stars are the classes.
+"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+
+A text's signature is ``TREES`` strings of ``DEEPEST`` minima.  A tree is the sorted prefix trie of one such string of every
+text: its nodes are prefixes, kept as (prefix of ``FLOOR`` minima, the further minima packed into one number whose order is
+the trie's), and texts meet where they share a node.  Every text starts at the full depth in all trees, and its prefixes
+are shortened, one minimum in one tree at a time, until a pair at the threshold shares one of them with the target
+probability.  Of all trees the next to be shortened is the one whose shorter prefix leads to the smallest node, where
+nodes of up to ``CROWD`` texts count alike and the deepest tree goes first.  So a text beside which there is no crowd goes up in all trees
+evenly; one whose minima in some trees come from a passage that very many texts share stays deep there and is shortened
+further in the others.  (Small nodes count alike since a choice by single neighbours would avoid the very trees in which they
+are met, and the probability would not hold.)  Two texts meet where either's prefix is the other's too.
+
+Everything runs over distinct texts, so copies cost nothing.
+
+1. Nodes at the least depth that one text alone has are left out first; nodes below are counted only where there are crowds.
+2. A node's texts are cut into chunks, and each pair of chunks goes to a task of its own; there a walk over whole signatures
+   links texts that may reach the threshold.  What leaves is a star for each linked set, never its pairs.
+3. Connected components of the stars are candidate clusters.  Any pair above the threshold that met lies in one.
+4. All pairs of a cluster are verified exactly.  Each text is compared once with the cluster's centre, and from then on it is
+   the set of 64-bit hashes of the shingles in which the two differ: sizes of intersections follow from those.  These sets are
+   dealt by pairs of chunks and multiplied as matrices.  What leaves is, for each text, its number of links and the root of its
+   linked set: counts and stars, never pairs.
+5. Components of the verified stars are the classes.
 """
 
 from __future__ import annotations
@@ -25,35 +33,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import checkpointed, materialize, mix64, parts_for, window_sums, word_hashes
+from loam.llm.common import checkpointed, materialize, mix64, parts_for, unused, window_sums, word_hashes
 from loam.llm.graph import components
 
 NGRAM = 5
 #: Similarity as a fraction, so that the test is exact.
 THRESHOLD = (4, 5)
-TREES = 16
+TREES = 20
+#: Greatest and least length of a prefix; at the least one in all trees a pair at the threshold meets with probability 0.99997.
 DEEPEST = 8
-TARGET = 0.999
+FLOOR = 4
+TARGET = 0.9999
+#: Nodes of more texts are avoided while the target allows it.
+CROWD = 1024
 #: Signatures that agree in fewer places are not verified: over four standard deviations below the threshold.
 SIGNATURE_LEAST = 0.65
-#: Texts of a bucket, and texts or shingles of a cluster, that one chunk holds.
-BUCKET_CHUNK = 4096
+#: Texts of a node that one chunk holds at least and at most; between them a node has ``NODE_CHUNKS`` chunks.
+NODE_CHUNK = 512
+NODE_CHUNKS = 64
+NODE_CHUNK_MOST = 1 << 18
+#: Texts or differing shingles of a cluster that one chunk holds.
 CLUSTER_CHUNK = 1024
 CLUSTER_SHINGLES = 2_000_000
 #: Cells of text keys; a set of them is broadcast to spare other texts a shuffle.
 CELLS = 1 << 20
+#: A text with more copies than this, or than a ``HOT_SHARE``-th of all rows, is spread when its rows get their result.
+HOT_COPIES = 100_000
+HOT_SHARE = 10_000
 
 _RNG = np.random.default_rng(20_240_229)
 _MULTIPLY = _RNG.integers(0, 2**31, TREES * DEEPEST, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, TREES * DEEPEST, dtype=np.uint32)
 
 
-def depth_for(threshold: float, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET) -> int:
-    """Shortens the matched prefix until a pair at the threshold meets in some tree with the target probability."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+def depths(sizes: np.ndarray, threshold: float = THRESHOLD[0] / THRESHOLD[1], target: float = TARGET, crowd: int | None = None) -> list[int]:
+    """Length of a text's prefix in each tree; ``sizes`` has a row for each tree: texts of its nodes at ``FLOOR`` to ``DEEPEST``."""
+    crowd = CROWD if crowd is None else crowd
+    cost = np.where(sizes > crowd, sizes, 0).tolist()
+    miss = [np.log1p(-min(threshold**d, 1 - 1e-12)) for d in range(FLOOR, DEEPEST + 1)]
+    most = np.log1p(-target)
+    at = [DEEPEST - FLOOR] * len(cost)
+    while sum(miss[d] for d in at) > most and any(at):
+        tree = min((i for i in range(len(at)) if at[i]), key=lambda i: (cost[i][at[i] - 1], -at[i], i))
+        at[tree] -= 1
+    return [FLOOR + d for d in at]
 
 
 def shingles(raw: bytes, n: int = NGRAM) -> np.ndarray:
@@ -76,46 +99,52 @@ def minima(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def labels(m: np.ndarray, depth: int) -> np.ndarray:
-    """One 64-bit label a tree: the prefix of ``depth`` minima, mixed."""
-    out = np.arange(TREES, dtype=np.uint64)
+def labels(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each tree the prefix of ``FLOOR`` minima, mixed, and the further minima, each mixed into 16 bits, packed in order."""
+    m = m.reshape(TREES, DEEPEST)
+    prefix, rest = np.arange(TREES, dtype=np.uint64), np.zeros(TREES, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(depth):
-            out = mix64(out * np.uint64(31) + m.reshape(TREES, DEEPEST)[:, k].astype(np.uint64))
-    return out
+        for k in range(FLOOR):
+            prefix = mix64(prefix * np.uint64(31) + m[:, k].astype(np.uint64))
+        for k in range(FLOOR, DEEPEST):
+            rest = rest << np.uint64(16) | (m[:, k] * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint64)
+    return prefix.view(np.int64), rest.view(np.int64)
+
+
+def signature(m: np.ndarray) -> bytes:
+    """A byte of each minimum, mixed: of different minima one in 256 agrees."""
+    return (m * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def text_key(text_col: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
 
 
-def _features(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            keys, counts, label, signature = [], [], [], []
-            for x in batch.column(1):
-                raw = x.as_py() or b""
-                key = hashlib.md5(raw).digest()
-                keys.append(key)
-                if key in seen:  # a copy in the same task
-                    counts.append(None)
-                    label.append(None)
-                    signature.append(None)
-                    continue
-                if len(seen) < 500_000:
-                    seen.add(key)
-                s = shingles(raw)
-                m = minima(s)
-                counts.append(len(s))
-                label.append(labels(m, depth).view(np.int64) if len(s) else [])
-                signature.append((m >> np.uint32(16)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(label, pa.list_(pa.int64())), pa.array(signature, pa.binary())],
-                names=["doc_id", "key", "shingles", "labels", "signature"],
-            )
-
-    return run
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[bytes] = set()
+    for batch in batches:
+        keys, counts, prefix, rest, signed = [], [], [], [], []
+        for x in batch.column(1):
+            raw = x.as_py() or b""
+            key = hashlib.md5(raw).digest()
+            keys.append(key)
+            if key in seen:  # a copy in the same task
+                for column in (counts, prefix, rest, signed):
+                    column.append(None)
+                continue
+            if len(seen) < 500_000:
+                seen.add(key)
+            s = shingles(raw)
+            m = minima(s)
+            p, r = labels(m) if len(s) else ([], [])
+            counts.append(len(s))
+            prefix.append(p)
+            rest.append(r)
+            signed.append(signature(m))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64())), pa.array(signed, pa.binary())],
+            names=["doc_id", "key", "shingles", "prefix", "rest", "signature"],
+        )
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -166,13 +195,13 @@ def _walk(linked: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int) -> np.
     return root
 
 
-def _bucket_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns tree, label, low, high, uid, signature; gives (u, v) with v the root of u."""
+def _node_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns node, low, high, uid, signature; gives (u, v) with v the root of u."""
     least = int(SIGNATURE_LEAST * TREES * DEEPEST)
-    for table, bounds in _runs(batches, 4):
+    for table, bounds in _runs(batches, 3):
         uid = table.column("uid").to_numpy()
         width = TREES * DEEPEST
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(-1, width)
+        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, width)
         us, vs = [], []
         size = np.diff(bounds)
         pairs = bounds[:-1][size == 2]
@@ -223,28 +252,52 @@ def similar(inter: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.nda
     return (q * inter >= p * union) & (inter > 0)
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns cid, salt, member, uid, body, the centre first in each (cid, salt); gives cid, uid, centre, size, shared, n_diff, diff.
+
+    centre: shingles of the cluster's centre; size: those of the text; shared: those of both; diff: those of one alone.
+    """
+    group, middle, last = None, np.empty(0, np.uint64), None
+    for batch in batches:
+        out = []
+        columns = (batch.column(k).to_pylist() for k in range(4))
+        for cid, salt, member, uid, body in zip(*columns, batch.column(4), strict=True):
+            if (cid, salt) != group:
+                group, last = (cid, salt), None
+                middle = shingles(body.as_py())
+            if member and uid != last:
+                own = shingles(body.as_py())
+                diff = np.setxor1d(own, middle, assume_unique=True)
+                last = uid
+                out.append((cid, uid, len(middle), len(own), (len(own) + len(middle) - len(diff)) // 2, len(diff), diff.tobytes()))
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["cid", "uid", "centre", "size", "shared", "n_diff", "diff"])
+
+
 def _cluster_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns cid, low, high, chunk, uid, body; gives uid, links, root for each row of a pair of chunks."""
+    """Columns cid, low, high, chunk, uid, centre, size, shared, diff; gives uid, links, root for each row of a pair of chunks.
+
+    Two texts share the centre's shingles that neither lacks and the others that both have; as a shingle is either the
+    centre's or not, that is shared + shared - centre + the number of their common differences.
+    """
     for table, bounds in _runs(batches, 3):
-        uid, chunk, high = (table.column(c).to_numpy() for c in ("uid", "chunk", "high"))
-        low, body = table.column("low").to_numpy(), table.column("body")
-        out = []
+        low, high, chunk, uid, centre, size, shared = (table.column(c).to_numpy() for c in ("low", "high", "chunk", "uid", "centre", "size", "shared"))
+        diff, out = table.column("diff"), []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            sets = [shingles(body[i].as_py() or b"") for i in range(a, b)]
-            size = np.array([len(s) for s in sets])
-            ids = uid[a:b]
+            sets = [np.frombuffer(diff[i].as_py(), np.uint64) for i in range(a, b)]
+            ids, n, with_centre = uid[a:b], size[a:b], shared[a:b]
+            near = np.zeros((b - a, b - a), bool)
             if low[a] == high[a]:
-                near = similar(intersections(sets), size, size)
+                near |= similar(intersections(sets) + with_centre[:, None] + with_centre[None, :] - centre[a], n, n)
                 np.fill_diagonal(near, False)
-                links = near.sum(1)
             else:
                 first = chunk[a:b] == low[a]
                 x, y = np.flatnonzero(first), np.flatnonzero(~first)
-                cross = similar(intersections([sets[i] for i in x], [sets[i] for i in y]), size[x], size[y])
-                near = np.zeros((b - a, b - a), bool)
-                near[np.ix_(x, y)] = cross
+                both = intersections([sets[i] for i in x], [sets[i] for i in y]) + with_centre[x][:, None] + with_centre[y][None, :] - centre[a]
+                near[np.ix_(x, y)] = similar(both, n[x], n[y])
                 near |= near.T
-                links = near.sum(1)
+            links = near.sum(1)
             order = np.argsort(ids)
             near = near[np.ix_(order, order)]
             root = _walk(lambda f, r, near=near: near[np.ix_(f, r)].any(0), b - a)
@@ -257,40 +310,84 @@ def _key_of(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("-"))
 
 
+def _node(depth: Column) -> Column:
+    """The trie's node of columns tree, prefix, rest at a depth."""
+    return F.xxhash64("tree", "prefix", depth, F.when(depth == FLOOR, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned(rest, cast(16 * ({DEEPEST} - depth) as int))")))
+
+
+def _depths_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns uid and counts, an array of (tree, depth, n) of crowded nodes; gives uid and the depth in each tree."""
+    for batch in batches:
+        out = []
+        for counts in batch.column(1).to_pylist():
+            sizes = np.zeros((TREES, DEEPEST - FLOOR + 1), np.int64)
+            for c in counts:
+                sizes[c["tree"], c["depth"] - FLOOR] = c["n"]
+            out.append(depths(sizes))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["uid", "depths"])
+
+
+def forest(once: DataFrame) -> DataFrame:
+    """node, uid of all nodes of two texts or more at which some text has stopped, with those of all texts below it.
+
+    ``once`` has uid, prefix and rest.
+    """
+    every = once.select("uid", F.posexplode(F.arrays_zip("prefix", "rest")).alias("tree", "x")).select("uid", "tree", F.col("x.prefix").alias("prefix"), F.col("x.rest").alias("rest"))
+    shared = every.groupBy("tree", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
+    leaves = materialize(every.join(shared, ["tree", "prefix"]), "leaves")
+    usual = F.array(*map(F.lit, depths(np.zeros((TREES, DEEPEST - FLOOR + 1)))))
+    crowded = leaves.filter(F.col("n") > CROWD)
+    if crowded.isEmpty():
+        planned = leaves.withColumn("depths", usual)
+    else:
+        levels = crowded.withColumn("depth", F.explode(F.sequence(F.lit(FLOOR), F.lit(DEEPEST)))).select("uid", "tree", "depth", _node(F.col("depth")).alias("node"))
+        crowds = levels.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+        # At most TREES * (DEEPEST - FLOOR + 1) counts a text.
+        counts = levels.join(crowds, "node").groupBy("uid").agg(F.collect_list(F.struct("tree", "depth", "n")).alias("counts"))
+        own = counts.select("uid", "counts").mapInArrow(_depths_of, "uid long, depths array<int>")
+        planned = leaves.join(own, "uid", "left").withColumn("depths", F.coalesce("depths", usual))
+    stop = planned.withColumn("stop", F.expr("depths[tree]")).withColumn("depth", F.explode(F.sequence(F.lit(FLOOR), F.col("stop"))))
+    entries = stop.select(_node(F.col("depth")).alias("node"), "uid", (F.col("depth") == F.col("stop")).alias("asks"))
+    nodes = entries.groupBy("node").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).filter("n > 1 and asked").drop("asked")
+    return entries.drop("asks").join(nodes, "node")
+
+
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of every row, and key, text_id, n_copies, n_links, root of every different text."""
+    """(doc_id, key, uid) of every row, uid its own, and key, text_id, n_copies, n_links, root of every different text."""
     id_type = df.schema[id_col].dataType.simpleString()
-    depth = depth_for(THRESHOLD[0] / THRESHOLD[1])
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("body"))
-    made = rows.mapInArrow(_features(depth), f"doc_id {id_type}, key binary, shingles long, labels array<long>, signature binary")
+    made = rows.mapInArrow(_features, f"doc_id {id_type}, key binary, shingles long, prefix array<long>, rest array<long>, signature binary")
     features = materialize(made.withColumn("uid", F.monotonically_increasing_id()), "features")
-    own = F.when(F.col("labels").isNotNull(), F.col("uid"))
+    own = F.when(F.col("prefix").isNotNull(), F.col("uid"))
     parts = parts_for(features.count())
     texts = checkpointed(features.groupBy("key").agg(F.min(own).alias("uid"), F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies")), parts)
-    once = features.filter("labels is not null").select("uid", "shingles", "labels", "signature").join(texts.select("uid"), "uid", "left_semi")
+    once = features.filter("prefix is not null").select("uid", "prefix", "rest", "signature").join(texts.select("uid"), "uid", "left_semi")
     once = materialize(once.coalesce(parts), "once")
 
-    entries = once.select("uid", F.posexplode("labels").alias("tree", "label"))
-    shared = entries.groupBy("tree", "label").agg(F.count("*").alias("n")).filter("n > 1")
-    met = entries.join(shared, ["tree", "label"]).withColumn("chunks", F.ceil(F.col("n") / BUCKET_CHUNK).cast("int")).drop("n")
-    met = _blocks(met, "uid", "chunks").drop("chunk")
-    signed = met.join(once.select("uid", "signature"), "uid").select("tree", "label", "low", "high", "uid", "signature")
-    dealt = signed.repartition("tree", "label", "low", "high").sortWithinPartitions("tree", "label", "low", "high", "uid")
-    clusters = components(dealt.mapInArrow(_bucket_stars, "u long, v long")).select(F.col("node").alias("uid"), F.col("root").alias("cid"))
-
-    sized = clusters.join(once.select("uid", "shingles"), "uid")
-    chunks = sized.groupBy("cid").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_CHUNK), F.ceil(F.sum("shingles") / CLUSTER_SHINGLES)).cast("int").alias("chunks"))
-    members = checkpointed(_blocks(clusters.join(chunks, "cid"), "uid", "chunks"), parts)
-    wanted = members.select("uid").distinct().join(texts.select("uid", "key", _key_of("text_id").alias("id")), "uid")
-    placed = members.join(_bodies(df, id_col, text_col, wanted), "uid").select("cid", "low", "high", "chunk", "uid", "body")
-    grouped = placed.repartition("cid", "low", "high").sortWithinPartitions("cid", "low", "high", "uid")
-    links = checkpointed(grouped.mapInArrow(_cluster_links, "uid long, links long, root long"))
+    chunks = F.greatest(F.least(F.ceil(F.col("n") / NODE_CHUNK), F.lit(NODE_CHUNKS)), F.ceil(F.col("n") / NODE_CHUNK_MOST)).cast("int")
+    met = _blocks(forest(once).withColumn("chunks", chunks).drop("n"), "uid", "chunks").drop("chunk")
+    signed = met.join(once.select("uid", "signature"), "uid").select("node", "low", "high", "uid", "signature")
+    dealt = signed.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high", "uid")
+    clusters = components(dealt.mapInArrow(_node_stars, "u long, v long")).select(F.col("node").alias("uid"), F.col("root").alias("cid"))
+
+    salts = clusters.groupBy("cid").agg(F.ceil(F.count("*") / CLUSTER_CHUNK).cast("int").alias("salts"))
+    members = clusters.join(salts, "cid").withColumns({"salt": F.pmod(F.xxhash64(F.lit(5), "uid"), F.col("salts")).cast("int"), "member": F.lit(True)})
+    centres = salts.select(F.col("cid").alias("uid"), "cid", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    asked = checkpointed(members.select("uid", "cid", "salt", "member").unionByName(centres.select("uid", "cid", "salt", "member")), parts)
+    wanted = asked.join(texts.select("uid", "key", _key_of("text_id").alias("id")), "uid")
+    placed = _bodies(df, id_col, text_col, wanted).select("cid", "salt", "member", "uid", "body")
+    grouped = placed.repartition("cid", "salt").sortWithinPartitions("cid", "salt", "member", "uid")
+    apart = materialize(grouped.mapInArrow(_differences, "cid long, uid long, centre long, size long, shared long, n_diff long, diff binary"), "apart")
+    chunks = apart.groupBy("cid").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_CHUNK), F.ceil(F.sum("n_diff") / CLUSTER_SHINGLES)).cast("int").alias("chunks"))
+    dealt = _blocks(apart.drop("n_diff").join(chunks, "cid"), "uid", "chunks").select("cid", "low", "high", "chunk", "uid", "centre", "size", "shared", "diff")
+    dealt = dealt.repartition("cid", "low", "high").sortWithinPartitions("cid", "low", "high", "uid")
+    links = checkpointed(dealt.mapInArrow(_cluster_links, "uid long, links long, root long"))
 
     counts = links.groupBy("uid").agg(F.sum("links").alias("n_links"))
     roots = components(links.select(F.col("uid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("uid"), "root")
     known = texts.join(counts, "uid", "left").join(roots, "uid", "left")
     known = known.select("key", "text_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "uid").alias("root"))
-    return features.select("doc_id", "key"), checkpointed(known, parts)
+    return features.select("doc_id", "key", "uid"), checkpointed(known, parts)
 
 
 def _cell(key: str) -> Column:
@@ -298,18 +395,19 @@ def _cell(key: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(41), key), F.lit(CELLS)).cast("int")
 
 
-def _cells(keys: DataFrame, key: str) -> DataFrame:
+def _cells(keys: DataFrame, key: str, name: str) -> DataFrame:
     """The cells of some keys, for a broadcast of ``CELLS`` small rows at most: a text whose cell is not among them is
     none of those texts and need not be shuffled to find that out."""
-    return F.broadcast(keys.select(_cell(key).alias("__cell")).distinct())
+    return F.broadcast(keys.select(_cell(key).alias(name)).distinct())
 
 
 def _bodies(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """uid, body of the wanted (uid, key, id).  The id takes part in the join, so that copies do not meet in one task."""
+    """The rows of ``wanted`` (key, id and others) with their body.  The id takes part in the join, so that copies do not
+    meet in one task; repeated rows are combined before they move."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body")
     keyed = df.select(text_key(text_col).alias("key"), _key_of(id_col).alias("id"), body)
-    maybe = keyed.withColumn("__cell", _cell("key")).join(_cells(wanted, "key"), "__cell", "left_semi").drop("__cell")
-    return maybe.join(wanted, ["key", "id"]).dropDuplicates(["key", "id"]).select("uid", "body")
+    maybe = keyed.withColumn("cell", _cell("key")).join(_cells(wanted, "key", "cell"), "cell", "left_semi").drop("cell")
+    return maybe.groupBy("key", "id").agg(F.first("body").alias("body")).join(wanted, ["key", "id"])
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,23 +420,31 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     Repeated rows give repeated results, other columns are not read, an empty table gives no rows.
     """
     rows, texts = classify(df, id_col, text_col)
+    n = rows.count()
     classes = texts.groupBy("root").agg(F.min("text_id").alias("class_id"))
-    found = rows.join(texts.join(classes, "root"), "key").select("doc_id", "class_id", "text_id", "n_copies", "n_links")
-    return found.coalesce(parts_for(rows.count()))  # narrow rows: few files, however many partitions the join has
+    known = texts.join(classes, "root").select("key", "class_id", "text_id", "n_copies", "n_links")
+    most = max(HOT_COPIES, n // HOT_SHARE)  # fewer than HOT_SHARE texts have more copies: the broadcast's bound
+    hot = F.broadcast(known.filter(F.col("n_copies") > most).select("key", F.ceil(F.col("n_copies") / most).alias("salts")))
+    spread = rows.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("uid"), "salts"), F.lit(0).cast("long")))
+    own = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n_copies") > most, F.ceil(F.col("n_copies") / most) - 1).otherwise(F.lit(0).cast("long")))))
+    found = spread.select("doc_id", "key", "salt").join(own, ["key", "salt"]).select("doc_id", "class_id", "text_id", "n_copies", "n_links")
+    return found.coalesce(parts_for(n))  # narrow rows: few files, however many partitions the join has
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, that of the least id (null ids last), with all its columns.
+    """One row of each class, that of the least id (null ids last), with all its columns, whatever their names.
 
-    Only rows whose text may have a copy or belong to another's class are shuffled; all others stay where they are.
+    Only rows whose text may have a copy or belong to another's class are shuffled; all others stay where they are.  Of rows that
+    repeat in id and text any one stays.
     """
     _, texts = classify(df, id_col, text_col)
     least = F.min(F.struct(F.col("text_id").isNull().alias("last"), "text_id", "key")).alias("w")
     winners = texts.groupBy("root").agg(least)
     losers = texts.join(winners, "root").filter((F.col("n_copies") > 1) | (F.col("key") != F.col("w.key")))
-    cells = _cells(losers, "key")
-    keyed = df.withColumns({"__id": _key_of(id_col), "__key": text_key(text_col)}).withColumn("__cell", _cell("__key"))
-    alone = keyed.join(cells, "__cell", "left_anti").select(*df.columns)
-    kept = winners.select(_key_of("w.text_id").alias("__id"), F.col("w.key").alias("__key"))
-    others = keyed.join(cells, "__cell", "left_semi").join(kept, ["__id", "__key"], "left_semi")
-    return alone.unionByName(others.dropDuplicates(["__id", "__key"]).select(*df.columns))
+    the_id, the_key, the_cell = unused(df, "id"), unused(df, "key"), unused(df, "cell")
+    cells = _cells(losers, "key", the_cell)
+    keyed = df.withColumns({the_id: _key_of(id_col), the_key: text_key(text_col)}).withColumn(the_cell, _cell(the_key))
+    alone = keyed.join(cells, the_cell, "left_anti").select(*df.columns)
+    kept = winners.select(_key_of("w.text_id").alias(the_id), F.col("w.key").alias(the_key))
+    others = keyed.join(cells, the_cell, "left_semi").join(kept, [the_id, the_key], "left_semi")
+    return alone.unionByName(others.dropDuplicates([the_id, the_key]).select(*df.columns))

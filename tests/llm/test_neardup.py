@@ -72,7 +72,7 @@ def test_against_brute_force(docs):
 
 
 def test_hot_groups_go_by_chunks(docs, monkeypatch):
-    monkeypatch.setattr(neardup, "BUCKET_CHUNK", 16)
+    monkeypatch.setattr(neardup, "NODE_CHUNK", 16)
     monkeypatch.setattr(neardup, "CLUSTER_CHUNK", 16)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(120)]
@@ -89,17 +89,53 @@ def test_hot_groups_go_by_chunks(docs, monkeypatch):
 def test_long_texts_nulls_repeats_and_extra_columns(docs, spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     df = docs([(1, long), (2, long + " end"), (None, long), (3, "x y z"), (3, "x y z"), (4, None)])
-    df = df.withColumns({"key": F.lit(1), "uid": F.lit(2), "root": F.lit(3)})
+    df = df.withColumns({"key": F.lit(1), "uid": F.lit(2), "root": F.lit(3), "id": F.lit("mine"), "cell": F.lit(7), "__key": F.lit("k"), "__id": F.lit(9)})
     found = sorted((str(r.doc_id), r.class_id, r.n_copies, r.n_links) for r in neardup.join(df).collect())
     assert found == [("1", 1, 2, 1), ("2", 1, 1, 1), ("3", 3, 2, 0), ("3", 3, 2, 0), ("4", 4, 1, 0), ("None", 1, 2, 1)]
     kept = neardup.keep_one(df)
+    assert {(r.key, r.id, r.cell, r["__key"], r["__id"]) for r in kept.collect()} == {(1, "mine", 7, "k", 9)}
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
     assert neardup.join(df.limit(0)).count() == 0 and neardup.keep_one(df.limit(0)).count() == 0
 
 
-def test_depth_reaches_the_target():
-    assert neardup.depth_for(0.8) == 4 and neardup.depth_for(0.95) == 8 and neardup.depth_for(0.2) == 1
-    assert 1 - (1 - 0.8**4) ** neardup.TREES >= neardup.TARGET
+def reach(own, similarity=0.8):
+    return 1 - np.prod([1 - similarity**d for d in own])
+
+
+def test_prefixes_are_shortened_until_the_target():
+    alone = np.ones((neardup.TREES, 5), int)
+    assert neardup.depths(alone) == [4] * 10 + [5] * 10 and reach(neardup.depths(alone)) >= neardup.TARGET
+    assert reach(neardup.depths(alone)[:10] + [5] * 10) >= neardup.TARGET > reach([4] * 9 + [5] * 11)
+    crowd = alone.copy()
+    crowd[:3] = [900_000, 200_000, 40_000, 9000, 2000]  # three trees go through a passage that very many texts share
+    own = neardup.depths(crowd)
+    assert own[:3] == [8] * 3 and set(own[3:]) == {4, 5} and reach(own) >= neardup.TARGET
+    crowd[:] = [900_000, 200_000, 40_000, 9000, 2000]
+    assert sorted(neardup.depths(crowd)) == sorted(neardup.depths(alone))
+    assert neardup.depths(alone, threshold=1.0) == [8] * neardup.TREES
+
+
+def test_texts_stop_at_different_depths(docs, spark, monkeypatch):
+    """Texts that share a long passage stay deep in the trees whose minima it gives; others do not; all links are found."""
+    monkeypatch.setattr(neardup, "CROWD", 6)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(120)]
+    texts = [" ".join(passage + [word() for _ in range(90)]) for _ in range(60)]
+    texts += [t + " " + word() for t in texts[::3]] + [" ".join(word() for _ in range(100)) for _ in range(30)]
+    seen = []
+    plain = neardup.depths
+    found = got(docs(texts))
+    assert found == brute(texts)
+    m = [neardup.labels(neardup.minima(neardup.shingles(t.encode()))) for t in texts]
+    for prefix, rest in m:
+        sizes = np.zeros((neardup.TREES, 5), int)
+        for i in range(neardup.TREES):
+            same = [r for p, r in m if p[i] == prefix[i]]
+            sizes[i] = [sum((int(r[i]) ^ int(rest[i])) >> 16 * (4 - k) == 0 for r in same) if k else len(same) for k in range(5)]
+        seen.append(tuple(plain(sizes)))
+    assert len(set(seen)) > 3 and all(reach(d) >= neardup.TARGET for d in seen)
+    assert max(map(max, seen)) > 5 and seen[-1] == tuple([4] * 10 + [5] * 10)
 
 
 def test_intersections_and_minima():
