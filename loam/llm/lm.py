@@ -4,10 +4,10 @@ Word counts are of all training documents, combined in each task and then by wor
 tasks with their counts, which bounds what is broadcast; all other words of a text go, as one row for a document and
 word, to an exact join with the counts table.
 
-The model reads words, with a softmax factored into classes of about the square root of the vocabulary, and is trained
-in numpy by truncated backpropagation.  The driver starts it on a bounded sample (``TRAIN_ROWS`` documents,
-``TRAIN_TOKENS`` tokens); each task then goes on from there over all its training documents, and the tasks' changes are
-averaged, those of a word or class by how often each task met it.  The vocabulary is the commonest words and the end:
+The model reads words, with a softmax factored into classes of words of like frequency, small ones of common words and large
+ones of rare words (equal sums of the frequencies' roots), and is trained in numpy by truncated backpropagation.  The driver
+starts it on a bounded sample (``TRAIN_ROWS`` documents, ``TRAIN_TOKENS`` tokens); each task then goes on from there over
+all its training documents, and the tasks' changes are averaged, those of a word or class by how often each task met it.  The vocabulary is the commonest words and the end:
 ``VOCABULARY`` words, or twice the root of the training tokens if that is more, as far as ``HOT`` goes.  Any other word
 is the unknown token times the word's smoothed share of the training tokens beyond the vocabulary.  A text is read
 whole: windows bound the memory, and the state is carried from each to the next.
@@ -24,11 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.common import crc_mod, materialize
-from loam.llm.gru import Adam, Gru
+from loam.llm.gru import Gru
 
 HOT = 1 << 18
 VOCABULARY = 8_000
@@ -59,6 +59,24 @@ class _Ids(dict):
         return -1
 
 
+def _by_class(group: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(group, kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(classes + 1))
+    for c in np.flatnonzero(np.diff(bounds)):
+        yield c, order[bounds[c] : bounds[c + 1]]
+
+
+def _softmax_loss(z: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradients of the rows' cross-entropies, and their sum."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    rows = np.arange(len(z))
+    loss = -float(np.log(z[rows, picked] + 1e-12).sum())
+    z[rows, picked] -= 1
+    return z, loss
+
+
 def _log_softmax(z: np.ndarray, picked: np.ndarray) -> np.ndarray:
     """Logarithm of the softmax at one column of each row; sums by products, which are faster than sums along rows."""
     if z.size and z.max() > 60:
@@ -66,13 +84,22 @@ def _log_softmax(z: np.ndarray, picked: np.ndarray) -> np.ndarray:
     return z[np.arange(len(z)), picked] - np.log(np.maximum(np.exp(z) @ np.ones(z.shape[1], np.float32), 1e-30))
 
 
+def class_starts(frequencies: np.ndarray) -> np.ndarray:
+    """First symbol of each class and the end; symbols come by frequency, and the last two are a class of their own."""
+    words = len(frequencies) - 2
+    classes = max(1, round(0.6 * math.sqrt(words))) if words else 0
+    root = np.cumsum(np.sqrt(frequencies[:words] + 1e-9))
+    cuts = np.searchsorted(root, root[-1] * np.arange(classes) / classes, side="left") if words else np.empty(0, int)
+    return np.unique(np.concatenate([[0], cuts, [words, words + 2]])).astype(np.intp)
+
+
 @dataclass
 class Model:
     """Words are 0 to ``words`` - 1 by frequency, then the end, the unknown word and, as input only, the start."""
 
     words: int
     gru: Gru
-    class_size: int
+    starts: np.ndarray
     class_w: np.ndarray
     class_b: np.ndarray
     word_w: np.ndarray
@@ -82,16 +109,18 @@ class Model:
     def new(cls, frequencies: np.ndarray, size: int = SIZE, seed: int = 1) -> Model:
         """frequencies: of the words, the end and the unknown word; both softmaxes start at them."""
         rng = np.random.default_rng(seed)
-        n = len(frequencies)
-        per = max(1, int(np.ceil(np.sqrt(n))))
-        classes = -(-n // per)
-        padded = np.zeros(classes * per)
-        padded[:n] = frequencies / frequencies.sum() + 1e-9
-        padded = padded.reshape(classes, per)
-        with np.errstate(divide="ignore"):
-            word_b = np.log(padded).astype(np.float32)
-        word_b[~np.isfinite(word_b)] = -1e9
-        return cls(n - 2, Gru(n + 1, size, rng), per, rng.normal(0, 0.05, (size, classes)).astype(np.float32), np.log(padded.sum(1)).astype(np.float32), rng.normal(0, 0.05, (classes, size, per)).astype(np.float32), word_b)
+        n, starts = len(frequencies), class_starts(frequencies)
+        share = frequencies / frequencies.sum() + 1e-9
+        mass = np.add.reduceat(share, starts[:-1])
+        return cls(
+            n - 2,
+            Gru(n + 1, size, rng),
+            starts,
+            rng.normal(0, 0.05, (size, len(mass))).astype(np.float32),
+            np.log(mass).astype(np.float32),
+            rng.normal(0, 0.05, (n, size)).astype(np.float32),
+            np.log(share).astype(np.float32),
+        )
 
     @property
     def end(self) -> int:
@@ -105,22 +134,26 @@ class Model:
     def start(self) -> int:
         return self.words + 2
 
+    @property
+    def class_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.class_b)), np.diff(self.starts))
+
     def params(self) -> list[np.ndarray]:
         return [*self.gru.params(), self.class_w, self.class_b, self.word_w, self.word_b]
 
-    def log_probabilities(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, h: np.ndarray, targets: np.ndarray, class_of: np.ndarray | None = None) -> np.ndarray:
         """Natural logarithms of the targets' probabilities after states ``h``."""
-        group, place = np.divmod(targets, self.class_size)
+        group = (self.class_of if class_of is None else class_of)[targets]
         out = _log_softmax(h @ self.class_w + self.class_b, group)
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(len(self.class_b) + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[c] : bounds[c + 1]]
-            out[at] += _log_softmax(h[at] @ self.word_w[c] + self.word_b[c], place[at])
+        for c, at in _by_class(group, len(self.class_b)):
+            a, b = self.starts[c], self.starts[c + 1]
+            if b - a > 1:
+                out[at] += _log_softmax(h[at] @ self.word_w[a:b].T + self.word_b[a:b], targets[at] - a)
         return out
 
-    def learn(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, adam: Adam) -> tuple[np.ndarray, float]:
-        """A window of (step, stream) symbols; ``fresh`` marks where a document starts.  Gives the state after it and the loss."""
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, class_of: np.ndarray, grads: list[np.ndarray]) -> tuple[np.ndarray, float, np.ndarray, list[int]]:
+        """Adds a window's gradients to ``grads``, (step, stream) symbols; ``fresh`` marks where a document starts.  Gives the states
+        after it, the mean loss, the symbols read and the classes met, which all gradients of words belong to."""
         kept, states = [], []
         for t in range(len(inputs)):
             h = np.where(fresh[t][:, None], 0, h).astype(np.float32)
@@ -128,42 +161,42 @@ class Model:
             kept.append(k)
             states.append(h)
         hs, flat = np.concatenate(states), targets.ravel()
-        live = flat >= 0
-        total = max(1, int(live.sum()))
-        grads = [np.zeros_like(p) for p in self.params()]
+        rows = np.flatnonzero(flat >= 0)
+        total = np.float32(max(1, len(rows)))
         dh = np.zeros_like(hs)
-        rows = np.flatnonzero(live)
-        group, place = np.divmod(flat[rows], self.class_size)
-        z = hs[rows] @ self.class_w + self.class_b
-        z = np.exp(z - z.max(1, keepdims=True))
-        p = z / z.sum(1, keepdims=True)
-        loss = -np.log(p[np.arange(len(rows)), group] + 1e-12).sum()
-        p[np.arange(len(rows)), group] -= 1
+        seen, wanted = hs[rows], flat[rows]
+        group = class_of[wanted]
+        p, loss = _softmax_loss(seen @ self.class_w + self.class_b, group)
         p /= total
-        grads[3] += hs[rows].T @ p
+        grads[3] += seen.T @ p
         grads[4] += p.sum(0)
-        dh[rows] += p @ self.class_w.T
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(len(self.class_b) + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[c] : bounds[c + 1]]
-            some = hs[rows[at]]
-            z = some @ self.word_w[c] + self.word_b[c]
-            z = np.exp(z - z.max(1, keepdims=True))
-            p = z / z.sum(1, keepdims=True)
-            loss -= np.log(p[np.arange(len(at)), place[at]] + 1e-12).sum()
-            p[np.arange(len(at)), place[at]] -= 1
+        back = p @ self.class_w.T
+        met = []
+        for c, at in _by_class(group, len(self.class_b)):
+            a, b = self.starts[c], self.starts[c + 1]
+            if b - a == 1:
+                continue
+            some = seen[at]
+            p, one = _softmax_loss(some @ self.word_w[a:b].T + self.word_b[a:b], wanted[at] - a)
+            loss += one
             p /= total
-            grads[5][c] += some.T @ p
-            grads[6][c] += p.sum(0)
-            dh[rows[at]] += p @ self.word_w[c].T
+            grads[5][a:b] += p.T @ some
+            grads[6][a:b] += p.sum(0)
+            back[at] += p @ self.word_w[a:b]
+            met.append(int(c))
+        dh[rows] = back
         dh = dh.reshape(len(inputs), -1, self.gru.size)
-        back = np.zeros_like(dh[0])
+        back, parts = np.zeros_like(dh[0]), []
         for t in range(len(inputs) - 1, -1, -1):
-            back = self.gru.back(kept[t], back + dh[t], grads[:3])
+            back, part = self.gru.back_rows(kept[t], back + dh[t], grads[1], grads[2])
+            parts.append(part)
             back[fresh[t]] = 0
-        adam.step(grads)
-        return h, float(loss / total)
+        # Rows of one symbol are summed together.
+        symbols, d = inputs[::-1].ravel(), np.concatenate(parts)
+        order = np.argsort(symbols, kind="stable")
+        read, first = np.unique(symbols[order], return_index=True)
+        grads[0][read] += np.add.reduceat(d[order], first, 0)
+        return h, float(loss / total), read, met
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         """Base-10 logarithm of each document's probability, its end included; documents are arrays of word ids."""
@@ -187,24 +220,53 @@ class Model:
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # documents longer than t steps
         h = np.zeros((len(documents), self.gru.size), np.float32)
         before = np.full(len(documents), self.start, np.int32)
-        states, targets, owner, held = [], [], [], 0
+        states, targets, owner, held, class_of, step = [], [], [], 0, self.class_of, self.gru.stepper()
         for t in range(int(lengths[0])):
             n = int(active[t])
-            h = self.gru.step(before[:n], h[:n])
+            h = step(before[:n], h[:n])
             before = flat[first[:n] + t]
             states.append(h)
             targets.append(before)
             owner.append(index[:n])
             held += n
             if held >= 32_768 or len(states) >= SCORE_WINDOW and held >= 4096 or t == lengths[0] - 1:
-                got = self.log_probabilities(np.concatenate(states), np.concatenate(targets))
+                got = self.log_probabilities(np.concatenate(states), np.concatenate(targets), class_of)
                 np.add.at(out, np.concatenate(owner), got)
                 states, targets, owner, held = [], [], [], 0
 
 
+class Learner:
+    """Adam steps on windows.  Rows of symbols not read and of classes not met are left as they are, so that a step costs by
+    the words in it and not by the vocabulary."""
+
+    def __init__(self, model: Model, rate: float):
+        self.model, self.rate, self.t, self.class_of = model, rate, 0, model.class_of
+        self.params = model.params()
+        self.grads, self.m, self.v = ([np.zeros_like(p) for p in self.params] for _ in range(3))
+
+    def step(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, clip: float = 5.0) -> tuple[np.ndarray, float]:
+        h, loss, read, met = self.model.gradients(inputs, targets, fresh, h, self.class_of, self.grads)
+        starts, whole = self.model.starts, slice(None)
+        touched = [(0, read), *((k, whole) for k in range(1, 5)), *((k, slice(starts[c], starts[c + 1])) for c in met for k in (5, 6))]
+        norm = math.sqrt(sum(float(np.square(self.grads[k][at]).sum()) for k, at in touched))
+        scale = np.float32(min(1.0, clip / (norm + 1e-9)))
+        self.t += 1
+        rate = np.float32(self.rate / (1 - 0.9**self.t))
+        root = np.float32(1 / math.sqrt(1 - 0.99**self.t))
+        for k, at in touched:
+            g = self.grads[k][at] * scale
+            self.grads[k][at] = 0
+            m, v = self.m[k][at], self.v[k][at]
+            m = m + np.float32(0.1) * (g - m)
+            v = v + np.float32(0.01) * (g * g - v)
+            self.m[k][at], self.v[k][at] = m, v
+            self.params[k][at] -= rate * m / (np.sqrt(v) * root + np.float32(1e-8))
+        return h, loss
+
+
 def fit(documents: list[np.ndarray], frequencies: np.ndarray, epochs: int = EPOCHS, streams: int = STREAMS, window: int = WINDOW, seed: int = 3) -> Model:
     model = Model.new(frequencies)
-    adam = Adam(model.params(), 0.01)
+    learner = Learner(model, 0.01)
     rng = np.random.default_rng(seed)
     epochs = max(epochs, -(-LEAST_STEPS * streams * window // max(1, sum(len(d) + 1 for d in documents))))
     epochs = min(epochs, LEAST_STEPS)
@@ -216,7 +278,7 @@ def fit(documents: list[np.ndarray], frequencies: np.ndarray, epochs: int = EPOC
             lanes[lane].append(documents[i])
             filled[lane] += len(documents[i]) + 1
         steps = -(-int(filled.max(initial=0)) // window) * window
-        inputs, targets, fresh = np.full((steps, streams), model.start), np.full((steps, streams), -1), np.zeros((steps, streams), bool)
+        inputs, targets, fresh = np.full((steps, streams), model.start, np.int32), np.full((steps, streams), -1, np.int32), np.zeros((steps, streams), bool)
         for k, lane in enumerate(lanes):
             at = 0
             for d in lane:
@@ -226,45 +288,30 @@ def fit(documents: list[np.ndarray], frequencies: np.ndarray, epochs: int = EPOC
                 at += len(d) + 1
         h = np.zeros((streams, model.gru.size), np.float32)
         for at in range(0, steps, window):
-            adam.rate = 0.01 * (1 - 0.9 * (epoch + at / steps) / epochs)
-            h, _ = model.learn(inputs[at : at + window], targets[at : at + window], fresh[at : at + window], h, adam)
+            learner.rate = 0.01 * (1 - 0.9 * (epoch + at / steps) / epochs)
+            h, _ = learner.step(inputs[at : at + window], targets[at : at + window], fresh[at : at + window], h)
     return model
 
 
-class LazyAdam(Adam):
-    """Leaves rows without a gradient as they are, so that a step costs by the words in it and not by the vocabulary."""
-
-    def step(self, grads: list[np.ndarray], clip: float = 5.0) -> None:
-        self.t += 1
-        rows = [np.flatnonzero(g.any(axis=tuple(range(1, g.ndim)))) if g.ndim > 1 else np.arange(len(g)) for g in grads]
-        some = [g[r] for g, r in zip(grads, rows, strict=True)]
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in some)))
-        scale = min(1.0, clip / (norm + 1e-9))
-        for p, g, r, m, v in zip(self.params, some, rows, self.m, self.v, strict=True):
-            g *= np.float32(scale)
-            a = m[r] = m[r] + 0.1 * (g - m[r])
-            b = v[r] = v[r] + 0.01 * (g * g - v[r])
-            p[r] -= self.rate * (a / (1 - 0.9**self.t)) / (np.sqrt(b / (1 - 0.99**self.t)) + 1e-8)
-
-
 def learn_on(model: Model, documents: Iterator[np.ndarray], streams: int = TASK_STREAMS, window: int = WINDOW, rate: float = TASK_RATE) -> tuple[np.ndarray, np.ndarray]:
     """Goes once over all documents, each whole, and changes the model.  Gives how often each symbol was read and each
     class was the target's.  Holds a few windows of each stream and the longest documents."""
-    adam = LazyAdam(model.params(), rate)
+    learner = Learner(model, rate)
+    class_of = learner.class_of
     read, met = np.zeros(len(model.gru.x), np.int64), np.zeros(len(model.class_b), np.int64)
     lanes: list[list[np.ndarray]] = [[] for _ in range(streams)]  # each of symbols with their targets, documents one after another
     filled = [(0, k) for k in range(streams)]
     h = np.zeros((streams, model.gru.size), np.float32)
 
-    def steps(n: int, lanes: list[np.ndarray], h: np.ndarray) -> np.ndarray:
-        x = np.stack([a[:, :n] for a in lanes], 2)
-        for at in range(0, n, window):
-            inputs, targets = x[0, at : at + window], x[1, at : at + window]
+    def steps(x: np.ndarray, wide: int, h: np.ndarray) -> np.ndarray:
+        """Symbols and targets by (step, stream), in windows of ``wide`` steps."""
+        for at in range(0, x.shape[1], wide):
+            inputs, targets = x[0, at : at + wide], x[1, at : at + wide]
             live = targets >= 0
-            adam.rate = rate * min(1.0, live.sum() / (streams * window))
-            h, _ = model.learn(inputs, targets, inputs == model.start, h, adam)
+            learner.rate = rate * min(1.0, live.sum() / (streams * window))
+            h, _ = learner.step(inputs, targets, inputs == model.start, h)
             np.add(read, np.bincount(inputs[live], minlength=len(read)), out=read)
-            np.add(met, np.bincount(targets[live] // model.class_size, minlength=len(met)), out=met)
+            np.add(met, np.bincount(class_of[targets[live]], minlength=len(met)), out=met)
         return h
 
     for d in documents:
@@ -274,27 +321,30 @@ def learn_on(model: Model, documents: Iterator[np.ndarray], streams: int = TASK_
         if (ready := filled[0][0]) >= 8 * window:
             ready -= ready % window
             joined = [np.concatenate(a, 1) for a in lanes]
-            h = steps(ready, joined, h)
+            h = steps(np.stack([a[:, :ready] for a in joined], 2), window, h)
             lanes = [[a[:, ready:]] for a in joined]
             filled = [(n - ready, k) for n, k in filled]
     left = [(k, np.concatenate(a, 1)) for k, a in enumerate(lanes) if a]
     left = [(k, a) for k, a in left if a.shape[1]]
     h = h[[k for k, _ in left]]
     rest = [a for _, a in left]
-    while rest:  # streams end one by one
-        pad = [np.pad(a, ((0, 0), (0, max(0, window - a.shape[1]))), constant_values=-1) for a in rest]
-        for a in pad:
-            a[0][a[0] < 0] = model.start
-        h = steps(window, pad, h)
-        more = [i for i, a in enumerate(rest) if a.shape[1] > window]
-        h, rest = h[more], [rest[i][:, window:] for i in more]
+    while rest:  # streams end one by one; the fewer are left the longer the windows
+        wide = window * min(16, max(1, streams // len(rest)))
+        wide = min(wide, -(-max(a.shape[1] for a in rest) // window) * window)
+        x = np.full((2, wide, len(rest)), -1, np.int32)
+        x[0] = model.start
+        for k, a in enumerate(rest):
+            x[:, : min(wide, a.shape[1]), k] = a[:, :wide]
+        h = steps(x, wide, h)
+        more = [i for i, a in enumerate(rest) if a.shape[1] > wide]
+        h, rest = h[more], [rest[i][:, wide:] for i in more]
     return read, met
 
 
 def _weights(model: Model, read: np.ndarray, met: np.ndarray) -> list[np.ndarray]:
     """What each row of each parameter counts for."""
-    every = np.float64(read.sum())
-    return [read.astype(float)[:, None], every, every, every, every, met.astype(float)[:, None, None], met.astype(float)[:, None]]
+    every, of_word = np.float64(read.sum()), met[model.class_of].astype(float)
+    return [read.astype(float)[:, None], every, every, every, every, of_word[:, None], of_word]
 
 
 def learn_all(known: DataFrame, model: Model, words: list[bytes]) -> None:
@@ -376,16 +426,23 @@ class Trained:
 
 def commonest(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
     """At most ``most`` words and their counts, the commonest first: all from some count up, found on a grid of counts
-    (a few hundred cells, whatever the corpus), so that no task sorts the words and the driver gets no more than these."""
-    cell = F.floor(F.log2("n") * 16).cast("int")
-    level, held = None, 0
+    (a few hundred cells, whatever the corpus), and those of the next cell whose digest is low enough, found on a grid of digests,
+    so that no task sorts the words and the driver gets no more than these."""
+    cell, part = F.floor(F.log2("n") * 16).cast("int"), F.pmod(F.xxhash64(F.lit(29), "word"), F.lit(4096)).cast("int")
+    level, held = 1 << 30, 0
     for r in counts.groupBy(cell.alias("cell")).count().orderBy(F.desc("cell")).collect():
         if held + r["count"] > most:
+            tied, below = r["cell"], 0
+            for q in counts.filter(cell == tied).groupBy(part.alias("part")).count().orderBy("part").collect():
+                if held + q["count"] > most:
+                    break
+                held, below = held + q["count"], q["part"] + 1
+            got = counts.filter((cell >= level) | ((cell == tied) & (part < below)))
             break
         level, held = r["cell"], held + r["count"]
-    if level is None:
-        return [], np.empty(0, np.int64)
-    got = counts.filter(cell >= level).toArrow()
+    else:
+        got = counts
+    got = got.toArrow()
     words, n = got.column("word").to_pylist(), got.column("n").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
     return [words[i] for i in order], n[order]
@@ -405,20 +462,22 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: in
     if not documents:
         return trained
     ids = _Ids(zip(words[:size], range(size), strict=True))
-    # A document's words as the model's ids; the sample's order is that of a digest.
-    chosen = known.filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64(F.lit(19), "doc_id"), "doc_id").limit(rows)
+    # The sample: distinct ids by digest, of their texts those that are not long, as many as make up the tokens.
+    chosen = known.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(19), "doc_id"), "doc_id").limit(rows)
+    chosen = df.sparkSession.createDataFrame(chosen.toArrow())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.where((a := _encode(x.as_py(), ids)) < 0, size + 1, a) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    chosen = df.sparkSession.createDataFrame(chosen.select("doc_id").toArrow()).distinct()
-    got = known.join(F.broadcast(chosen), "doc_id").mapInArrow(encoded, f"doc_id {df.schema[id_col].dataType.simpleString()}, ids array<int>")
-    # Documents come in any order: by digest they are the same at every run.  Whole ones, until there are enough tokens.
-    tasks = got.withColumn("place", F.xxhash64(F.lit(23), "doc_id", "ids")).withColumn("size", F.size("ids") + 1)
-    enough = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    some = tasks.withColumn("before", F.coalesce(F.sum("size").over(enough), F.lit(0))).filter(F.col("before") < tokens).orderBy("place").select("ids").toArrow()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), pa.array([len(x) + 1 for x in out], pa.int64())], names=["place", "ids", "size"])
+
+    placed = known.join(F.broadcast(chosen), "doc_id").select(F.xxhash64(F.lit(23), "doc_id", "body").alias("place"), "body")
+    coded = materialize(placed.dropDuplicates(["place"]).mapInArrow(encoded, "place long, ids array<int>, size long").filter(F.col("size") <= max(tokens // 8, 1)), "sample")
+    sizes = coded.select("place", "size").orderBy("place").limit(rows).toArrow()
+    before = np.cumsum(sizes.column("size").to_numpy())
+    last = int(np.searchsorted(before, tokens))
+    upto = sizes.column("place")[min(last, len(before) - 1)].as_py() if len(before) else 0
+    some = coded.filter(F.col("place") <= upto).orderBy("place").select("ids").toArrow()  # at most ``tokens`` and a text
     sample = [np.array(x.values.to_numpy(), np.int32) for x in some.column("ids")]
     trained.model = fit(sample, np.concatenate([numbers[:size], [documents, beyond + 1]]).astype(float))
     learn_all(known, trained.model, words[:size])

@@ -17,6 +17,23 @@ def small(n=12, size=5, seed=0):
     return model
 
 
+def test_classes_are_small_for_common_words():
+    starts = lm.class_starts(np.concatenate([1e6 / np.arange(1, 5001), [10, 10]]))
+    sizes = np.diff(starts)
+    assert starts[0] == 0 and starts[-1] == 5002 and sizes[-1] == 2 and (sizes > 0).all() and sizes[0] < 10 < 200 < sizes[-2]
+    assert lm.class_starts(np.array([1.0, 1.0])).tolist() == [0, 2]
+
+
+def test_commonest_words_among_ties(spark):
+    rows = [(f"a{i}".encode(), 1000 - i) for i in range(20)] + [(f"t{i}".encode(), 3) for i in range(5000)] + [(b"rare", 1)]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    words, n = lm.commonest(counts, 1000)
+    assert words[:20] == [r[0] for r in rows[:20]] and 900 < len(words) <= 1000 and set(n[20:]) == {3} and lm.commonest(counts, 1000)[0] == words
+    assert len(lm.commonest(counts, 10_000)[0]) == 5021
+    few = lm.commonest(counts.filter("n = 3"), 40)[0]
+    assert 30 < len(few) <= 40  # all words alike: some are taken all the same
+
+
 def test_probabilities_sum_to_one():
     model = small()
     h = np.random.default_rng(1).normal(0, 1, (3, 5)).astype(np.float32)
@@ -29,19 +46,21 @@ def test_gradients_against_differences():
     rng = np.random.default_rng(2)
     inputs, targets, fresh, h = rng.integers(0, 12, (4, 3)), rng.integers(-1, 12, (4, 3)), rng.random((4, 3)) < 0.3, rng.normal(0, 1, (3, 5)).astype(np.float32)
 
-    class Grab:
-        def step(self, grads):
-            self.grads = grads
+    def run():
+        grads = [np.zeros_like(p) for p in model.params()]
+        _, loss, read, met = model.gradients(inputs, targets, fresh, h, model.class_of, grads)
+        others = np.setdiff1d(np.arange(len(model.gru.x)), read)
+        assert not grads[0][others].any() and all(not grads[5][a:b].any() for c, (a, b) in enumerate(zip(model.starts[:-1], model.starts[1:], strict=True)) if c not in met)
+        return loss, grads
 
-    grab = Grab()
-    model.learn(inputs, targets, fresh, h, grab)
-    for grad, p in zip(grab.grads, model.params(), strict=True):
+    for k, p in enumerate(model.params()):
+        grad = run()[1][k]
         at = np.unravel_index(np.abs(grad).argmax(), p.shape)
         was = p[at]
         p[at] = was + 0.01
-        up = model.learn(inputs, targets, fresh, h, Grab())[1]
+        up = run()[0]
         p[at] = was - 0.01
-        down = model.learn(inputs, targets, fresh, h, Grab())[1]
+        down = run()[0]
         p[at] = was
         assert abs((up - down) / 0.02 - grad[at]) < 2e-3 * max(1, abs(grad[at]))
 
