@@ -5,20 +5,27 @@ spellings undone.  The kernel of two units is the inner product of their gap-wei
 (a subsequence that spans s letters weighs ``DECAY`` ** s), divided by a norm for their lengths; so an insult keeps most
 of its kernel values when letters are set apart or a strange one is put in.
 
-Labels are of documents, and no sentence is seen: single units that occur in toxic training documents far beyond chance
-are the witnesses that the machine is trained on in place of sentences, all of them, with units of clean documents
-against them, the hardest of which are added for a second fit.  Kernels do not cross units, so an insult of several
-ordinary words is none, nor is one too rare to stand out.  A landmark machine is linear in the subsequences, so it is folded into one
-weight for each possible one.  A text is judged by its highest unit, by how many units are on the wrong side, and by
-their share, in a logistic regression on the training documents.
-
-Training sees a bounded sample (``TRAIN_ROWS`` documents, ``NEGATIVES`` units); scoring reads every text once, whole, and
+The machine is trained on labelled sentences.  A sentence's value is that of its highest unit, and its label that of its
+document, where a toxic document need not be toxic in every sentence: which sentences are, and by which unit, is learned in rounds.
+It begins with stems (a unit, or its first four to seven letters) that occur in toxic documents far beyond chance: a sentence
+of a toxic document that has one is a positive row by that unit.  In each further round it is a positive row by its highest
+unit if the machine puts that on the toxic side, and sentences of clean documents are negative rows by theirs; the highest
+are kept.  So an insult need not be frequent itself, as long as it has something of its own in common with others, but kernels do not
+cross units, so an insult of several ordinary words is none.  A landmark machine is linear in the subsequences, so it is
+folded into one weight for each possible one.  A text is judged by its highest unit, by how many units are on the wrong
+side, and by their share, in a logistic regression on the training documents.
+
+Training sees all sentences of a bounded sample (``TRAIN_ROWS`` documents), of the negative rows ``NEGATIVES`` by digest and
+the ``HARD_NEGATIVES`` highest of each round; scoring reads every text once, whole, and
 moves nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -33,7 +40,13 @@ from loam.llm.quality import label_sample
 TRAIN_ROWS = 20_000
 NEGATIVES = 20_000
 HARD_NEGATIVES = 4_000
-HARD_ROUNDS = 2
+ROUNDS = 2
+#: Commonest positive units of which spellings with a strange letter are added.
+VARIED = 400
+#: Letters of stems, besides whole units.
+STEMS = (4, 5, 6, 7)
+#: Logarithm by which a stem's gain exceeds that of the best one by chance.
+BEYOND_CHANCE = 2.0
 LANDMARKS = 320
 DECAY = 0.75
 #: Letters that a subsequence may span, and letters of a unit that are seen at once (longer ones go by steps of half).
@@ -96,6 +109,16 @@ def units(text: str | None) -> set[bytes]:
     return out
 
 
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+
+
+def sentences(text: str | None) -> list[set[bytes]]:
+    """The pieces of each sentence that has any."""
+    out = ({p for u in units(s) for p in pieces(u)} for s in _SENTENCE.split(text or ""))
+    return [x for x in out if x]
+
+
+@lru_cache(200_000)
 def pieces(unit: bytes) -> list[bytes]:
     """The letters of a unit, by overlapping windows if there are many."""
     s = letters(unit)
@@ -220,16 +243,20 @@ def varied(words: list[bytes]) -> list[bytes]:
     return out
 
 
+def stems(piece: bytes) -> list[bytes]:
+    return [piece, *(piece[:k] for k in STEMS if k < len(piece))]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[bytes, list[int]] = {}
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array([v[1] for v in held.values()], pa.int64()), pa.array([v[0] for v in held.values()], pa.int64())], names=["unit", "toxic", "clean"])
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array([v[1] for v in held.values()], pa.int64()), pa.array([v[0] for v in held.values()], pa.int64())], names=["stem", "toxic", "clean"])
 
     for batch in batches:
         for y, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for unit in {p for u in units(body.as_py()) for p in pieces(u)}:
-                held.setdefault(unit, [0, 0])[int(y > 0)] += 1
+            for stem in {x for s in sentences(body.as_py()) for p in s for x in stems(p)}:
+                held.setdefault(stem, [0, 0])[int(y > 0)] += 1
             if len(held) > 200_000:
                 yield out()
                 held.clear()
@@ -237,52 +264,107 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def witnesses(seen: DataFrame) -> dict[bytes, float]:
+    """Stems of mostly toxic documents and their gain: the log-likelihood ratio of their own rate to that of all stems.
+
+    So many stems are tried that the best has some gain by chance: the logarithm of how many could reach it at all, those of
+    enough documents.  All with more than that, by ``BEYOND_CHANCE``, are witnesses.
+    """
+    n = F.col("toxic") + F.col("clean")
+    sums = seen.agg(F.sum("toxic"), F.sum(n)).first()
+    if not sums[0] or sums[0] == sums[1]:
+        return {}
+    rate = sums[0] / sums[1]
+    tried = seen.groupBy(F.least(n, F.lit(1000)).alias("n")).count().collect()
+    level = BEYOND_CHANCE
+    for _ in range(20):
+        level = BEYOND_CHANCE + float(np.log(max(1, sum(r["count"] for r in tried if r["n"] * -np.log(rate) >= level))))
+    gain = F.col("toxic") * F.log(F.col("toxic") / n / rate) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - rate))).otherwise(0)
+    found = seen.filter((2 * F.col("toxic") > n) & (F.col("toxic") / n > rate)).withColumn("gain", gain).filter(F.col("gain") > level)
+    return {bytes(r["stem"]): r["gain"] for r in found.select("stem", "gain").collect()}  # of the sample's stems
+
+
+def _by_stems(found: dict[bytes, float]) -> Callable[[int, list[bytes]], list[float]]:
+    """Values at the beginning: of toxic documents' units the gain of the best witness, of clean ones a digest."""
+
+    def value(y: int, words: list[bytes]) -> list[float]:
+        if not y:
+            return [zlib.crc32(w) / 2**32 for w in words]
+        return [max((found.get(x, -1.0) for x in stems(w)), default=-1.0) for w in words]
+
+    return value
+
+
+def sentence_rows(known: DataFrame, value: Callable[[int, list[bytes]], list[float]]) -> DataFrame:
+    """label, piece, n, value: the highest piece of each sentence of (label, body), by how many sentences it is that of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values: list[dict[bytes, float]] = [{}, {}]
+        for batch in batches:
+            rows: Counter = Counter()
+            split = [(int(y > 0), sentences(body.as_py())) for y, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            for y in (0, 1):
+                if len(values[y]) > 400_000:
+                    values[y].clear()
+                new = list({p for label, some in split if label == y for s in some for p in s} - values[y].keys())
+                values[y].update(zip(new, value(y, new), strict=True))
+            for y, some in split:
+                own = values[y]
+                rows.update((y, max(s, key=lambda p: (own[p], p))) for s in some)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([y for y, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary()), pa.array(rows.values(), pa.int64()), pa.array([values[y][p] for y, p in rows], pa.float64())],
+                names=["label", "piece", "n", "value"],
+            )
+
+    made = known.mapInArrow(run, "label int, piece binary, n long, value double")
+    return made.groupBy("label", "piece").agg(F.sum("n").alias("n"), F.max("value").alias("value"))
+
+
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Machine:
     """Learns from labelled documents whose crc32(doc_id as text) mod 3 is not 1.  Without both labels every score is low."""
     sample = label_sample(labels, "toxic", rows, where=crc_mod("doc_id", 3) != 1)
-    known = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body")).join(F.broadcast(sample), "doc_id").select("__label", "body")
-    seen = known.mapInArrow(_counts, "unit binary, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    seen = materialize(seen, "units")
-    # A witness is toxic so often that, at the rate of all units, none of them all is expected to be by chance.
-    sums = seen.agg(F.sum("toxic"), F.sum("toxic") + F.sum("clean"), F.count("*")).first()
-    if not sums[0] or sums[0] == sums[1]:
-        return Machine()
-    n, rate = F.col("toxic") + F.col("clean"), sums[0] / sums[1]
-    gain = F.col("toxic") * F.log(F.col("toxic") / n / rate) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - rate))).otherwise(0)
-    witness = (2 * F.col("toxic") > n) & (F.col("toxic") / n > rate) & (gain > float(np.log(sums[2]) + 3))
-    found = seen.filter(witness).orderBy(F.desc("toxic"), "unit").collect()  # of the sample's units
+    # Rows that repeat count once.
+    known = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body")).join(F.broadcast(sample), "doc_id").distinct()
+    known = materialize(known.select("__label", "body"), "labelled")
+    seen = materialize(known.mapInArrow(_counts, "stem binary, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "stems")
+    found = witnesses(seen)
     if not found:
         return Machine()
-    positive = [bytes(r["unit"]) for r in found]
-    others = seen.filter(~witness & (F.col("clean") > 0) & (2 * F.col("toxic") <= n))
-    negative = sorted(bytes(r["unit"]) for r in others.orderBy(F.xxhash64(F.lit(5), "unit"), "unit").limit(NEGATIVES).collect())
-    if not negative:
-        return Machine()
-    inserted = varied(positive)
-    given = np.array([r["toxic"] for r in found], float)
-    clean_too = given * np.array([r["clean"] / r["toxic"] for r in found])
-    extra: list[bytes] = []
-    for _ in range(1 + HARD_ROUNDS):
-        # A witness that clean documents have too is on both sides, by its counts; a clean unit is no variation.
-        kept = [w for w in inserted if w not in set(extra)]
-        marks = positive[: LANDMARKS // 3] + extra[: LANDMARKS // 3]
-        marks += negative[:: max(1, len(negative) // (LANDMARKS - len(marks)))][: LANDMARKS - len(marks)]
+    machine, positive, hard = Machine(), [], {}
+    value = _by_stems(found)
+    random: dict[bytes, int] = {}
+    for step in range(1 + ROUNDS):
+        got = materialize(sentence_rows(known, value), "sentences")
+        new = got.filter("label = 1 and value > 0").orderBy(F.desc("n"), "piece").collect()  # of the sample's sentences
+        positive = [(bytes(r["piece"]), r["n"]) for r in new] or positive
+        clean = got.filter("label = 0")
+        if not step:
+            random = {bytes(r["piece"]): r["n"] for r in clean.orderBy("value", "piece").limit(NEGATIVES).collect()}
+            own = clean.join(F.broadcast(df.sparkSession.createDataFrame([(p,) for p, _ in positive], "piece binary")), "piece").collect()
+        else:
+            own = clean.filter("value > 0").orderBy(F.desc("value"), "piece").limit(HARD_NEGATIVES).collect()
+            hard |= {bytes(r["piece"]): r["n"] for r in clean.orderBy(F.desc("value"), "piece").limit(HARD_NEGATIVES).collect()}
+        if not positive or not random:
+            return machine
+        # A unit on both sides is on each by its sentences.
+        both = {bytes(r["piece"]): r["n"] for r in own}
+        given = np.array([n for _, n in positive], float)
+        taken = {w for w, _ in positive}
+        against = [(w, 0.02) for w in sorted(random) if w not in both] + [(w, 0.3) for w in sorted(hard) if w not in both] + sorted(both.items())
+        inserted = [w for w in varied([w for w, _ in positive[:VARIED]]) if w not in hard and w not in taken]
+        top = [w for w, _ in positive]
+        marks = top[: LANDMARKS // 3] + sorted(hard, key=lambda w: (-hard[w], w))[: LANDMARKS // 3]
+        some = sorted(random)
+        marks += some[:: max(1, len(some) // (LANDMARKS - len(marks)))][: LANDMARKS - len(marks)]
         machine = fit_machine(
-            positive + kept,
-            negative + extra + positive,
+            top + inserted,
+            [w for w, _ in against],
             marks,
-            np.concatenate([given, np.full(len(kept), 0.02 * given.mean())]),
-            np.concatenate([np.full(len(negative), 0.02), np.full(len(extra), 0.3), clean_too]),
+            np.concatenate([given, np.full(len(inserted), 0.02 * given.mean())]),
+            np.array([n for _, n in against], float),
         )
-
-        def value(batches: Iterator[pa.RecordBatch], machine: Machine = machine) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                words = batch.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.decide(words), pa.float64())], names=["unit", "value"])
-
-        hard = others.select("unit").mapInArrow(value, "unit binary, value double").orderBy(F.desc("value"), "unit").limit(HARD_NEGATIVES).collect()
-        extra = list(dict.fromkeys([bytes(r["unit"]) for r in hard] + extra))[: 2 * HARD_NEGATIVES]
-    got = _valued(known, machine, "__label int").limit(2 * rows).toArrow()
+        value = lambda y, words, machine=machine: machine.decide(words).tolist()
+    got = _valued(known, machine, "__label int").toArrow()
     x = np.stack([got.column(c).to_numpy() for c in ("top", "hits", "units")], 1).astype(float).reshape(-1, 3)
     y = (got.column("__label").to_numpy() > 0).astype(float)
     order = np.lexsort((*x.T, y))  # rows come in any order; sums shall not differ

@@ -78,16 +78,52 @@ def test_empty_tables(docs, spark):
     assert [r.predicted for r in toxicity.score(docs([(None, "x y zebra")]), machine).collect()] == [0]
 
 
-def test_every_witness_is_a_positive(spark, monkeypatch):
+def test_every_toxic_sentence_with_a_witness_is_a_row(spark, monkeypatch):
     rng = random.Random(8)
     insults = ["zz" + "".join(rng.choice("bcdfgk") for _ in range(6)) for _ in range(450)]
     plain = ["".join(rng.choice("aeioulmnrst") for _ in range(6)) for _ in range(300)]
-    rows = [(i, " ".join(rng.sample(plain, 60) + (rng.sample(insults, 40) if i % 2 else [])), i % 2) for i in range(2000)]
+    rows = [(i, "".join(" ".join(rng.sample(plain, 6) + (rng.sample(insults, 1) if i % 2 else [])) + ". " for _ in range(10)), i % 2) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     seen = []
     fit = toxicity.fit_machine
-    monkeypatch.setattr(toxicity, "HARD_ROUNDS", 0)
-    monkeypatch.setattr(toxicity, "fit_machine", lambda positive, *rest: seen.append(positive) or fit(positive, *rest))
+    monkeypatch.setattr(toxicity, "ROUNDS", 0)
+    monkeypatch.setattr(toxicity, "fit_machine", lambda positive, *rest: seen.append((positive, rest[2])) or fit(positive, *rest))
     toxicity.train(df.select("doc_id", "text"), df.select("doc_id", F.lit(1).alias("quality"), "toxic"))
-    units = {p for x in insults for u in toxicity.units(x) for p in toxicity.pieces(u)}
-    assert len(units) > 400 and units <= set(seen[0])
+    used = {p for i, t, y in rows if y and zlib.crc32(str(i).encode()) % 3 != 1 for s in toxicity.sentences(t) for p in s if p in set(x.encode() for x in insults)}
+    assert len(used) > 400 and used <= set(seen[0][0])  # though each stands in few sentences
+
+
+def test_sentences_and_their_highest_units(spark):
+    assert toxicity.sentences("One two. i.d.i.o.t here!\n\n12 !? Thr-ee") == [{b"one", b"two"}, {b"idiot", b"here"}, {b"three"}]
+    assert toxicity.sentences(None) == toxicity.sentences("") == []
+    df = spark.createDataFrame([(1, "aaaa bbbbb. cccccc"), (1, "aaaa. bbbbb"), (0, "aaaa")], "label int, body string")
+    got = {(r.label, r.piece, r.n, r.value) for r in toxicity.sentence_rows(df, lambda y, words: [float(len(w) * y) for w in words]).collect()}
+    assert got == {(1, b"bbbbb", 2, 5.0), (1, b"cccccc", 1, 6.0), (1, b"aaaa", 1, 4.0), (0, b"aaaa", 1, 0.0)}
+
+
+def test_insults_by_a_common_stem(spark):
+    """No word is frequent; their first letters are the only sign."""
+    rng = random.Random(9)
+    end = lambda n: "".join(rng.choice("aeioulmnrst") for _ in range(n))
+    rows = [(i, ". ".join(" ".join([end(7) for _ in range(6)] + ["bomqve" + end(5)] * (i % 3 == 0 and k == 2)) for k in range(5)), int(i % 3 == 0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", F.lit(1).alias("quality"), "toxic"))
+    got = [r for r in toxicity.score(df, machine).collect() if r.held_out]
+    assert all(r.predicted == int(r.doc_id % 3 == 0) for r in got)
+
+
+def slow_value(machine, text):
+    """The machine over every subsequence of every piece of a text, one by one."""
+    best, hits, n = -1.0, 0, 0
+    for u in toxicity.units(text):
+        own = max((float(brute_features(p) @ machine.weights[:-1]) + machine.bias for p in toxicity.pieces(u)), default=-1.0)
+        best, hits, n = max(best, own), hits + (own > toxicity.HIT), n + 1
+    z = machine.pooled @ toxicity.pooled_features(np.array([[best, hits, n]], float))[0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_against_brute_force(learned, docs):
+    df, _, machine, _ = learned
+    texts = [r.text for r in df.filter("doc_id < 12").collect()] + ["blorgface", "", "s.n.a.r.k wit", "x" * 90]
+    got = {r.doc_id: r.score for r in toxicity.score(docs(texts), machine).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], [slow_value(machine, t) for t in texts], atol=1e-4)
