@@ -93,3 +93,43 @@ def test_items_shorter_than_a_seed_match_whole(docs, spark):
             (0, 1, 1.0, 1, "0:1:2"), (2, 2, 1.0, 1, "0:0:4"), (5, 3, 1.0, 1, "0:0:1"), (6, 3, 1.0, 1, "0:8:1"), (6, 6, 1.0, 1, "0:1:6"),
         ]
         assert sorted(r.doc_id for r in decontam.drop_leaks(docs(texts), bench, chunk_words=chunk).collect()) == [1, 3, 4, 7, 8]
+
+
+def test_item_ids_of_any_type(docs, spark):
+    texts, bench = setup(docs, spark)
+    for kind in ("int", "string", "decimal(10,0)"):
+        found = decontam.find(docs(texts), bench.withColumn("item_id", F.col("item_id").cast(kind)))
+        assert found.schema["item_id"].dataType.simpleString() == kind and sorted((r.doc_id, str(r.item_id)) for r in found.collect())[0] == (0, "3")
+
+
+def test_hot_seeds_and_repeated_runs():
+    """Many items with one opening, and a text that repeats it: only items with enough words under seeds are tiled."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    opening = " ".join(word() for _ in range(5))
+    texts = [f"{opening} " + " ".join(word() for _ in range(20)) for _ in range(400)]
+    items = decontam.Items(list(range(400)), [t.encode() for t in texts])
+    seen = []
+    plain = decontam.tiles
+    try:
+        decontam.tiles = lambda p, t, *rest: seen.append(len(t)) or plain(p, t, *rest)
+        got = items.matches(" ".join([opening] * 6000 + [texts[17]] * 50 + [word()] + [texts[5][len(opening) :]]), decontam.COVERAGE)
+    finally:
+        decontam.tiles = plain
+    assert [(i, share) for i, share, _ in got] == [(5, 1.0), (17, 1.0)] and len(seen) == 2
+    assert items.matches(" ".join([opening, word()] * 6000), decontam.COVERAGE) == []
+
+
+def test_repeated_runs_tile_as_if_all_were_kept():
+    rng = random.Random(6)
+    for _ in range(40):
+        target = [rng.randrange(4) for _ in range(rng.randrange(10, 26))]
+        parts = []
+        for _ in range(30):
+            a = rng.randrange(len(target))
+            parts += [str(x) for x in target[a : a + rng.randrange(3, 12)]] + ["x" + str(rng.randrange(3))]
+        text = " ".join(parts * 3)
+        got = decontam.Items([0], [" ".join(map(str, target)).encode()]).matches(text, 0.01)
+        words = text.split()
+        want = decontam.tiles([str(x) for x in target] and target, [int(w) if w.isdigit() else -1 for w in words], [not w.isdigit() for w in words])
+        assert [t for *_, t in got] == ([want] if want else [])
