@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from loam.llm.common import checkpointed, parts_for
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with m, the least node among u and its neighbours.  Least values are combined before they move."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+#: A node of more edges than this, and than a ``HUB_SHARE``-th of them all, is a hub.
+HUB = 512
+HUB_SHARE = 2048
+
+
+def _with_least(edges: DataFrame, count: int) -> DataFrame:
+    """Edges (u, v) with m, the least node among u and its neighbours.  Least values are combined before they move, and those of
+    hubs, of which there are fewer than ``HUB_SHARE``, go to where the hubs' edges are."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hub = F.col("n") > max(HUB, count // HUB_SHARE)
+    known = edges.join(F.broadcast(least.filter(hub).select("u", F.col("m").alias("of_hub"))), "u", "left")
+    others = known.filter("of_hub is null").join(least.filter(~hub).select("u", "m"), "u").select("u", "v", "m")
+    return known.filter("of_hub is not null").select("u", "v", F.col("of_hub").alias("m")).unionByName(others)
 
 
 def components(edges: DataFrame, limit: int = 64) -> DataFrame:
@@ -28,9 +37,9 @@ def components(edges: DataFrame, limit: int = 64) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        large = _with_least(both, 2 * mark[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         down = large.distinct()
-        near = _with_least(down)
+        near = _with_least(down, 2 * mark[0])
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).filter("u != v")
         now = checkpointed(small.distinct(), parts_for(mark[0]))
     raise RuntimeError("stars did not converge")
