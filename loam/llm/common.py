@@ -77,6 +77,11 @@ def unused(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def quoted(df: DataFrame) -> list[str]:
+    """The columns' names for ``select``, whatever signs are in them."""
+    return [f"`{c.replace('`', '``')}`" for c in df.columns]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

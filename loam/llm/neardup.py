@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import checkpointed, materialize, mix64, parts_for, unused, window_sums, word_hashes
+from loam.llm.common import checkpointed, materialize, mix64, parts_for, quoted, unused, window_sums, word_hashes
 from loam.llm.graph import components
 
 NGRAM = 5
@@ -444,7 +444,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     the_id, the_key, the_cell = unused(df, "id"), unused(df, "key"), unused(df, "cell")
     cells = _cells(losers, "key", the_cell)
     keyed = df.withColumns({the_id: _key_of(id_col), the_key: text_key(text_col)}).withColumn(the_cell, _cell(the_key))
-    alone = keyed.join(cells, the_cell, "left_anti").select(*df.columns)
+    alone = keyed.join(cells, the_cell, "left_anti").select(*quoted(df))
     kept = winners.select(_key_of("w.text_id").alias(the_id), F.col("w.key").alias(the_key))
     others = keyed.join(cells, the_cell, "left_semi").join(kept, [the_id, the_key], "left_semi")
-    return alone.unionByName(others.dropDuplicates([the_id, the_key]).select(*df.columns))
+    return alone.unionByName(others.dropDuplicates([the_id, the_key]).select(*quoted(df)))
