@@ -52,3 +52,30 @@ def test_runs_again_alike(spark):
     two = {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(df.repartition(7)).collect()}
     other = {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(df, seed=8).collect()}
     assert one == two != other
+
+
+def test_small_sources_share_one_rank_but_no_range(spark, monkeypatch):
+    """Every row a source of its own: all have the fractional rank 1/2, and digests split them."""
+    n = 30_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.concat(F.lit("host"), "id").alias("source"))
+    out = sharding.interleave(df)
+    check(out.collect(), [(i, "x", None) for i in range(n)], 40)
+    digest = F.md5(F.concat(F.lit("7:="), F.col("doc_id").cast("string"), F.lit(":"), F.col("text_crc32").cast("string")).cast("binary"))
+    parts = out.groupBy(F.substring(digest, 4, 3).alias("part")).agg(F.count("*").alias("n"), F.min(F.col("shard") * n + F.col("slot")).alias("a"), F.max(F.col("shard") * n + F.col("slot")).alias("b")).orderBy("part").collect()
+    assert len(parts) > 4000 and max(r.n for r in parts) < 40  # what one window sorts
+    assert all(p.b < q.a for p, q in zip(parts[:-1], parts[1:], strict=True))
+
+
+def test_null_ids_are_shuffled(spark):
+    rows = [(None, f"text {i}", "s") for i in range(2000)]
+    got = sorted(sharding.interleave(make(spark, rows)).collect(), key=lambda r: (r.shard, r.slot))
+    crcs = [r.text_crc32 for r in got]
+    rises = sum(a < b for a, b in zip(crcs[:-1], crcs[1:], strict=True))
+    check(got, rows, 40)
+    assert 900 < rises < 1100
+
+
+def test_one_row_many_times(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 16)
+    rows = [(None, None, "s")] * 200 + [(5, "t", "u")] * 33 + [(i, "x", "s") for i in range(10)]
+    check(sharding.interleave(make(spark, rows), shards=6).collect(), rows, 6)
