@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import materialize
+from loam.llm.common import materialize, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("rule", "gazetteer", "context", "shape", "edge")
@@ -171,11 +171,14 @@ def _spans(df: DataFrame, kind: str, text: str, pattern: str, gate: str, loose:
 
 
 def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with an array column ``__<kind>`` of candidates for each kind."""
+    """``df`` with an array column ``__<kind>`` of candidates for each kind; no column of ``df`` may begin with two underscores."""
     df = df.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    masked = "__text"
     for kind in KINDS:
         df = _spans(df, kind, "__text", BASE[kind], GATE[kind], False, f"__{kind}_base", None)
+    # Few texts pass a looser rule's cheap test, and only those are masked for it: signs of the mask let none pass that did not before.
+    any_gate = "|".join(f"(?:{g})" for g in LOOSE_GATE.values() if g != "(?!)")
+    df = df.withColumn("__open", F.when(F.col("__text").rlike(any_gate), F.col("__text")).otherwise(""))
+    masked = "__open"
     for kind in reversed(KINDS):  # a looser rule sees only what no base span covers
         df = _spans(df, kind, masked, BASE[kind], GATE[kind], False, "__unused", "__masked").drop("__unused")
         df = df.withColumn("__seen", F.col("__masked")).drop("__masked")
@@ -186,7 +189,7 @@ def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
             continue
         df = _spans(df, kind, "__seen", LOOSE[kind], LOOSE_GATE[kind], True, "__more", None)
         df = df.withColumn(f"__{kind}", F.concat(f"__{kind}_base", "__more")).drop("__more", f"__{kind}_base")
-    return df.drop("__seen", "__text")
+    return df.drop("__seen", "__open", "__text")
 
 
 @dataclass
@@ -285,14 +288,15 @@ def find(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: M
 def redact(df: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
     """``df`` with every span replaced by its kind in angle brackets; overlapping spans become one.
 
-    Columns, rows and null texts stay as they are.  Texts without a span come through unchanged.
+    Columns, whatever their names, rows and null texts stay as they are.  Texts without a span come through unchanged, repeated
+    rows alike, and an empty table stays empty.
     """
-    columns = df.columns
-    found = candidates(df, text_col)
+    found = candidates(df.select(F.struct(*quoted(df)).alias("row"), F.col(text_col).cast("string").alias("text")))
     if model is None:
-        model = learn(materialize(found.select(*(f"__{k}" for k in KINDS)), "pii"))
+        found = materialize(found, "pii")  # with the rows, so that candidates are sought once
+        model = learn(found)
     found = found.withColumn("__spans", F.array_sort(F.concat(*(_accepted(k, model) for k in KINDS))))
-    text = F.col(text_col)
+    text = F.col("text")
 
     def step(done: Column, c: Column) -> Column:
         tag = F.concat(F.lit("<"), F.upper(c["kind"]), F.lit(">"))
@@ -304,4 +308,4 @@ def redact(df: DataFrame, text_col: str = "text", model: Model | None = None) ->
     found = found.withColumn("__merged", merged)
     rest = F.substring(text, F.col("__merged.at") + 1, F.char_length(text))
     clean = F.when(F.size("__spans") > 0, F.concat(F.array_join("__merged.parts", ""), rest)).otherwise(text)
-    return found.withColumn(text_col, clean).select(*columns)
+    return found.select(*((clean if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns))
