@@ -197,7 +197,8 @@ def fit_trees(
 
 
 def label_sample(labels: DataFrame, column: str, rows: int, where=None) -> DataFrame:
-    """At most ``rows`` labelled ids, those of lowest digest: the same at every run, a top-k without a full sort."""
+    """At most ``rows`` labelled ids, those of lowest digest: the same at every run, a top-k without a full sort.  An id with
+    different labels has the greatest."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
     if where is not None:
         known = known.filter(where)
@@ -207,15 +208,17 @@ def label_sample(labels: DataFrame, column: str, rows: int, where=None) -> DataF
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [statistics(t.as_py())[1] for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
+        rows = [statistics(t.as_py())[1] for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Trees:
-    """Fits to the labelled sample.  Without labelled documents the trees are none and every score is a half or more."""
-    sample = label_sample(labels, "quality", rows)
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, where=None) -> Trees:
+    """Fits to the labelled sample, of an id with several texts to the one of least features; ``where``: labels to learn from.
+    Without labelled documents the trees are none and every score is a half or more."""
+    sample = label_sample(labels, "quality", rows, where)
     known = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("body")).join(F.broadcast(sample), "doc_id")
-    got = known.select(F.col("__label").alias("y"), "body").mapInArrow(_features, "y int, x array<double>").limit(2 * rows).toArrow()
+    seen = known.select("doc_id", F.col("__label").alias("y"), "body").mapInArrow(_features, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, y int, x array<double>")
+    got = seen.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).toArrow()  # a row for each id of the sample
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, got.column("y").to_numpy()))  # rows come in any order; sums shall not differ
     return fit_trees(x[order], got.column("y").to_numpy()[order].astype(float), list(FEATURES.values()))

@@ -323,9 +323,9 @@ def sentence_rows(known: DataFrame, value: Callable[[int, list[bytes]], list[flo
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Machine:
     """Learns from labelled documents whose crc32(doc_id as text) mod 3 is not 1.  Without both labels every score is low."""
     sample = label_sample(labels, "toxic", rows, where=crc_mod("doc_id", 3) != 1)
-    # Rows that repeat count once.
-    known = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body")).join(F.broadcast(sample), "doc_id").distinct()
-    known = materialize(known.select("__label", "body"), "labelled")
+    known = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body")).join(F.broadcast(sample), "doc_id")
+    # One text for each id of the sample.
+    known = materialize(known.groupBy("doc_id").agg(F.first("__label").alias("__label"), F.min("body").alias("body")).select("__label", "body"), "labelled")
     seen = materialize(known.mapInArrow(_counts, "stem binary, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "stems")
     found = witnesses(seen)
     if not found:
