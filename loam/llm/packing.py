@@ -1,7 +1,7 @@
 """Bounded-space online best-fit packing of tokenised documents into sequences.
 
 Documents are tokenised once, where they lie; only piece lengths and checksums travel on.  Pieces that fill a sequence
-close it at once.  The others are dealt by a digest of their id over as many packers as their number asks for (a fixed
+close it at once.  The others are dealt by a digest of their row over as many packers as their number asks for (a fixed
 share each), and each packer runs best-fit over its stream with a fixed number of open bins.  Open bins are kept in
 stacks by free space and the occupied stacks in a bitset: the lowest set bit at or above a piece's length is the best
 fit.  When too many bins are open the fullest, the lowest set bit of all, is closed.
@@ -86,7 +86,7 @@ def cut(ids: list[int], capacity: int) -> list[tuple[int, int]]:
 
 def tokenised(df: DataFrame, capacity: int, path: str | None, id_col: str, text_col: str) -> DataFrame:
     id_type = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("salt"), F.col(text_col).cast("string").alias("body"))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col, F.monotonically_increasing_id()).alias("salt"), F.col(text_col).cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
