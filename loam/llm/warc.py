@@ -22,12 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.common import materialize, new_path
+from loam.sources.address import filesystem
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
@@ -246,7 +246,7 @@ class _Archives:
     """Archives of one task: bounded size, temporary names, renamed when whole."""
 
     def __init__(self, folder: str, part: int, limit: int):
-        self.fs, self.path = pyarrow.fs.FileSystem.from_uri(folder)
+        self.fs, self.path = filesystem(folder)
         self.part, self.limit, self.number, self.out = part, limit, 0, None
 
     def add(self, data: bytes) -> tuple[str, int]:
