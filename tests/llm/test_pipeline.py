@@ -45,7 +45,7 @@ def test_one_of_each_class(stages):
 
 
 def test_no_benchmark_left(spark, stages):
-    items = next(decontam.item_chunks(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text", 10**6))
+    items = decontam.Items(*decontam.items_of(decontam.item_chunks(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text", 10**6)[0])[1:])
     bad = {i for i, t in zip(stages[2].doc_id, stages[2].text, strict=True) if items.matches(t, decontam.COVERAGE)}
     assert set(stages[2].doc_id) - set(stages[3].doc_id) == bad
 
@@ -79,3 +79,34 @@ def test_packing(spark, stages):
 
 def test_run_is_the_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == len(stages[5])
+
+
+def through(spark, docs):
+    for _, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = stage(spark, docs, SF)
+        yield columns, docs
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(30).unionByName(docs.limit(30)).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.unionByName(docs.limit(5).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(5).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")}))
+    names = ["__text", "__key", "__id", "key", "id", "cell", "uid", "row", "body", "salt", "piece", "length", "a.b", "__spans"]
+    odd = odd.withColumns({n: F.lit(f"own {n}") for n in names})
+    last = None
+    for columns, out in through(spark, odd):
+        if last is not None and "sequence_id" not in out.columns:
+            assert out.columns == columns
+        if "__text" in out.columns:
+            rows = out.collect()
+            assert rows and all(r[n] == f"own {n}" for r in rows for n in names)
+        last = out
+    assert last.count() > 0
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    assert [out.count() for _, out in through(spark, docs)] == [0] * 5
