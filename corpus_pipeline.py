@@ -6,31 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import decontam, neardup, packing, pii, quality
-from loam.llm.common import materialize, table
+from loam.llm.common import materialize, quoted, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the boosted rules keep."""
+    """Documents that the boosted rules keep.  A null or empty text is dropped by the base rule; repeated rows are judged alike."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that of the least id."""
+    """One document of each class of near copies, that of the least id; null ids come last, and of rows that repeat in id and text
+    any one stays.  All null and empty texts are copies of each other."""
     return neardup.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover no benchmark item."""
+    """Documents that cover no benchmark item.  Null and empty texts cover none; repeated rows stay or go together."""
     return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind and n_chars by the new length."""
-    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """All documents, with personal data replaced by its kind and n_chars by the new length (null for a null text); repeated rows
+    stay alike."""
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*quoted(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of 2048 tokens."""
+    """The documents' pieces in sequences of 2048 tokens; a null or empty text is its end token, repeated rows each have theirs."""
     return packing.pack(docs, capacity=2048)
 
 
