@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
-from loam.sources.binary import decode_table, encode_table
+from loam.sources.address import filesystem
+from loam.sources.binary import Table, encode_table
 
 SCHEMA = "key string, value binary"
 
@@ -21,7 +23,8 @@ class _File(InputPartition):
 
 
 class SstReader(DataSourceReader):
-    """A partition a file; bounds on the key are taken over and skip the blocks that cannot match."""
+    """A partition a file, of which the end, the index and the blocks that can match are read; bounds on the key are taken over,
+    and a single key asks the filter first."""
 
     def __init__(self, folder: str):
         self.folder, self.lower, self.upper = folder, None, None
@@ -37,19 +40,20 @@ class SstReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        fs, path = pyarrow.fs.FileSystem.from_uri(self.folder)
-        found = fs.get_file_info(pyarrow.fs.FileSelector(path, recursive=True))
-        return [_File(f.path) for f in found if f.path.endswith(".sst")] or [_File("")]
+        fs, path = filesystem(self.folder)
+        one = fs.get_file_info(path)
+        found = [one] if one.is_file else fs.get_file_info(pyarrow.fs.FileSelector(path, recursive=True))
+        return [_File(f.path) for f in found if f.path.endswith(".sst") or one.is_file] or [_File("")]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        fs, _ = pyarrow.fs.FileSystem.from_uri(self.folder)
+        fs, _ = filesystem(self.folder)
         with fs.open_input_file(partition.path) as f:
-            rows = decode_table(f.read()).scan(self.lower, self.upper)
-        if rows:
-            keys, values = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.binary())], names=["key", "value"])
+            for rows in Table(lambda start, end: f.read_at(end - start, start), f.size()).blocks(self.lower, self.upper):
+                if rows:
+                    keys, values = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.binary())], names=["key", "value"])
 
 
 class SstDataSource(DataSource):
@@ -61,8 +65,7 @@ class SstDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> SstReader:
-        path = self.options["path"]
-        return SstReader(path if "://" in path else f"file://{path}")
+        return SstReader(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:
@@ -72,31 +75,36 @@ def register(spark: SparkSession) -> None:
 
 
 def write(rows: DataFrame, folder: str, block_size: int = 65_536, table_bytes: int = 64 << 20) -> DataFrame:
-    """Writes sorted, distinct (key, value) rows as tables by key ranges; gives (path, records) of each file."""
+    """Writes sorted, distinct (key, value) rows as tables by key ranges; gives (path, records) of each file.
+
+    A table's name is that of this write, of its task and of its place in it, so that a task that runs again writes the same
+    tables; each is moved to its name when it is whole.
+    """
     ordered = rows.select("key", "value").repartitionByRange("key").sortWithinPartitions("key")
+    write = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
+        task = TaskContext.get().partitionId()
         held, size, out = [], 0, []
 
         def close() -> None:
-            name = f"{path}/{uuid.uuid4().hex}"
-            with fs.open_output_stream(f"{name}.tmp") as f:
+            name, part = f"{path}/{write}-{task:06d}-{len(out):06d}.sst", f"{path}/{uuid.uuid4().hex}.tmp"
+            with fs.open_output_stream(part) as f:
                 f.write(encode_table(held, block_size))
-            out.append((f"{name}.sst", len(held)))
+            fs.move(part, name)
+            out.append((name, len(held)))
 
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append((key, value))
-                size += len(key) + len(value)
+                size += 8 + len(key.encode()) + len(value)
                 if size >= table_bytes:
                     close()
                     held, size = [], 0
         if held:
             close()
-        for name, _ in out:  # a task that fails leaves no table
-            fs.move(name[:-4] + ".tmp", name)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["path", "records"])
 
     return ordered.mapInArrow(run, "path string, records long")

@@ -8,6 +8,7 @@ version that they began with.  Files are never changed, and only ``vacuum`` remo
 
 from __future__ import annotations
 
+import bisect
 import threading
 import uuid
 from collections.abc import Callable
@@ -21,12 +22,20 @@ from loam.functions.codec import record_size
 from loam.operators import lookup
 from loam.operators.merge import newest_wins
 from loam.plans.policy import cascade
+from loam.plans.replay import EVENTS, live_tables
+from loam.sources import sst
+from loam.sources.address import filesystem
+from loam.sources.binary import decode_manifest
 from loam.sources.log import CommitLog, Conflict, Files
 
 ROWS = "key string, value binary, batch long, pos long"
 ORDER = ["batch", "pos"]
 #: Versions between two snapshots of the state, which bound what an opening reads.
 SNAPSHOT_EVERY = 64
+#: Seconds for which a run that no version names may still be another writer's, about to be named.
+GRACE = 86_400
+#: Requested keys that are brought to the driver, where they tell which runs can hold any.
+PRUNE_KEYS = 10_000
 
 
 @dataclass(frozen=True)
@@ -125,6 +134,12 @@ class Store:
                 self.log.snapshot(self.state.version, asdict(self.state))
             return True
 
+    def _whole(self, *paths: str) -> None:
+        """Before runs are named by an event: none of them may have been removed meanwhile."""
+        gone = [p for p in paths if not self.files.exists(p)]
+        if gone:
+            raise RuntimeError(f"runs are gone before their event: {gone}; a vacuum's grace was shorter than this write")
+
     # Writing
 
     def put(self, key: str, value: bytes) -> None:
@@ -144,6 +159,7 @@ class Store:
             run = self._write(rows, f"log/{uuid.uuid4().hex}")
             if run is None:
                 return False
+            self._whole(run.path)
             put = self._commit(lambda s: None if again(s) else {"event_type": "put", "run": run.__dict__, "batch_of": batch_of})
             if put and sum(r.bytes for r in self.state.active) >= self.config.max_sstable_size:
                 self.freeze()
@@ -176,6 +192,7 @@ class Store:
             oldest = state.immutable[-1]
             rows = newest_wins(self._rows(list(oldest)), ORDER)
             table = self._write(self._sorted(rows, sum(r.bytes for r in oldest)), f"tables/{uuid.uuid4().hex}")
+            self._whole(table.path)
             done = self._commit(lambda s: {"event_type": "flush", "outputs": [table.__dict__]} if s.immutable and s.immutable[-1] == oldest else None)
         if done:
             self.try_compact()
@@ -195,7 +212,8 @@ class Store:
 
     def compact(self, level: int) -> None:
         """Rewrites a level's tables, newest value of each key, as tables by key range on the next level (the last level
-        stays).  Runs in one pass over its inputs: a shuffle by key with values combined first, then one by range."""
+        stays).  Runs in one pass over its inputs: a shuffle by key with values combined first, then one by range.  What the tables
+        hold is counted from their keys and sizes, which are columns of their own; values are not read again."""
         with self._lock:
             state = self.refresh()
             inputs = state.levels[level]
@@ -203,11 +221,12 @@ class Store:
                 return
             size = sum(r.bytes for r in inputs)
             folder = f"tables/{uuid.uuid4().hex}"
-            rows = self._sorted(newest_wins(self._rows(list(inputs)), ORDER), size).withColumn("part", F.spark_partition_id())
+            rows = self._sorted(newest_wins(self._rows(list(inputs)), ORDER), size).withColumns({"part": F.spark_partition_id(), "size": record_size()})
             _write_rows(rows.sortWithinPartitions("part", "key"), f"{self.files.root}/{folder}", "part")
-            written = self.spark.read.schema(f"{ROWS}, part int").parquet(f"{self.files.root}/{folder}")
-            each = written.groupBy("part").agg(F.count("*").alias("records"), F.sum(record_size()).alias("bytes"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+            written = self.spark.read.schema("key string, size long, part int").parquet(f"{self.files.root}/{folder}")
+            each = written.groupBy("part").agg(F.count("*").alias("records"), F.sum("size").alias("bytes"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
             outputs = [Run(f"{folder}/part={r['part']}", r["first_key"], r["last_key"], r["records"], r["bytes"]).__dict__ for r in each.orderBy("part").collect()]  # a row a table
+            self._whole(*(r["path"] for r in outputs))
             event = {"event_type": "compaction", "level": level, "inputs": [r.path for r in inputs], "outputs": outputs}
             self._commit(lambda s: event if set(inputs) <= set(s.levels[level]) else None)
 
@@ -230,18 +249,60 @@ class Store:
         return bytes(found[0]["value"]) if found else None
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        """(key, value) of each requested key, null where it is missing."""
-        return lookup.multi_get(self.rows(), keys, ORDER).select("key", "value")
+        """(key, value) of each requested key, null where it is missing.
+
+        Reads the runs that can hold a requested key, by the keys themselves if they are few, else by their range; the bounds
+        reach the files' statistics, and the keys, if few, their filters.
+        """
+        wanted = keys.select("key").distinct()
+        few = [r["key"] for r in wanted.filter("key is not null").limit(PRUNE_KEYS + 1).collect()]
+        if len(few) > PRUNE_KEYS:
+            lower, upper = wanted.agg(F.min("key"), F.max("key")).first()
+            rows = self.rows(lower, upper)
+        else:
+            few.sort()
+            at = [(bisect.bisect_left(few, r.first_key), r) for r in self.refresh().runs()]
+            rows = self._rows([r for i, r in at if i < len(few) and few[i] <= r.last_key])
+            rows = rows.filter(F.col("key").isin(few)) if few else rows.limit(0)
+        return lookup.multi_get(rows, keys, ORDER).select("key", "value")
 
     def scan(self, lower: str | None = None, upper: str | None = None) -> DataFrame:
         """(key, value) within the inclusive bounds, in key order; both bounds or none."""
         return lookup.scan(self.rows(lower, upper), lower, upper, ORDER).select("key", "value").orderBy("key")
 
-    def vacuum(self) -> list[str]:
-        """Removes runs that the newest version does not hold; readers of older versions must be done."""
+    def vacuum(self, grace: float = GRACE) -> list[str]:
+        """Removes runs that the newest version does not hold; readers of older versions must be done.
+
+        A run in which anything was written within ``grace`` seconds stays: another writer may be about to name it.
+        """
+        before = self.files.now() - 1000 * grace
         live = {r.path.split("/part=")[0] for r in self.refresh().runs()}
         dead = [f"{d}/{n}" for d in ("log", "tables") for n in self.files.names(d) if f"{d}/{n}" not in live]
-        return [n for n in dead if self.files.remove(n)]
+        return [n for n in dead if (not grace or self.files.touched(n) < before) and self.files.remove(n)]
+
+    # Exchange with files in the byte format
+
+    @classmethod
+    def from_files(cls, spark: SparkSession, root: str, manifest: str, folder: str | None = None) -> Store:
+        """A new store at ``root`` with the configuration and tables that an event log in the byte format names.
+
+        Tables keep their levels, and newer ones stay newer.  ``folder``: where the tables are, if their paths are relative.
+        """
+        files, path = filesystem(manifest)
+        with files.open_input_file(path) as f:
+            config, events = decode_manifest(f.read())
+        rows = [(n, e["event_type"], e["level"], e["inputs"], e["outputs"]) for n, e in enumerate(events)]
+        live = live_tables(spark.createDataFrame(rows, EVENTS)).orderBy("level", F.desc("event_seq"), "position").collect()  # a row a table
+        store = cls.create(spark, root, config)
+        sst.register(spark)
+        for r in reversed(live):  # the oldest first, so that each batch is newer than those before
+            store._commit(lambda s: {"event_type": "reserve"})
+            records = spark.read.format("sst").load(f"{folder.rstrip('/')}/{r['path']}" if folder else r["path"])
+            rows = records.select("key", "value", F.lit(store.state.next_batch - 1).cast("long").alias("batch"), F.lit(0).cast("long").alias("pos"))
+            run = store._write(rows.coalesce(1).sortWithinPartitions("key"), f"tables/{uuid.uuid4().hex}")
+            if run:
+                store._commit(lambda s, run=run, r=r: {"event_type": "import", "level": min(r["level"], config.nb_levels), "outputs": [run.__dict__]})
+        return store
 
 
 def _write_rows(rows: DataFrame, path: str, by: str | None = None) -> None:
@@ -261,10 +322,12 @@ def _fold(state: State, event: dict) -> State:
     if kind == "freeze":
         return replace(state, active=(), immutable=(state.active, *state.immutable))
     levels = [list(level) for level in state.levels]
-    outputs = [Run(**r) for r in event["outputs"]] if kind in ("flush", "compaction") else []
+    outputs = [Run(**r) for r in event["outputs"]] if kind in ("flush", "compaction", "import") else []
     if kind == "flush":
         levels[0] = outputs + levels[0]
         state = replace(state, immutable=state.immutable[:-1])
+    elif kind == "import":
+        levels[event["level"]] = outputs + levels[event["level"]]
     elif kind == "compaction":
         level, taken = event["level"], set(event["inputs"])
         levels[level] = [r for r in levels[level] if r.path not in taken]

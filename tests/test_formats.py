@@ -38,3 +38,44 @@ def test_stream_is_put_once(spark, tmp_path):
     query = view.writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r.key: int(r.value) for r in spark.sql("select * from live").collect()} == want
+
+
+def test_a_task_that_runs_again_writes_the_same_tables(spark, tmp_path):
+    rows = spark.range(300).selectExpr("printf('k%04d', id) key", "cast(cast(id as string) as binary) value")
+    folder = f"file://{tmp_path}/t"
+    written = sst.write(rows, folder, block_size=200, table_bytes=500)
+    first = sorted(r.path for r in written.collect())
+    assert sorted(r.path for r in written.collect()) == first == sorted(str(p) for p in (tmp_path / "t").iterdir())
+    sst.register(spark)
+    assert spark.read.format("sst").load(folder).count() == 300
+
+
+def test_only_asked_ranges_are_read():
+    records = [(f"k{i:04d}", b"v" * 50) for i in range(1000)]
+    data, seen = binary.encode_table(records, 1000), []
+
+    def read(start, end):
+        seen.append(end - start)
+        return data[start:end]
+
+    table = binary.Table(read, len(data))
+    assert table.get("k0500") == b"v" * 50 and sum(seen) < len(data) // 5
+    seen.clear()
+    assert table.get("k0500x") is None and table.get("zzz") is None and [r[0] for r in table.scan("k0100", "k0102")] == ["k0100", "k0101", "k0102"]
+    assert sum(seen) < 5000 and table.scan() == records
+
+
+def test_addresses(tmp_path):
+    from loam.sources.address import filesystem
+
+    for form in (f"{tmp_path}", f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert filesystem(form)[1] == str(tmp_path)
+
+
+def test_filters_of_the_store_let_few_strangers_through():
+    from loam.functions import bloom
+
+    keys = [f"user{i:08d}" for i in range(2000)]
+    data = bloom.build(keys, *bloom.parameters(len(keys)))
+    assert bloom.may_contain_all(data, keys).all()
+    assert bloom.may_contain_all(data, [f"other{i}" for i in range(20_000)]).mean() < 0.003

@@ -40,7 +40,7 @@ def test_puts_overwrite_and_buffers_freeze(spark, root):
 def test_reads_do_not_depend_on_layout(spark, root):
     rng = random.Random(7)
     store, model = Store.create(spark, root, SMALL), {}
-    steps = [store.freeze, store.flush_next, lambda: store.compact(0), lambda: store.compact(1), lambda: store.compact(3), store.vacuum]
+    steps = [store.freeze, store.flush_next, lambda: store.compact(0), lambda: store.compact(1), lambda: store.compact(3), lambda: store.vacuum(0)]
     for step in range(8):
         rows = [(f"k{rng.randrange(12):02d}", f"v{step}-{i}") for i in range(rng.randrange(1, 6))]
         store.put_all(batch(spark, rows), order="at")
@@ -48,7 +48,7 @@ def test_reads_do_not_depend_on_layout(spark, root):
         rng.choice(steps)()
         if step % 3 == 2:
             store = Store.open(spark, root)
-            steps[:] = [store.freeze, store.flush_next, lambda s=store: s.compact(0), lambda s=store: s.compact(1), lambda s=store: s.compact(3), store.vacuum]
+            steps[:] = [store.freeze, store.flush_next, lambda s=store: s.compact(0), lambda s=store: s.compact(1), lambda s=store: s.compact(3), lambda s=store: s.vacuum(0)]
         assert read(store) == sorted(model.items())
     low, high = "k03", "k08"
     assert read(store, low, high) == sorted((k, v) for k, v in model.items() if low <= k <= high)
@@ -57,7 +57,7 @@ def test_reads_do_not_depend_on_layout(spark, root):
     store.close()
     assert not store.state.active and not store.state.immutable and read(store) == sorted(model.items())
     live = read(Store.open(spark, root))
-    store.vacuum()
+    store.vacuum(0)
     assert read(Store.open(spark, root)) == live
 
 
@@ -129,3 +129,40 @@ def test_snapshots_bound_an_opening(spark, root, monkeypatch):
     again = Store.open(spark, root)
     assert again.state == store.state and again.log.last_snapshot()[0] > 0 and again.state.streams == {"s": 3}
     assert read(again) == [("a", "3"), ("k0", "0"), ("k1", "1"), ("k2", "2"), ("k3", "3")]
+
+
+def test_vacuum_spares_what_another_writer_has_not_named_yet(spark, root, monkeypatch):
+    one = Store.create(spark, root)
+    one.put("a", b"1")
+    two = Store.open(spark, root)
+    plain = Store._write
+    removed = []
+
+    def write(self, rows, name):
+        run = plain(self, rows, name)
+        removed.append(one.vacuum())  # between the writing of a run and the event that names it
+        return run
+
+    monkeypatch.setattr(Store, "_write", write)
+    two.put("b", b"2")
+    assert removed == [[]] and read(Store.open(spark, root)) == [("a", "1"), ("b", "2")]
+    monkeypatch.setattr(Store, "_write", lambda self, rows, name: (plain(self, rows, name), one.vacuum(0))[0])
+    with pytest.raises(RuntimeError):  # without a grace the run is gone, and no event names it
+        two.put("c", b"3")
+    assert read(Store.open(spark, root)) == [("a", "1"), ("b", "2")] and Store.open(spark, root).get("c") is None
+    assert one.vacuum() == [] and one.vacuum(0) == []
+
+
+def test_lookups_of_many_keys_read_runs_by_range(spark, root, monkeypatch):
+    store = Store.create(spark, root, Configuration(max_l0_sstables=50))
+    for n in range(3):
+        store.put_all(batch(spark, [(f"{'abc'[n]}{i}", f"{n}{i}") for i in range(20)]), order="at")
+    seen = []
+    plain = Store._rows
+    monkeypatch.setattr(Store, "_rows", lambda self, runs: seen.append(len(runs)) or plain(self, runs))
+    keys = spark.createDataFrame([("a3",), ("a99",), ("c1",), (None,)], "key string")
+    want = {"a3": b"03", "a99": None, "c1": b"21", None: None}
+    assert {r.key: r.value and bytes(r.value) for r in store.multi_get(keys).collect()} == want and seen == [2]
+    monkeypatch.setattr("loam.store.PRUNE_KEYS", 2)
+    assert {r.key: r.value and bytes(r.value) for r in store.multi_get(keys).collect()} == want and seen == [2, 3]
+    assert store.multi_get(keys.limit(0)).count() == 0
