@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.operators.merge import newest_wins
+from loam.operators.stage import written
 
 #: Rows of a lookup's smaller side up to which it is sent to every task; beyond it both sides are dealt by key.
 SEND_ROWS = 200_000
+#: Cells of the key space by which many ranges meet their probes.
+RANGE_CELLS = 256
 
 
 def check_bounds(lower: str | None, upper: str | None) -> None:
@@ -56,8 +59,8 @@ def lower_bounds(df: DataFrame, probes: DataFrame) -> DataFrame:
     both = df.select("key").distinct().select(F.col("key").alias("at"), F.lit(1).alias("kind"), "key").unionByName(
         probes.select(F.col("probe").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("key"))
     )
-    # Kept, so that both uses below see the same ranges.
-    ranged = both.repartitionByRange(F.col("at")).withColumn("part", F.spark_partition_id()).persist()
+    # Written, so that both uses below see the same ranges.
+    ranged = written(both.repartitionByRange(F.col("at")).withColumn("part", F.spark_partition_id()))
     later = Window.partitionBy("part").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     found = ranged.withColumn("next", F.first("key", ignorenulls=True).over(later))
     first = ranged.groupBy("part").agg(F.min("key").alias("first"))
@@ -66,16 +69,37 @@ def lower_bounds(df: DataFrame, probes: DataFrame) -> DataFrame:
     return found.filter("kind = 0").join(F.broadcast(carried), "part").select(F.col("at").alias("probe"), F.coalesce("next", "after").alias("key"))
 
 
-def find_blocks(metas: DataFrame, probes: DataFrame) -> DataFrame:
-    """(probe, block): the first block whose key range holds the probe, null if none.  Index entries are a few a table."""
+def _cuts(ranges: DataFrame, count: int) -> list[str]:
+    """About ``RANGE_CELLS`` first keys, chosen by digest: bounds of cells of the key space."""
+    share = max(1, count // RANGE_CELLS)
+    chosen = ranges.filter(F.pmod(F.xxhash64("first_key"), F.lit(share)) == 0).select("first_key").distinct()
+    return sorted(r[0] for r in chosen.limit(4 * RANGE_CELLS).collect())
+
+
+def range_join(probes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each row of ``probes`` (probe, ..) with the rows of ``ranges`` (first_key, last_key, ..) that hold it.
+
+    Few ranges go to where the probes are.  Beyond ``SEND_ROWS`` both meet by cells of the key space: a probe lies in one, a range in
+    those that it reaches over, and only rows of a cell are compared.
+    """
     hit = (F.col("probe") >= F.col("first_key")) & (F.col("probe") <= F.col("last_key"))
-    return probes.join(sent_if_small(metas), hit, "left").groupBy("probe").agg(F.min("block").alias("block"))
+    count = ranges.count()
+    if count <= SEND_ROWS:
+        return probes.join(F.broadcast(ranges), hit)
+    cuts = F.array(*map(F.lit, _cuts(ranges, count))).cast("array<string>")
+    cell = lambda c: F.size(F.filter(cuts, lambda x: x <= F.col(c)))
+    placed = ranges.withColumn("__cell", F.explode(F.sequence(cell("first_key"), cell("last_key"))))
+    return probes.withColumn("__cell", cell("probe")).join(placed, "__cell").filter(hit).drop("__cell")
+
+
+def find_blocks(metas: DataFrame, probes: DataFrame) -> DataFrame:
+    """(table, probe, block): for each table that has one the first block whose key range holds the probe."""
+    return range_join(probes.select("probe"), metas).groupBy("table", "probe").agg(F.min("block").alias("block"))
 
 
 def tables_holding(tables: DataFrame, probes: DataFrame) -> DataFrame:
     """(probe, table) for the tables whose key range holds the probe."""
-    hit = (F.col("probe") >= F.col("first_key")) & (F.col("probe") <= F.col("last_key"))
-    return probes.join(sent_if_small(tables), hit).select("probe", "table")
+    return range_join(probes, tables).select("probe", "table")
 
 
 def serving_tiers(df: DataFrame, tier: str = "tier") -> DataFrame:

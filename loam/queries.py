@@ -5,12 +5,8 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +15,10 @@ from loam.functions import bloom, codec
 from loam.operators import folds, layout, lookup
 from loam.operators.merge import concat_runs as concat
 from loam.operators.merge import merge_runs, newest_wins, numbered
-from loam.plans.policy import cascade
+from loam.operators.stage import scratch
 from loam.plans.replay import EVENTS, live_tables
-from loam.sources import sst
+from loam.sources import binary, sst
+from loam.sources.address import filesystem
 from loam.sources.log import Files
 from loam.store import Store
 from loam.streaming.ingest import into_store
@@ -54,17 +51,6 @@ def _probes(spark: SparkSession, form: str, step: int, count: int = 60, tail: st
     return spark.range(count).select(F.concat(F.format_string(form, F.col("id") * step), F.lit(tail)).alias("probe"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; removed with the session's driver."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{(base or 'file://' + os.path.join(tempfile.gettempdir(), 'loam-shared')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.split(":", 1)[1].replace("//", "/", 1), ignore_errors=True)
-    return path
-
-
 # Codec
 
 
@@ -177,8 +163,8 @@ def meta_blocks(spark, sf_dir):
 
 
 def find_block(spark, sf_dir):
-    metas = layout.meta_blocks(_placed(spark, sf_dir).filter("table = 0"))
-    return lookup.find_blocks(metas, _probes(spark, "user%08d", 2, 80)).withColumn("block", F.coalesce("block", F.lit(-1)))
+    """For each probe the block that may hold it, in every table that has one."""
+    return lookup.find_blocks(layout.meta_blocks(_placed(spark, sf_dir)), _probes(spark, "user%08d", 2, 80))
 
 
 def _summaries(spark, sf_dir):
@@ -199,14 +185,14 @@ def bloom_parameters(spark, sf_dir):
 
 
 def bloom_membership(spark, sf_dir):
-    """For each table: keys of the store in its range, how many its filter lets through, and how many it holds."""
+    """For each table: keys of the store in its range, how many it holds, and how many of those its filter does not let through."""
     rows = _snapshot(spark, sf_dir).select(F.col("batch").alias("table"), "key")
     probes = rows.select(F.col("key").alias("probe")).distinct()
     held = rows.select("table", F.col("key").alias("probe"), F.lit(True).alias("held"))
     asked = lookup.tables_holding(_summaries(spark, sf_dir), probes).join(bloom.filters(rows, "table"), "table")
     asked = asked.withColumn("maybe", bloom.might_contain("bloom", "probe")).join(held, ["table", "probe"], "left")
     return asked.groupBy("table").agg(
-        F.count("*").alias("asked"), F.count_if("maybe").alias("maybe"), F.count("held").alias("held"), F.count_if(F.col("held") & ~F.col("maybe")).alias("missed")
+        F.count("*").alias("asked"), F.count("held").alias("held"), F.count_if(F.col("held") & ~F.col("maybe")).alias("missed")
     )
 
 
@@ -224,24 +210,20 @@ def compact_l0(spark, sf_dir):
     return folds.tables(merged, BLOCK_BYTES, TABLE_BYTES).select("key", "table")
 
 
-#: Tables by level before a pass: level 0 first.
-SHAPES = [(10, 0, 0, 0), (3, 2, 20, 0), (12, 1, 5, 40), (0, 0, 0, 7), (9, 1, 11, 3)]
+#: Flushes of the store whose levels are counted, and its tuning: compactions from level 0 and, in turn, from those below.
+FLUSHES, LEVELS, RATIO, MOST_L0 = 7, 3, 1.0, 2
 
 
 def compact_levels(spark, sf_dir):
-    """Tables by level after one pass of the policy, when a compaction leaves as many tables as it takes."""
-    config = Configuration(nb_levels=3)
-    out = []
-    for shape, before in enumerate(SHAPES):
-        counts = list(before)
-
-        def compact(level: int, counts: list[int] = counts) -> None:
-            moved, counts[level] = counts[level], 0
-            counts[level + 1] += moved
-
-        cascade(lambda counts=counts: counts, config, compact)
-        out += [(shape, level, n) for level, n in enumerate(counts)]
-    return spark.createDataFrame(out, "shape long, level long, tables long")
+    """Tables by level of a store after each of its flushes, as the policy compacts them."""
+    store = Store.create(spark, scratch(spark, "store"), Configuration(nb_levels=LEVELS, levels_ratio=RATIO, max_l0_sstables=MOST_L0))
+    rows, out = kv_events(spark, sf_dir), []
+    for step in range(FLUSHES):
+        store.put_all(rows.filter(F.col("seq") % FLUSHES == step), order="seq")
+        store.freeze()
+        store.flush_next()
+        out += [(step, level, n) for level, n in enumerate(store.counts())]
+    return spark.createDataFrame(out, "step long, level long, tables long")
 
 
 LOG = [(1, "flush", None, [], ["s1"]), (2, "flush", None, [], ["s2"]), (3, "compaction", 0, ["s1", "s2"], ["s3", "s5"]), (4, "flush", None, [], ["s4"]), (5, "compaction", 1, ["s3"], ["s6"])]
@@ -252,6 +234,24 @@ def manifest_replay(spark, sf_dir):
     return live.select(F.col("level").cast("long"), "path", F.row_number().over(_by_level()).cast("long").alias("place"))
 
 
+def event_log_roundtrip(spark, sf_dir):
+    """A log of events in the byte format, one event for each order, written by one task and read back."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("n")).repartition(1).sortWithinPartitions("n")
+
+    def event(n: int) -> dict:
+        if n % 3:
+            return {"event_type": "flush", "level": None, "inputs": [], "outputs": [f"t{n}"]}
+        return {"event_type": "compaction", "level": n % 5, "inputs": [f"t{n - 1}", f"t{n - 2}"], "outputs": [f"c{n}"] if n % 2 else []}
+
+    def run(batches):
+        for pdf in batches:
+            log = binary.encode_header(Configuration()) + b"".join(binary.encode_event(event(n)) for n in pdf["n"].tolist())
+            _, events = binary.decode_manifest(log)
+            yield pd.DataFrame({"event": pdf["n"], "kind": [e["event_type"] for e in events], "level": pd.array([e["level"] for e in events], "Int64"), "inputs": [",".join(e["inputs"]) for e in events], "outputs": [",".join(e["outputs"]) for e in events]})
+
+    return orders.mapInPandas(run, "event long, kind string, level long, inputs string, outputs string")
+
+
 def _by_level():
     from pyspark.sql import Window
 
@@ -260,7 +260,7 @@ def _by_level():
 
 def wal_replay(spark, sf_dir):
     """The log of unflushed puts, read back in order; later ones overwrite."""
-    path = _scratch(spark, "wal")
+    path = scratch(spark, "wal")
     kv_events(spark, sf_dir).write.parquet(path)
     log = spark.read.parquet(path)
     return _hexed(newest_wins(log, ["seq"], keep=["value"])).select("key", "value")
@@ -268,7 +268,7 @@ def wal_replay(spark, sf_dir):
 
 def _filled(spark, sf_dir, config=None) -> Store:
     """A store that has been put to in three batches, flushed and compacted."""
-    store = Store.create(spark, _scratch(spark, "store"), config or Configuration(nb_levels=3, max_l0_sstables=2, max_sstable_size=100_000))
+    store = Store.create(spark, scratch(spark, "store"), config or Configuration(nb_levels=3, max_l0_sstables=2, max_sstable_size=100_000))
     rows = kv_events(spark, sf_dir)
     for part in range(3):
         store.put_all(rows.filter(F.col("seq") % 3 == part) if part else rows.filter("seq % 3 = 0"), order="seq")
@@ -296,20 +296,71 @@ def store_multi_get(spark, sf_dir):
 
 def sst_roundtrip(spark, sf_dir):
     """Unique records written as byte-format tables and read back through the data source."""
+    folder = _files(spark, kv_orders(spark, sf_dir))
+    return _hexed(spark.read.format("sst").load(folder).filter(F.col("key") >= "000000000100"))
+
+
+def _files(spark, rows: DataFrame) -> str:
+    """A folder of byte-format tables of the rows."""
     sst.register(spark)
-    folder = _scratch(spark, "sst")
+    folder = scratch(spark, "sst")
     Files(spark, folder).make()
-    sst.write(kv_orders(spark, sf_dir), folder, BLOCK_BYTES).count()
-    return _hexed(spark.read.format("sst").load(folder).filter(F.col("key") >= "000000000100"))
+    sst.write(rows, folder, BLOCK_BYTES).count()
+    return folder
+
+
+def sst_get(spark, sf_dir):
+    """Single keys of byte-format tables, by filter, index and one block each: every tenth that is there and some that are not."""
+    folder = _files(spark, kv_orders(spark, sf_dir))
+    fs, path = filesystem(folder)
+    names = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".sst")]
+    probes = _probes(spark, "%012d", 10, 2000)
+
+    def run(batches):
+        fs, _ = filesystem(folder)
+        files = [fs.open_input_file(n) for n in names]
+        tables = [binary.Table(lambda start, end, f=f: f.read_at(end - start, start), f.size()) for f in files]
+        for pdf in batches:
+            found = [next((v for v in (t.get(k) for t in tables) if v is not None), None) for k in pdf["probe"]]
+            yield pd.DataFrame({"key": pdf["probe"], "value": found})
+
+    return _hexed(probes.mapInPandas(run, "key string, value binary"))
+
+
+def store_close(spark, sf_dir):
+    """What the tables of a closed store hold: nothing is left in its log."""
+    store = _filled(spark, sf_dir)
+    store.put_all(kv_events(spark, sf_dir).filter("seq % 50 = 0").withColumn("value", F.col("key").cast("binary")), order="seq")
+    store.close()
+    runs = [r for level in Store.open(spark, store.files.root).state.levels for r in level]
+    return _hexed(lookup.scan(store._rows(runs), None, None, ["batch", "pos"])).select("key", "value")
+
+
+def store_from_files(spark, sf_dir):
+    """A store made from byte-format tables and the event log that names them: the runs of merge_newest_wins, the last flushed the newest."""
+    folder, events = "", []
+    parts = []
+    for part in range(3):
+        rows = newest_wins(kv_events(spark, sf_dir).filter(F.col("seq") % 3 == part), ["seq"], keep=["value"])
+        parts.append([r["path"] for r in sst.write(rows.coalesce(1), folder := folder or _files(spark, rows.limit(0)), BLOCK_BYTES, 1 << 40).collect()])
+        events += [{"event_type": "flush", "outputs": [p]} for p in parts[-1]]
+        if part == 1:  # both earlier flushes go down a level as they are
+            inputs = [p for own in parts for p in own]
+            events.append({"event_type": "compaction", "level": 0, "inputs": inputs, "outputs": [p for own in reversed(parts) for p in own]})
+    log = binary.encode_header(Configuration(nb_levels=3)) + b"".join(binary.encode_event(e) for e in events)
+    fs, path = filesystem(f"{folder}/manifest")
+    with fs.open_output_stream(path) as f:
+        f.write(log)
+    return _hexed(Store.from_files(spark, scratch(spark, "store"), f"{folder}/manifest").scan())
 
 
 def streaming_upsert(spark, sf_dir):
     """The changelog as a stream, put into a store batch by batch and read."""
-    source = _scratch(spark, "stream")
+    source = scratch(spark, "stream")
     kv_events(spark, sf_dir).repartition(1).write.parquet(source)
-    store = Store.create(spark, _scratch(spark, "store"))
+    store = Store.create(spark, scratch(spark, "store"))
     stream = spark.readStream.schema("key string, value binary, seq long").parquet(source)
-    query = into_store(stream, store, _scratch(spark, "offsets"), "events", order="seq")
+    query = into_store(stream, store, scratch(spark, "offsets"), "events", order="seq")
     query.awaitTermination()
     return _hexed(store.scan())
 
@@ -358,12 +409,15 @@ ORACLES = {
     "block_pack": f'WITH RECURSIVE {_BLOCKS} SELECT batch AS "table", key, block FROM packed',
     "meta_blocks": f"""WITH RECURSIVE {_BLOCKS} SELECT "table", block, first_key, last_key, records,
       coalesce(sum(bytes) OVER (PARTITION BY "table" ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM metas""",
-    "find_block": f"""WITH RECURSIVE {_BLOCKS}, {_numbers('user%08d', 2, 80)} SELECT probe, coalesce(min(block), -1) AS block
-      FROM probes LEFT JOIN (SELECT * FROM metas WHERE "table" = 0) ON probe BETWEEN first_key AND last_key GROUP BY probe""",
+    "find_block": f"""WITH RECURSIVE {_BLOCKS}, {_numbers('user%08d', 2, 80)} SELECT "table", probe, min(block) AS block
+      FROM probes JOIN metas ON probe BETWEEN first_key AND last_key GROUP BY "table", probe""",
     "sstable_summary": f"WITH RECURSIVE {_SUMMARY} SELECT * FROM summary",
     "table_range_prune": f'WITH RECURSIVE {_SUMMARY}, {_numbers("user%08d", 9, 18)} SELECT probe, "table" FROM probes JOIN summary ON probe BETWEEN first_key AND last_key',
     "bloom_parameters": f"""WITH RECURSIVE {_SUMMARY}, bits AS (SELECT "table", records, -records * ln({bloom.RATE}) / (ln(2.0) * ln(2.0)) AS m FROM summary)
       SELECT "table", records, ceil(m / 8)::BIGINT AS nb_bytes, round_even(m / records * ln(2.0), 0)::BIGINT AS nb_hashes FROM bits""",
+    "bloom_membership": f"""WITH RECURSIVE {_SUMMARY}, probes AS (SELECT DISTINCT key AS probe FROM snapshot)
+      SELECT "table", count(*) AS asked, count(h.key) AS held, 0::BIGINT AS missed FROM summary JOIN probes ON probe BETWEEN first_key AND last_key
+      LEFT JOIN snapshot h ON h.batch = "table" AND h.key = probe GROUP BY "table"""",
     "get_serving_tier": f"WITH {_RUNS} SELECT key, min(precedence) AS tier FROM runs GROUP BY key",
     "compact_l0": f"""WITH RECURSIVE {_FOLD},
       merged AS (SELECT key, arg_max(size, batch) AS size, row_number() OVER (ORDER BY key) AS k FROM snapshot GROUP BY key),
@@ -374,8 +428,22 @@ ORACLES = {
           CASE WHEN c.done >= {TABLE_BYTES} THEN 0 WHEN c.filled + m.size > {BLOCK_BYTES} THEN c.done + c.filled + 2 * c.n + 2 ELSE c.done END
         FROM cut c JOIN merged m ON m.k = c.k + 1)
       SELECT key, "table" FROM cut""",
-    "compact_levels": """SELECT * FROM (VALUES (0,0,0),(0,1,0),(0,2,0),(0,3,10),(1,0,3),(1,1,0),(1,2,0),(1,3,22),(2,0,0),(2,1,0),(2,2,0),(2,3,58),
-      (3,0,0),(3,1,0),(3,2,0),(3,3,7),(4,0,9),(4,1,1),(4,2,0),(4,3,14)) t(shape, level, tables)""",
+    # A flush adds a table to level 0; a compaction leaves one (all tables are small), on top of those of the next level.
+    "compact_levels": f"""WITH RECURSIVE pass AS (
+        SELECT -1::BIGINT AS step, 0::BIGINT AS l0, 0::BIGINT AS l1, 0::BIGINT AS l2, 0::BIGINT AS l3
+        UNION ALL
+        SELECT step, l0, l1, CASE WHEN m2 THEN 0 ELSE l2 END, CASE WHEN m2 THEN l3 + 1 ELSE l3 END FROM (
+          SELECT *, l2 > 0 AND l2 >= {RATIO} * l3 AS m2 FROM (
+            SELECT step, l0, CASE WHEN m1 THEN 0 ELSE l1 END AS l1, CASE WHEN m1 THEN l2 + 1 ELSE l2 END AS l2, l3 FROM (
+              SELECT *, l1 > 0 AND l1 >= {RATIO} * l2 AS m1 FROM (
+                SELECT step + 1 AS step, CASE WHEN l0 + 1 >= {MOST_L0} THEN 0 ELSE l0 + 1 END AS l0,
+                  CASE WHEN l0 + 1 >= {MOST_L0} THEN l1 + 1 ELSE l1 END AS l1, l2, l3 FROM pass WHERE step + 1 < {FLUSHES}))))
+        )
+      SELECT step, unnest([0, 1, 2, 3])::BIGINT AS level, unnest([l0, l1, l2, l3])::BIGINT AS tables FROM pass WHERE step >= 0""",
+    "event_log_roundtrip": """SELECT o_orderkey AS event, CASE WHEN o_orderkey % 3 <> 0 THEN 'flush' ELSE 'compaction' END AS kind,
+      CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 END AS level,
+      CASE WHEN o_orderkey % 3 = 0 THEN 't' || (o_orderkey - 1) || ',t' || (o_orderkey - 2) ELSE '' END AS inputs,
+      CASE WHEN o_orderkey % 3 <> 0 THEN 't' || o_orderkey WHEN o_orderkey % 2 <> 0 THEN 'c' || o_orderkey ELSE '' END AS outputs FROM orders""",
     "manifest_replay": """WITH events AS (SELECT * FROM (VALUES (1,'flush',0,[]::VARCHAR[],['s1']),(2,'flush',0,[],['s2']),(3,'compaction',0,['s1','s2'],['s3','s5']),
         (4,'flush',0,[],['s4']),(5,'compaction',1,['s3'],['s6'])) t(seq, kind, level, inputs, outputs)),
       made AS (SELECT seq, CASE kind WHEN 'flush' THEN 0 ELSE level + 1 END AS level, unnest(outputs) AS path, unnest(range(len(outputs))) AS position FROM events),
@@ -388,6 +456,10 @@ ORACLES = {
         UNION ALL SELECT key, encode(key), 9000000000000 + seq FROM ({KV_EVENTS}) WHERE seq % 50 = 0) {_NEWEST}""",
     "store_multi_get": f"""WITH kv AS (SELECT key, value, (seq % 3) * 1000000000000 + seq AS seq FROM ({KV_EVENTS})), {_numbers('user%08d', 3)}, newest AS ({_NEWEST})
       SELECT probe AS key, value FROM probes LEFT JOIN newest ON key = probe""",
+    "sst_get": f"""WITH kv AS ({KV_ORDERS}), {_numbers('%012d', 10, 2000)} SELECT probe AS key, hex(value) AS value FROM probes LEFT JOIN kv ON key = probe""",
+    "store_close": f"""WITH kv AS (SELECT key, value, (seq % 3) * 1000000000000 + seq AS seq FROM ({KV_EVENTS})
+        UNION ALL SELECT key, encode(key), 9000000000000 + seq FROM ({KV_EVENTS}) WHERE seq % 50 = 0) {_NEWEST}""",
+    "store_from_files": f"WITH kv AS (SELECT key, value, (seq % 3) * 1000000000000 + seq AS seq FROM ({KV_EVENTS})) {_NEWEST}",
     "sst_roundtrip": f"WITH kv AS ({KV_ORDERS}) SELECT key, hex(value) AS value FROM kv WHERE key >= '000000000100'",
     "streaming_upsert": f"WITH kv AS ({KV_EVENTS}) {_NEWEST}",
 }
@@ -396,7 +468,7 @@ _QUERIES = [
     record_size, record_encode, record_roundtrip, record_list_decode, point_get, multi_get, range_scan, full_scan, lower_bound, merge_newest_wins,
     merge_with_duplicates, concat_runs, memtable_freeze, memtable_snapshot, approximate_vs_exact_size, block_pack, meta_blocks, find_block, sstable_summary,
     table_range_prune, bloom_parameters, bloom_membership, get_serving_tier, compact_l0, compact_levels, manifest_replay, wal_replay, scan_after_compaction,
-    store_reopen, store_multi_get, sst_roundtrip, streaming_upsert,
+    store_reopen, store_multi_get, sst_roundtrip, streaming_upsert, sst_get, event_log_roundtrip, store_close, store_from_files,
 ]
 
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -112,7 +114,7 @@ def test_meta_blocks(spark):
     got = layout.meta_blocks(placed).orderBy("block").collect()
     assert [(r.first_key, r.last_key, r.records, r.offset) for r in got] == [("a", "b", 2, 0), ("c", "d", 2, 74)]
     found = lookup.find_blocks(layout.meta_blocks(placed), spark.createDataFrame([("b",), ("bb",), ("d",)], "probe string"))
-    assert {r.probe: r.block for r in found.collect()} == {"b": 0, "bb": None, "d": 1}
+    assert {r.probe: r.block for r in found.collect()} == {"b": 0, "d": 1}
 
 
 def test_policy_cascades_in_one_pass():
@@ -134,3 +136,45 @@ def test_replay(spark):
     events = [(1, "flush", None, [], ["s1"]), (2, "flush", None, [], ["s2"]), (3, "compaction", 0, ["s1", "s2"], ["s3"]), (4, "flush", None, [], ["s4"])]
     got = live_tables(spark.createDataFrame(events, EVENTS)).collect()
     assert sorted((r.level, r.path) for r in got) == [(0, "s4"), (1, "s3")]
+
+
+def test_first_cuts_and_their_outcomes():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        sizes, limit = rng.integers(1, 30, rng.integers(1, 60)), int(rng.integers(1, 90))
+        upto, cuts, left = folds.outcomes(sizes, limit)
+        for carried in range(limit):
+            group, open_ = folds.after_full(sizes, limit, carried)
+            k = int(np.searchsorted(upto, limit - carried, "left"))
+            want = (int(cuts[k]), int(left[k])) if k < len(upto) else (0, carried + int(sizes.sum()))
+            assert want == (int(group[-1]) + (open_ == 0), open_)
+
+
+def test_freeze_by_ranges(spark, monkeypatch):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, rng.randrange(1, 60)) for i in range(500)], "seq long, size long").repartition(5)
+    want = sorted(map(tuple, folds.freeze(df, 200).collect()))
+    monkeypatch.setattr(folds, "RANGE_ROWS", 70)
+    assert sorted(map(tuple, folds.freeze(df, 200).collect())) == want
+    assert sorted(map(tuple, folds.freeze(df, 10_000_000).collect())) == [(i, 0) for i in range(500)]
+
+
+def test_table_cuts_by_parts():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        sizes, block, table = rng.integers(1, 50, rng.integers(1, 80)), int(rng.integers(1, 70)), int(rng.integers(1, 300))
+        cuts = folds.TableCuts(block, table)
+        parts = np.split(sizes, np.sort(rng.integers(0, len(sizes) + 1, 3)))
+        assert (np.concatenate([cuts.add(p) for p in parts]) == folds.table_cuts(sizes, block, table)).all()
+
+
+def test_ranges_meet_probes_by_cells(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))
+    ranges = [(i, *sorted([word(), word()])) for i in range(300)]
+    probes = [word() for _ in range(100)] + ["", "zz"]
+    a, b = spark.createDataFrame(ranges, "table long, first_key string, last_key string"), spark.createDataFrame([(p,) for p in probes], "probe string")
+    want = sorted((p, i) for p in probes for i, x, y in ranges if x <= p <= y)
+    for send in (lookup.SEND_ROWS, 10):
+        monkeypatch.setattr(lookup, "SEND_ROWS", send)
+        assert sorted(map(tuple, lookup.tables_holding(a, b).collect())) == want
