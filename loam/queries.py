@@ -417,7 +417,7 @@ ORACLES = {
       SELECT "table", records, ceil(m / 8)::BIGINT AS nb_bytes, round_even(m / records * ln(2.0), 0)::BIGINT AS nb_hashes FROM bits""",
     "bloom_membership": f"""WITH RECURSIVE {_SUMMARY}, probes AS (SELECT DISTINCT key AS probe FROM snapshot)
       SELECT "table", count(*) AS asked, count(h.key) AS held, 0::BIGINT AS missed FROM summary JOIN probes ON probe BETWEEN first_key AND last_key
-      LEFT JOIN snapshot h ON h.batch = "table" AND h.key = probe GROUP BY "table"""",
+      LEFT JOIN snapshot h ON h.batch = "table" AND h.key = probe GROUP BY "table" """,
     "get_serving_tier": f"WITH {_RUNS} SELECT key, min(precedence) AS tier FROM runs GROUP BY key",
     "compact_l0": f"""WITH RECURSIVE {_FOLD},
       merged AS (SELECT key, arg_max(size, batch) AS size, row_number() OVER (ORDER BY key) AS k FROM snapshot GROUP BY key),
