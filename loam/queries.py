@@ -338,15 +338,14 @@ def store_close(spark, sf_dir):
 
 def store_from_files(spark, sf_dir):
     """A store made from byte-format tables and the event log that names them: the runs of merge_newest_wins, the last flushed the newest."""
-    folder, events = "", []
-    parts = []
+    kv = kv_events(spark, sf_dir)
+    folder, parts, events = _files(spark, kv.limit(0)), [], []
     for part in range(3):
-        rows = newest_wins(kv_events(spark, sf_dir).filter(F.col("seq") % 3 == part), ["seq"], keep=["value"])
-        parts.append([r["path"] for r in sst.write(rows.coalesce(1), folder := folder or _files(spark, rows.limit(0)), BLOCK_BYTES, 1 << 40).collect()])
+        rows = newest_wins(kv.filter(F.col("seq") % 3 == part), ["seq"], keep=["value"])
+        parts.append([r["path"] for r in sst.write(rows, folder, BLOCK_BYTES).collect()])
+        if part == 2:  # both earlier flushes have gone down a level as they are
+            events.append({"event_type": "compaction", "level": 0, "inputs": [*parts[0], *parts[1]], "outputs": [*parts[1], *parts[0]]})
         events += [{"event_type": "flush", "outputs": [p]} for p in parts[-1]]
-        if part == 1:  # both earlier flushes go down a level as they are
-            inputs = [p for own in parts for p in own]
-            events.append({"event_type": "compaction", "level": 0, "inputs": inputs, "outputs": [p for own in reversed(parts) for p in own]})
     log = binary.encode_header(Configuration(nb_levels=3)) + b"".join(binary.encode_event(e) for e in events)
     fs, path = filesystem(f"{folder}/manifest")
     with fs.open_output_stream(path) as f:
