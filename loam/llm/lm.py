@@ -8,7 +8,7 @@ The model reads words, with a softmax factored into classes of words of like fre
 ones of rare words (equal sums of the frequencies' roots), and is trained in numpy by truncated backpropagation.  The driver
 starts it on a bounded sample (``TRAIN_ROWS`` documents, ``TRAIN_TOKENS`` tokens); each task then goes on from there over
 all its training documents, and the tasks' changes are averaged, those of a word or class by how often each task met it.  The vocabulary is the commonest words and the end:
-``VOCABULARY`` words, or twice the root of the training tokens if that is more, as far as ``HOT`` goes.  Any other word
+``VOCABULARY`` words, or the root of the training tokens if that is more, as far as ``HOT`` goes.  Any other word
 is the unknown token times the word's smoothed share of the training tokens beyond the vocabulary.  A text is read
 whole: windows bound the memory, and the state is carried from each to the next.
 """
@@ -66,22 +66,39 @@ def _by_class(group: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray
         yield c, order[bounds[c] : bounds[c + 1]]
 
 
-def _softmax_loss(z: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradients of the rows' cross-entropies, and their sum."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+def _ones(h: np.ndarray) -> np.ndarray:
+    """States with a last column of ones, which the biases go with."""
+    out = np.ones((len(h), h.shape[1] + 1), np.float32)
+    out[:, :-1] = h
+    return out
+
+
+def _exp(z: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Exponentials of rows up to a factor for each row.  States are between -1 and 1, so that the weights bound ``z``, and mostly
+    no row has to be brought down first."""
+    if np.abs(weights).sum(0).max() > 60:
+        z -= z.max(1, keepdims=True)
+    return np.exp(z, out=z)
+
+
+def _softmax_loss(h: np.ndarray, weights: np.ndarray, picked: np.ndarray, share: np.float32) -> tuple[np.ndarray, float]:
+    """Gradients of the rows' cross-entropies, times ``share``, and their sum."""
+    z = _exp(h @ weights, weights)
     rows = np.arange(len(z))
-    loss = -float(np.log(z[rows, picked] + 1e-12).sum())
-    z[rows, picked] -= 1
+    total = z @ np.ones(z.shape[1], np.float32)
+    loss = -float(np.log(z[rows, picked] / total + 1e-12).sum())
+    z *= (share / total)[:, None]
+    z[rows, picked] -= share
     return z, loss
 
 
-def _log_softmax(z: np.ndarray, picked: np.ndarray) -> np.ndarray:
+def _log_softmax(h: np.ndarray, weights: np.ndarray, picked: np.ndarray) -> np.ndarray:
     """Logarithm of the softmax at one column of each row; sums by products, which are faster than sums along rows."""
-    if z.size and z.max() > 60:
-        z = z - z.max(1, keepdims=True)
-    return z[np.arange(len(z)), picked] - np.log(np.maximum(np.exp(z) @ np.ones(z.shape[1], np.float32), 1e-30))
+    z = h @ weights
+    if np.abs(weights).sum(0).max() > 60:
+        z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), picked]
+    return own - np.log(np.maximum(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32), 1e-30))
 
 
 def class_starts(frequencies: np.ndarray) -> np.ndarray:
@@ -100,10 +117,8 @@ class Model:
     words: int
     gru: Gru
     starts: np.ndarray
-    class_w: np.ndarray
-    class_b: np.ndarray
-    word_w: np.ndarray
-    word_b: np.ndarray
+    class_w: np.ndarray  # by state and, last, bias
+    word_w: np.ndarray  # a row a word, its bias last
 
     @classmethod
     def new(cls, frequencies: np.ndarray, size: int = SIZE, seed: int = 1) -> Model:
@@ -112,15 +127,12 @@ class Model:
         n, starts = len(frequencies), class_starts(frequencies)
         share = frequencies / frequencies.sum() + 1e-9
         mass = np.add.reduceat(share, starts[:-1])
-        return cls(
-            n - 2,
-            Gru(n + 1, size, rng),
-            starts,
-            rng.normal(0, 0.05, (size, len(mass))).astype(np.float32),
-            np.log(mass).astype(np.float32),
-            rng.normal(0, 0.05, (n, size)).astype(np.float32),
-            np.log(share).astype(np.float32),
-        )
+        gru = Gru(n + 1, size, rng)
+        class_w = np.concatenate([rng.normal(0, 0.05, (size, len(mass))), np.log(mass)[None]])
+        # Biases of words are relative to their class, which keeps them small.
+        own = np.log(share / np.repeat(mass, np.diff(starts)))
+        word_w = np.concatenate([rng.normal(0, 0.05, (n, size)), own[:, None]], 1)
+        return cls(n - 2, gru, starts, class_w.astype(np.float32), word_w.astype(np.float32))
 
     @property
     def end(self) -> int:
@@ -136,19 +148,20 @@ class Model:
 
     @property
     def class_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.class_b)), np.diff(self.starts))
+        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
 
     def params(self) -> list[np.ndarray]:
-        return [*self.gru.params(), self.class_w, self.class_b, self.word_w, self.word_b]
+        return [*self.gru.params(), self.class_w, self.word_w]
 
     def log_probabilities(self, h: np.ndarray, targets: np.ndarray, class_of: np.ndarray | None = None) -> np.ndarray:
         """Natural logarithms of the targets' probabilities after states ``h``."""
         group = (self.class_of if class_of is None else class_of)[targets]
-        out = _log_softmax(h @ self.class_w + self.class_b, group)
-        for c, at in _by_class(group, len(self.class_b)):
+        h = _ones(h)
+        out = _log_softmax(h, self.class_w, group)
+        for c, at in _by_class(group, len(self.starts) - 1):
             a, b = self.starts[c], self.starts[c + 1]
             if b - a > 1:
-                out[at] += _log_softmax(h[at] @ self.word_w[a:b].T + self.word_b[a:b], targets[at] - a)
+                out[at] += _log_softmax(h[at], self.word_w[a:b].T, targets[at] - a)
         return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, class_of: np.ndarray, grads: list[np.ndarray]) -> tuple[np.ndarray, float, np.ndarray, list[int]]:
@@ -162,27 +175,23 @@ class Model:
             states.append(h)
         hs, flat = np.concatenate(states), targets.ravel()
         rows = np.flatnonzero(flat >= 0)
-        total = np.float32(max(1, len(rows)))
+        share = np.float32(1 / max(1, len(rows)))
         dh = np.zeros_like(hs)
-        seen, wanted = hs[rows], flat[rows]
+        seen, wanted = _ones(hs[rows]), flat[rows]
         group = class_of[wanted]
-        p, loss = _softmax_loss(seen @ self.class_w + self.class_b, group)
-        p /= total
+        p, loss = _softmax_loss(seen, self.class_w, group, share)
         grads[3] += seen.T @ p
-        grads[4] += p.sum(0)
-        back = p @ self.class_w.T
+        back = p @ self.class_w[:-1].T
         met = []
-        for c, at in _by_class(group, len(self.class_b)):
+        for c, at in _by_class(group, len(self.starts) - 1):
             a, b = self.starts[c], self.starts[c + 1]
             if b - a == 1:
                 continue
-            some = seen[at]
-            p, one = _softmax_loss(some @ self.word_w[a:b].T + self.word_b[a:b], wanted[at] - a)
+            some, own = seen[at], self.word_w[a:b]
+            p, one = _softmax_loss(some, own.T, wanted[at] - a, share)
             loss += one
-            p /= total
-            grads[5][a:b] += p.T @ some
-            grads[6][a:b] += p.sum(0)
-            back[at] += p @ self.word_w[a:b]
+            grads[4][a:b] += p.T @ some
+            back[at] += p @ own[:, :-1]
             met.append(int(c))
         dh[rows] = back
         dh = dh.reshape(len(inputs), -1, self.gru.size)
@@ -196,7 +205,7 @@ class Model:
         order = np.argsort(symbols, kind="stable")
         read, first = np.unique(symbols[order], return_index=True)
         grads[0][read] += np.add.reduceat(d[order], first, 0)
-        return h, float(loss / total), read, met
+        return h, float(loss * share), read, met
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         """Base-10 logarithm of each document's probability, its end included; documents are arrays of word ids."""
@@ -247,7 +256,8 @@ class Learner:
     def step(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, clip: float = 5.0) -> tuple[np.ndarray, float]:
         h, loss, read, met = self.model.gradients(inputs, targets, fresh, h, self.class_of, self.grads)
         starts, whole = self.model.starts, slice(None)
-        touched = [(0, read), *((k, whole) for k in range(1, 5)), *((k, slice(starts[c], starts[c + 1])) for c in met for k in (5, 6))]
+        runs = np.split(np.array(met, int), np.flatnonzero(np.diff(met) != 1) + 1) if met else []  # classes that follow each other go together
+        touched = [(0, read), (1, whole), (2, whole), (3, whole), *((4, slice(starts[r[0]], starts[r[-1] + 1])) for r in runs)]
         norm = math.sqrt(sum(float(np.square(self.grads[k][at]).sum()) for k, at in touched))
         scale = np.float32(min(1.0, clip / (norm + 1e-9)))
         self.t += 1
@@ -298,7 +308,7 @@ def learn_on(model: Model, documents: Iterator[np.ndarray], streams: int = TASK_
     class was the target's.  Holds a few windows of each stream and the longest documents."""
     learner = Learner(model, rate)
     class_of = learner.class_of
-    read, met = np.zeros(len(model.gru.x), np.int64), np.zeros(len(model.class_b), np.int64)
+    read, met = np.zeros(len(model.gru.x), np.int64), np.zeros(len(model.starts) - 1, np.int64)
     lanes: list[list[np.ndarray]] = [[] for _ in range(streams)]  # each of symbols with their targets, documents one after another
     filled = [(0, k) for k in range(streams)]
     h = np.zeros((streams, model.gru.size), np.float32)
@@ -344,7 +354,7 @@ def learn_on(model: Model, documents: Iterator[np.ndarray], streams: int = TASK_
 def _weights(model: Model, read: np.ndarray, met: np.ndarray) -> list[np.ndarray]:
     """What each row of each parameter counts for."""
     every, of_word = np.float64(read.sum()), met[model.class_of].astype(float)
-    return [read.astype(float)[:, None], every, every, every, every, of_word[:, None], of_word]
+    return [read.astype(float)[:, None], every, every, every, of_word[:, None]]
 
 
 def learn_all(known: DataFrame, model: Model, words: list[bytes]) -> None:
@@ -381,7 +391,7 @@ def learn_all(known: DataFrame, model: Model, words: list[bytes]) -> None:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "x"])
 
     params = model.params()
-    sizes = [p.size for p in params] + [len(model.gru.x), len(model.class_b)]
+    sizes = [p.size for p in params] + [len(model.gru.x), len(model.starts) - 1]
     flat = np.zeros(sum(sizes))
     summed = known.select("body").mapInArrow(run, "chunk int, x binary").repartition("chunk").mapInArrow(total, "chunk int, x binary").toArrow()
     for k, x in zip(summed.column("chunk").to_pylist(), summed.column("x"), strict=True):
@@ -456,7 +466,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: in
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     documents = known.count()
     words, numbers = commonest(counts, hot)
-    size = min(vocabulary or max(VOCABULARY, 2 * math.isqrt(int(sums[0]))), len(words))
+    size = min(vocabulary or max(VOCABULARY, math.isqrt(int(sums[0]))), len(words))
     beyond, beyond_distinct = int(sums[0] - numbers[:size].sum()), int(sums[1] - size)
     trained = Trained(counts, documents, int(sums[0]) + documents, int(sums[1]) + (documents > 0), words, numbers, beyond, beyond_distinct, None)
     if not documents:
