@@ -33,6 +33,9 @@ from loam.sources.address import filesystem
 REVISIT_BYTES = 1000
 #: An archive is closed at this size, so that a reader's task holds no more than an archive and its largest record.
 ARCHIVE_BYTES = 16 << 20
+#: A payload of more pages than this, and than a ``HOT_SHARE``-th of all, is planned without dealing them by payload.
+HOT_PAGES = 100_000
+HOT_SHARE = 10_000
 #: About how many bytes of payload a writing task gets.
 TASK_BYTES = 32 << 20
 
@@ -270,14 +273,21 @@ class _Archives:
             self.out = None
 
 
-def plan_revisits(pages: DataFrame, id_col: str, body_col: str) -> DataFrame:
-    """Of the narrow rows: page_id, digest, copies, target of each (page, payload) that takes part in a revisit."""
+def plan_revisits(pages: DataFrame, id_col: str, body_col: str, count: int) -> DataFrame:
+    """Of the narrow rows: page_id, digest, copies, target of each (page, payload) that takes part in a revisit.
+
+    Groups of more than ``HOT_PAGES`` rows and a ``HOT_SHARE``-th of all ``count`` rows, fewer than ``HOT_SHARE``, go to where their
+    pages are.
+    """
     body = F.coalesce(F.col(body_col).cast("string").cast("binary"), F.lit(b""))
     narrow = pages.select(F.col(id_col).alias("page_id"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size")).filter(F.col("size") >= REVISIT_BYTES)
     each = narrow.groupBy("digest", "page_id").agg(F.count("*").alias("copies"))
     # A null id is below all others; target_known tells a null target from none.
     groups = each.groupBy("digest").agg(F.max("page_id").alias("target"), F.sum("copies").alias("n")).filter(F.col("n") > 1)
-    return each.join(groups, "digest").select("page_id", "digest", "target")
+    hot = F.col("n") > max(HOT_PAGES, count // HOT_SHARE)
+    known = each.join(F.broadcast(groups.filter(hot).select("digest", F.col("target").alias("of_hot"), F.lit(True).alias("in_hot"))), "digest", "left")
+    others = known.filter("in_hot is null").join(groups.filter(~hot), "digest").select("page_id", "digest", "target")
+    return known.filter("in_hot").select("page_id", "digest", F.col("of_hot").alias("target")).unionByName(others)
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -290,8 +300,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     spark = pages.sparkSession
     body = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body"), F.sha1(body).alias("digest"))
-    plan = plan_revisits(pages.withColumn(id_col, F.col(id_col).cast("long")), id_col, html_col)
-    size = pages.select(F.sum(F.octet_length(F.col(html_col).cast("string")) + 300)).first()[0] or 0
+    size, count = pages.select(F.coalesce(F.sum(F.octet_length(F.col(html_col).cast("string")) + 300), F.lit(0)), F.count("*")).first()
+    plan = plan_revisits(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")), "page_id", "html", count)
     parts = max(1, -(-size // TASK_BYTES), spark.sparkContext.defaultParallelism)
     pair = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(" "), F.col("digest")).alias("pair")
     plan = plan.select(pair, "target", F.lit(True).alias("grouped"))
@@ -351,13 +361,17 @@ def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes archives to the shared folder and reads them back: a row per page."""
+    """Writes archives to the shared folder and reads them back: a row per page.  A gap in what was just written is an error, as a
+    page would be missing."""
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     index = write(pages, folder, id_col, url_col, html_col)
     if not index.take(1):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read(spark, folder, payload=False).filter("record_type != 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read(spark, folder, payload=False)
+    lost = F.raise_error(F.concat_ws(" ", F.lit("damaged archive"), "archive", "start", "end", "reason"))
+    found = found.withColumn("record_type", F.when(F.col("record_type") == "gap", lost.cast("string")).otherwise(F.col("record_type")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def oracle() -> str:

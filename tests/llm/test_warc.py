@@ -1,8 +1,12 @@
 import gzip
 import hashlib
+import os
+import random
 
+import pytest
 from loam.llm import warc
 from loam.llm.common import new_path
+from loam.sources.address import filesystem
 from pyspark.sql import functions as F
 
 
@@ -103,3 +107,45 @@ def test_undamaged_records_from_elsewhere_are_returned():
     ):
         got = list(warc.salvage(bad + parts[0]))
         assert [isinstance(x, warc.Record) for x in got] == [False, True]
+
+
+def test_damaged_archives_give_all_other_records_and_the_gaps(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, f"http://h/{i}", f"text {i} " * rng.randrange(1, 600)) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = new_path(spark, "warc-damaged")
+    index = {r.page_id: (r.archive, r.at, r.length) for r in warc.write(pages, folder, archive_bytes=4000).collect()}
+    path = filesystem(folder)[1]
+    hit = set(rng.sample(sorted(index), 15))
+    for i in hit:
+        archive, at, length = index[i]
+        with open(f"{path}/{archive}", "r+b") as f:
+            f.seek(at + rng.randrange(12, length - 9))  # behind the member's head and before its checksum
+            f.write(b"\x00\xff\x00\xff")
+    for crc in os.listdir(path):
+        if crc.startswith(".") and crc.endswith(".crc"):
+            os.remove(f"{path}/{crc}")
+    got = warc.read(spark, folder).collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in got if r.record_type != "gap"} == {i: h for i, _, h in rows if i not in hit}
+    gaps = [(r.archive.rsplit("/", 1)[1], r.start, r.end) for r in got if r.record_type == "gap"]
+    assert all(any(a == index[i][0] and s <= index[i][1] and index[i][1] + index[i][2] <= e for a, s, e in gaps) for i in hit)
+    assert sum(e - s for _, s, e in gaps) == sum(index[i][2] for i in hit) and all(r.reason for r in got if r.record_type == "gap")
+    monkeypatch.setattr(warc, "read", lambda *_, **__: spark.createDataFrame([r for r in got], warc.RECORDS))
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.round_trip(pages.limit(2)).collect()
+
+
+def test_records_larger_than_an_archive(spark):
+    rng = random.Random(12)
+    big = "".join(rng.choices("abcdefghijklmnop", k=1 << 20)) * 18
+    rows = [(1, "u", big), (2, "u", big), (3, "u", "é" + big), (4, "u", "small")]
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(1, len(big), "revisit", 2), (2, len(big), "response", None), (3, len(big) + 2, "response", None), (4, 5, "response", None)]
+
+
+def test_hot_payloads_are_planned_without_dealing(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", "x" * 1200 if i % 2 else f"{i}" * 700) for i in range(40)] + [(3, "u", "x" * 1200), (2, "u", "y")], "page_id long, url string, html string")
+    want = sorted(map(tuple, warc.round_trip(pages).collect()), key=repr)
+    monkeypatch.setattr(warc, "HOT_PAGES", 5)
+    monkeypatch.setattr(warc, "HOT_SHARE", 10)
+    assert sorted(map(tuple, warc.round_trip(pages).collect()), key=repr) == want
