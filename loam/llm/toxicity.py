@@ -9,7 +9,7 @@ The machine is trained on labelled sentences.  A sentence's value is that of its
 document, where a toxic document need not be toxic in every sentence: which sentences are, and by which unit, is learned in rounds.
 It begins with stems (a unit, or its first four to seven letters) that occur in toxic documents far beyond chance: a sentence
 of a toxic document that has one is a positive row by that unit.  In each further round it is a positive row by its highest
-unit if the machine puts that on the toxic side, and sentences of clean documents are negative rows by theirs; the highest
+unit too if the machine puts that on the toxic side, and sentences of clean documents are negative rows by theirs; the highest
 are kept.  So an insult need not be frequent itself, as long as it has something of its own in common with others, but kernels do not
 cross units, so an insult of several ordinary words is none.  A landmark machine is linear in the subsequences, so it is
 folded into one weight for each possible one.  A text is judged by its highest unit, by how many units are on the wrong
@@ -336,7 +336,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for step in range(1 + ROUNDS):
         got = materialize(sentence_rows(known, value), "sentences")
         new = got.filter("label = 1 and value > 0").orderBy(F.desc("n"), "piece").collect()  # of the sample's sentences
-        positive = [(bytes(r["piece"]), r["n"]) for r in new] or positive
+        # Rows are added, and those of the beginning stay: a machine that has not yet learned some insults shall not unlearn them.
+        times = dict(positive) | {bytes(r["piece"]): r["n"] for r in new}
+        positive = sorted(times.items(), key=lambda x: (-x[1], x[0]))
         clean = got.filter("label = 0")
         if not step:
             random = {bytes(r["piece"]): r["n"] for r in clean.orderBy("value", "piece").limit(NEGATIVES).collect()}
