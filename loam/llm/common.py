@@ -6,8 +6,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,12 @@ def quoted(df: DataFrame) -> list[str]:
     return [f"`{c.replace('`', '``')}`" for c in df.columns]
 
 
+def filtered(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The rows that ``run`` leaves of each batch of ``df``, with all columns, whatever their names."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

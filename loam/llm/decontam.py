@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loam.llm.common import materialize, window_sums, word_hashes
+from loam.llm.common import filtered, materialize, window_sums, word_hashes
 
 #: Words of a seed and of the shortest tile.
 LEAST = 5
@@ -276,7 +276,7 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
             for batch in batches:
                 yield batch.filter(pa.array([not items.matches(x.as_py(), coverage) for x in batch.column(at)], pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
+        df = filtered(df, run)
         if k + 1 < len(chunks):
             df = materialize(df, "clean")
     return df

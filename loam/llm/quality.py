@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm.common import filtered
+
 #: Labelled documents that the trees are fitted to, at most.
 TRAIN_ROWS = 20_000
 #: Documents with at least this score are kept, if the base rule lets them.
@@ -258,4 +260,4 @@ def keep_good(df: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
             score, failed = judge(trees, [statistics(t.as_py()) for t in batch.column(at).cast(pa.binary())])
             yield batch.filter(pa.array(~failed & (score >= KEEP)))
 
-    return df.mapInArrow(run, df.schema)
+    return filtered(df, run)
