@@ -1,3 +1,4 @@
+import pytest
 from loam.sources import binary, sst
 from loam.store import Store
 from loam.streaming.ingest import into_store, live_view
@@ -79,3 +80,38 @@ def test_filters_of_the_store_let_few_strangers_through():
     data = bloom.build(keys, *bloom.parameters(len(keys)))
     assert bloom.may_contain_all(data, keys).all()
     assert bloom.may_contain_all(data, [f"other{i}" for i in range(20_000)]).mean() < 0.003
+
+
+def test_files_are_made_once_and_must_be_there(tmp_path):
+    from loam.config import Configuration
+    from loam.sources.files import EventLog, RecordLog, TableFile
+
+    records = [(f"k{i}", f"v{i}".encode()) for i in range(9)]
+    makers = {
+        TableFile: lambda a: TableFile.create(a, records, 40),
+        RecordLog: RecordLog.create,
+        EventLog: lambda a: EventLog.create(a, Configuration()),
+    }
+    for kind, make in makers.items():
+        address = f"file://{tmp_path}/deep/{kind.__name__}"
+        with pytest.raises(ValueError):
+            kind.open(address)
+        made = make(address)
+        with pytest.raises(ValueError):
+            make(address)
+        assert made.exists() and kind.open(address) == made != kind(f"{address}2")
+    table = TableFile.open(f"file://{tmp_path}/deep/TableFile").table()
+    assert table.scan() == records and table.get("k4") == b"v4" and len(table.metas) > 2
+    log = RecordLog.open(f"file://{tmp_path}/deep/RecordLog")
+    log.append(records[:2])
+    log.append([("k0", b"again"), ("é", b"")])
+    assert log.records() == [*records[:2], ("k0", b"again"), ("é", b"")]
+    log.remove()
+    assert not log.exists()
+    events = EventLog.open(f"file://{tmp_path}/deep/EventLog")
+    events.append({"event_type": "flush", "outputs": ["s1"]})
+    events.append({"event_type": "compaction", "level": 0, "inputs": ["s1"], "outputs": ["s2", "s3"]})
+    config, found = events.decode()
+    assert config == Configuration() and [e["outputs"] for e in found] == [["s1"], ["s2", "s3"]]
+    with pytest.raises(ValueError):
+        events.append({"event_type": "other"})
