@@ -19,11 +19,12 @@ import copy
 import heapq
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,9 @@ WINDOW = 16
 #: Documents that a task learns from side by side, and its rate.
 TASK_STREAMS = 512
 TASK_RATE = 0.01
-#: Numbers in a row of a task's changes.
+#: Numbers in a row of a task's changes, and tasks whose changes are summed together first.
 CHUNK = 1 << 15
+SUMMED = 64
 #: Tokens scored side by side in a task, and steps between two softmaxes.
 SCORE_TOKENS = 4_000_000
 SCORE_WINDOW = 32
@@ -372,6 +374,7 @@ def learn_all(known: DataFrame, model: Model, words: list[bytes]) -> None:
                     a = _encode(x.as_py(), ids)
                     yield np.where(a < 0, own.unknown, a)
 
+        own_group = TaskContext.get().partitionId() // SUMMED
         read, met = learn_on(own, documents())
         if not read.any():
             return
@@ -380,20 +383,25 @@ def learn_all(known: DataFrame, model: Model, words: list[bytes]) -> None:
         for k in range(0, len(flat), CHUNK):
             some = flat[k : k + CHUNK].astype(np.float32)
             if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["chunk", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([own_group], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["chunk", "tasks", "x"])
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                some = np.frombuffer(x.as_py(), np.float32)
-                held[k] = held[k] + some if k in held else some.astype(float)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "x"])
+    def total(kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, x in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
+                    some = np.frombuffer(x.as_py(), kind)
+                    held[k] = held[k] + some if k in held else some.astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "x"])
+
+        return run
 
     params = model.params()
     sizes = [p.size for p in params] + [len(model.gru.x), len(model.starts) - 1]
     flat = np.zeros(sum(sizes))
-    summed = known.select("body").mapInArrow(run, "chunk int, x binary").repartition("chunk").mapInArrow(total, "chunk int, x binary").toArrow()
+    # Changes are summed by groups of tasks first, so that no task takes those of all.
+    made = known.select("body").mapInArrow(run, "chunk int, tasks int, x binary").repartition("chunk", "tasks").mapInArrow(total(np.float32), "chunk int, x binary")
+    summed = made.repartition("chunk").mapInArrow(total(np.float64), "chunk int, x binary").toArrow()
     for k, x in zip(summed.column("chunk").to_pylist(), summed.column("x"), strict=True):
         some = np.frombuffer(x.as_py(), float)
         flat[k * CHUNK : k * CHUNK + len(some)] = some

@@ -135,6 +135,7 @@ def test_empty_tables(docs, spark):
 def test_model_learns_from_rows_beyond_the_sample(spark, monkeypatch):
     df = spark.createDataFrame([(i, " ".join(f"w{i % 50}x{k}" for k in range(8))) for i in range(600)], "doc_id long, text string").repartition(3)
     monkeypatch.setattr(lm, "VOCABULARY", 10)
+    monkeypatch.setattr(lm, "SUMMED", 2)
     trained = lm.train(df, rows=4, tokens=40)
     model = trained.model
     assert model.words == int((trained.tokens - trained.documents) ** 0.5)  # grows with the tokens
