@@ -49,7 +49,7 @@ CROWD = 1024
 #: Signatures that agree in fewer places are not verified: over four standard deviations below the threshold.
 SIGNATURE_LEAST = 0.65
 #: Texts of a node that one chunk holds at least and at most; between them a node has ``NODE_CHUNKS`` chunks.
-NODE_CHUNK = 512
+NODE_CHUNK = 256
 NODE_CHUNKS = 64
 NODE_CHUNK_MOST = 1 << 18
 #: Texts or differing shingles of a cluster that one chunk holds.
