@@ -35,27 +35,51 @@ class Gru:
         """``step`` for many steps, faster."""
         return _stepper([self])
 
-    def step_kept(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def step_kept(self, ids: np.ndarray, h: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        """A step and what its gradient needs; ``rows``: the symbols' rows of ``x``, if they are at hand."""
         n = self.size
-        a, g = self.x[ids], h @ self.u + self.b
-        gates = sigmoid(a[:, : 2 * n] + g[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
-        return new + z * (h - new), (ids, h, z, r, new, g[:, 2 * n :])
+        a = self.x[ids] if rows is None else rows
+        g = h @ self.u
+        g += self.b
+        gates = a[:, : 2 * n] + g[:, : 2 * n]
+        gates *= np.float32(0.5)
+        np.tanh(gates, out=gates)
+        gates *= np.float32(0.5)
+        gates += np.float32(0.5)
+        z, r, held = gates[:, :n], gates[:, n:], g[:, 2 * n :]
+        new = r * held
+        new += a[:, 2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        kept = (ids, h, z, r, new, held, out.copy())
+        out *= z
+        out += new
+        return out, kept
 
-    def back_rows(self, kept: tuple, dh: np.ndarray, grad_u: np.ndarray, grad_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The gradient of the state before a step and that of each symbol's row; adds the others."""
-        _, h, z, r, new, g = kept
+    def back_rows(self, kept: tuple, dh: np.ndarray, grad_u: np.ndarray, grad_b: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The gradient of the state before a step and that of each symbol's row, put into ``rows`` if given; adds the others."""
+        _, h, z, r, new, held, apart = kept
         n = self.size
-        rows, d_g = np.empty((len(h), 3 * n), np.float32), np.empty((len(h), 3 * n), np.float32)
-        d_new = dh * (1 - z) * (1 - new * new)
-        d_g[:, :n] = rows[:, :n] = dh * (h - new) * z * (1 - z)
-        d_g[:, n : 2 * n] = rows[:, n : 2 * n] = d_new * g * r * (1 - r)
+        rows = np.empty((len(h), 3 * n), np.float32) if rows is None else rows
+        d_g = np.empty((len(h), 3 * n), np.float32)
+        through = dh * z
+        d_new = dh - through  # dh * (1 - z)
+        through_z = through * apart
+        d_g[:, :n] = through_z - through_z * z
+        slope = new * new
+        slope -= 1
+        d_new *= slope
+        np.negative(d_new, out=d_new)
+        by_r = d_new * r
+        d_g[:, 2 * n :] = by_r
+        by_r *= held
+        d_g[:, n : 2 * n] = by_r - by_r * r
+        rows[:, : 2 * n] = d_g[:, : 2 * n]
         rows[:, 2 * n :] = d_new
-        d_g[:, 2 * n :] = d_new * r
         grad_u += h.T @ d_g
         grad_b += d_g.sum(0)
-        return dh * z + d_g @ self.u.T, rows
+        through += d_g @ self.u.T
+        return through, rows
 
     def back(self, kept: tuple, dh: np.ndarray, grads: list[np.ndarray]) -> np.ndarray:
         """Adds a step's gradients to ``grads`` and returns that of the state before."""

@@ -169,13 +169,14 @@ class Model:
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, class_of: np.ndarray, grads: list[np.ndarray]) -> tuple[np.ndarray, float, np.ndarray, list[int]]:
         """Adds a window's gradients to ``grads``, (step, stream) symbols; ``fresh`` marks where a document starts.  Gives the states
         after it, the mean loss, the symbols read and the classes met, which all gradients of words belong to."""
-        kept, states = [], []
+        kept, lanes = [], inputs.shape[1]
+        x = self.gru.x.take(inputs.ravel(), 0)
+        hs, flat = np.empty((inputs.size, self.gru.size), np.float32), targets.ravel()
         for t in range(len(inputs)):
-            h = np.where(fresh[t][:, None], 0, h).astype(np.float32)
-            h, k = self.gru.step_kept(inputs[t], h)
+            h = np.where(fresh[t][:, None], np.float32(0), h)
+            h, k = self.gru.step_kept(inputs[t], h, x[t * lanes : (t + 1) * lanes])
             kept.append(k)
-            states.append(h)
-        hs, flat = np.concatenate(states), targets.ravel()
+            hs[t * lanes : (t + 1) * lanes] = h
         rows = np.flatnonzero(flat >= 0)
         share = np.float32(1 / max(1, len(rows)))
         dh = np.zeros_like(hs)
@@ -197,13 +198,12 @@ class Model:
             met.append(int(c))
         dh[rows] = back
         dh = dh.reshape(len(inputs), -1, self.gru.size)
-        back, parts = np.zeros_like(dh[0]), []
+        back, d = np.zeros_like(dh[0]), x  # the gradients of the rows take the rows' place
         for t in range(len(inputs) - 1, -1, -1):
-            back, part = self.gru.back_rows(kept[t], back + dh[t], grads[1], grads[2])
-            parts.append(part)
+            back, _ = self.gru.back_rows(kept[t], back + dh[t], grads[1], grads[2], d[t * lanes : (t + 1) * lanes])
             back[fresh[t]] = 0
         # Rows of one symbol are summed together.
-        symbols, d = inputs[::-1].ravel(), np.concatenate(parts)
+        symbols = inputs.ravel()
         order = np.argsort(symbols, kind="stable")
         read, first = np.unique(symbols[order], return_index=True)
         grads[0][read] += np.add.reduceat(d[order], first, 0)
