@@ -61,11 +61,12 @@ class _Ids(dict):
         return -1
 
 
-def _by_class(group: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
+def _by_class(group: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of tokens by class, and each class with the bounds of its tokens in that order."""
     order = np.argsort(group, kind="stable")
     bounds = np.searchsorted(group[order], np.arange(classes + 1))
-    for c in np.flatnonzero(np.diff(bounds)):
-        yield c, order[bounds[c] : bounds[c + 1]]
+    met = np.flatnonzero(np.diff(bounds))
+    return order, list(zip(met.tolist(), bounds[met].tolist(), bounds[met + 1].tolist(), strict=True))
 
 
 def _ones(h: np.ndarray) -> np.ndarray:
@@ -158,12 +159,15 @@ class Model:
     def log_probabilities(self, h: np.ndarray, targets: np.ndarray, class_of: np.ndarray | None = None) -> np.ndarray:
         """Natural logarithms of the targets' probabilities after states ``h``."""
         group = (self.class_of if class_of is None else class_of)[targets]
-        h = _ones(h)
-        out = _log_softmax(h, self.class_w, group)
-        for c, at in _by_class(group, len(self.starts) - 1):
+        order, parts = _by_class(group, len(self.starts) - 1)
+        h, targets = _ones(h[order]), targets[order]
+        found = _log_softmax(h, self.class_w, group[order])
+        for c, i, j in parts:
             a, b = self.starts[c], self.starts[c + 1]
             if b - a > 1:
-                out[at] += _log_softmax(h[at], self.word_w[a:b].T, targets[at] - a)
+                found[i:j] += _log_softmax(h[i:j], self.word_w[a:b].T, targets[i:j] - a)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, class_of: np.ndarray, grads: list[np.ndarray]) -> tuple[np.ndarray, float, np.ndarray, list[int]]:
@@ -179,23 +183,25 @@ class Model:
             hs[t * lanes : (t + 1) * lanes] = h
         rows = np.flatnonzero(flat >= 0)
         share = np.float32(1 / max(1, len(rows)))
-        dh = np.zeros_like(hs)
+        group = class_of[flat[rows]]
+        order, parts = _by_class(group, len(self.starts) - 1)
+        rows, group = rows[order], group[order]
         seen, wanted = _ones(hs[rows]), flat[rows]
-        group = class_of[wanted]
         p, loss = _softmax_loss(seen, self.class_w, group, share)
         grads[3] += seen.T @ p
         back = p @ self.class_w[:-1].T
         met = []
-        for c, at in _by_class(group, len(self.starts) - 1):
+        for c, i, j in parts:
             a, b = self.starts[c], self.starts[c + 1]
             if b - a == 1:
                 continue
-            some, own = seen[at], self.word_w[a:b]
-            p, one = _softmax_loss(some, own.T, wanted[at] - a, share)
+            some, own = seen[i:j], self.word_w[a:b]
+            p, one = _softmax_loss(some, own.T, wanted[i:j] - a, share)
             loss += one
             grads[4][a:b] += p.T @ some
-            back[at] += p @ own[:, :-1]
-            met.append(int(c))
+            back[i:j] += p @ own[:, :-1]
+            met.append(c)
+        dh = np.zeros_like(hs)
         dh[rows] = back
         dh = dh.reshape(len(inputs), -1, self.gru.size)
         back, d = np.zeros_like(dh[0]), x  # the gradients of the rows take the rows' place
