@@ -54,6 +54,9 @@ SPAN = 8
 WIDE = 16
 #: Units of at least this value are hits.
 HIT = 0.2
+#: Rows whose units a task holds at once, and units whose values it keeps.
+ROWS_AT_ONCE = 500
+KEPT_UNITS = 100_000
 #: A score of at least this is predicted toxic.
 PREDICT = 0.7
 
@@ -118,7 +121,7 @@ def sentences(text: str | None) -> list[set[bytes]]:
     return [x for x in out if x]
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def pieces(unit: bytes) -> list[bytes]:
     """The letters of a unit, by overlapping windows if there are many."""
     s = letters(unit)
@@ -247,6 +250,12 @@ def stems(piece: bytes) -> list[bytes]:
     return [piece, *(piece[:k] for k in STEMS if k < len(piece))]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[bytes, list[int]] = {}
 
@@ -257,9 +266,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for y, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             for stem in {x for s in sentences(body.as_py()) for p in s for x in stems(p)}:
                 held.setdefault(stem, [0, 0])[int(y > 0)] += 1
-            if len(held) > 200_000:
-                yield out()
-                held.clear()
+                if len(held) > KEPT_UNITS:
+                    yield out()
+                    held.clear()
     if held:
         yield out()
 
@@ -300,11 +309,11 @@ def sentence_rows(known: DataFrame, value: Callable[[int, list[bytes]], list[flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values: list[dict[bytes, float]] = [{}, {}]
-        for batch in batches:
+        for batch in _slices(batches):
             rows: Counter = Counter()
             split = [(int(y > 0), sentences(body.as_py())) for y, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             for y in (0, 1):
-                if len(values[y]) > 400_000:
+                if len(values[y]) > KEPT_UNITS:
                     values[y].clear()
                 new = list({p for label, some in split if label == y for s in some for p in s} - values[y].keys())
                 values[y].update(zip(new, value(y, new), strict=True))
@@ -403,14 +412,14 @@ def _valued(df: DataFrame, machine: Machine, first: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, float] = {}
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [units(x.as_py()) for x in batch.column(1)]
             new = list(set().union(*sets) - known.keys())
-            if len(known) + len(new) > 400_000:
+            if len(known) + len(new) > KEPT_UNITS:
                 known.clear()
                 new = list(set().union(*sets))
-            for at in range(0, len(new), 50_000):
-                some = new[at : at + 50_000]
+            for at in range(0, len(new), 20_000):
+                some = new[at : at + 20_000]
                 known.update(zip(some, machine.decide(some).tolist(), strict=True))
             top, hits = [], []
             for s in sets:
