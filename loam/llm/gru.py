@@ -35,10 +35,10 @@ class Gru:
         """``step`` for many steps, faster."""
         return _stepper([self])
 
-    def step_kept(self, ids: np.ndarray, h: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
-        """A step and what its gradient needs; ``rows``: the symbols' rows of ``x``, if they are at hand."""
+    def step_kept(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """A step and what its gradient needs."""
         n = self.size
-        a = self.x[ids] if rows is None else rows
+        a = self.x[ids]
         g = h @ self.u
         g += self.b
         gates = a[:, : 2 * n] + g[:, : 2 * n]
@@ -56,11 +56,11 @@ class Gru:
         out += new
         return out, kept
 
-    def back_rows(self, kept: tuple, dh: np.ndarray, grad_u: np.ndarray, grad_b: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The gradient of the state before a step and that of each symbol's row, put into ``rows`` if given; adds the others."""
+    def back_rows(self, kept: tuple, dh: np.ndarray, grad_u: np.ndarray, grad_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The gradient of the state before a step and that of each symbol's row; adds the others."""
         _, h, z, r, new, held, apart = kept
         n = self.size
-        rows = np.empty((len(h), 3 * n), np.float32) if rows is None else rows
+        rows = np.empty((len(h), 3 * n), np.float32)
         d_g = np.empty((len(h), 3 * n), np.float32)
         through = dh * z
         d_new = dh - through  # dh * (1 - z)
@@ -87,6 +87,67 @@ class Gru:
         np.add.at(grads[0], kept[0], rows)
         return before
 
+    def window(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        """The states (step, unit, stream) after each of the steps ``ids`` (step, stream) and what their gradients need; ``fresh``:
+        where a state is 0 before the step.  Units come first, so that whatever is done to gates is done to long rows."""
+        n, (steps, lanes) = self.size, ids.shape
+        x = np.ascontiguousarray(self.x.take(ids.ravel(), 0).T).reshape(3 * n, steps, lanes)
+        u, b = np.ascontiguousarray(self.u.T), self.b[:, None]
+        stays = (~fresh).astype(np.float32)
+        h = np.ascontiguousarray(h.T)
+        out, kept = np.empty((steps, n, lanes), np.float32), []
+        for t in range(steps):
+            h = h * stays[t]
+            g = u @ h
+            g += b
+            gates = g[: 2 * n] + x[: 2 * n, t]
+            gates *= np.float32(0.5)
+            np.tanh(gates, out=gates)
+            gates *= np.float32(0.5)
+            gates += np.float32(0.5)
+            z, r, held = gates[:n], gates[n:], g[2 * n :]
+            new = r * held
+            new += x[2 * n :, t]
+            np.tanh(new, out=new)
+            apart = h - new
+            kept.append((h, z, r, new, held, apart))
+            h = out[t]
+            np.multiply(apart, z, out=h)
+            h += new
+        return out, kept
+
+    def back_window(self, kept: list[tuple], fresh: np.ndarray, dh: np.ndarray, grad_u: np.ndarray, grad_b: np.ndarray) -> np.ndarray:
+        """The gradients (part, step and stream) of the symbols' rows in a window, from those of its states; adds the others and
+        uses up ``kept``."""
+        n, (steps, lanes) = self.size, fresh.shape
+        rows = np.empty((3 * n, steps, lanes), np.float32)
+        stays = (~fresh).astype(np.float32)
+        d_g, through = np.empty((3 * n, lanes), np.float32), np.zeros((n, lanes), np.float32)
+        for t in range(steps - 1, -1, -1):
+            h, z, r, new, held, apart = kept[t]
+            through += dh[t]
+            d_new = through.copy()
+            through *= z
+            d_new -= through  # times 1 - z
+            d_z = through * apart
+            np.multiply(d_z, z, out=apart)
+            np.subtract(d_z, apart, out=d_g[:n])
+            new *= new
+            np.subtract(np.float32(1), new, out=new)
+            d_new *= new
+            by_r = d_g[2 * n :]
+            np.multiply(d_new, r, out=by_r)
+            held *= by_r
+            r *= held
+            np.subtract(held, r, out=d_g[n : 2 * n])
+            rows[: 2 * n, t] = d_g[: 2 * n]
+            rows[2 * n :, t] = d_new
+            grad_u += h @ d_g.T
+            grad_b += d_g.sum(1)
+            through += self.u @ d_g
+            through *= stays[t]
+        return rows.reshape(3 * n, -1)
+
 
 def both(one: Gru, other: Gru) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """``step`` of two layers side by side: symbols (2, n), those of the second counted on from those of the first, and states

@@ -1,6 +1,7 @@
 """Scoring texts with a gated recurrent language model and a unigram base.
 
-Word counts are of all training documents, combined in each task and then by word.  The commonest ``HOT`` words go to the
+Words are split, counted and looked up by Arrow, some texts at once, and none becomes a Python object.  Word counts are of all
+training documents, combined in each task and then by word.  The commonest ``HOT`` words go to the
 tasks with their counts, which bounds what is broadcast; all other words of a text go, as one row for a document and
 word, to an exact join with the counts table.
 
@@ -18,12 +19,12 @@ from __future__ import annotations
 import copy
 import heapq
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,22 +50,52 @@ SUMMED = 64
 #: Tokens scored side by side in a task, and steps between two softmaxes.
 SCORE_TOKENS = 4_000_000
 SCORE_WINDOW = 32
+#: Bytes of text whose words a task holds at once.
+PIECE = 1 << 23
 
 
-def lm_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A to Z in lower case."""
-    return text.encode("utf-8", "replace").lower().split() if text else []
+def lm_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts, one after another, with A to Z in lower case, and the bounds of each text's.  A null
+    has none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, bounds = split.flatten().cast(pa.binary()), split.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    full = pc.binary_length(words).to_numpy() > 0
+    if not full.all():  # between white space and a text's edge
+        words, bounds = words.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[bounds]
+    return words, bounds
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
+def _pieces(texts: pa.Array, most: int = PIECE) -> Iterator[pa.Array]:
+    """The texts in runs of about ``most`` bytes, which bounds what their words take."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    cuts = np.flatnonzero(np.diff(ends // most)) + 1
+    for i, j in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+        yield texts[int(i) : int(j)]
+
+
+def _ids(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The words' places in ``known``, -1 if they are not there."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+
+
+def _encoded(texts: pa.Array, known: pa.Array, unknown: int) -> Iterator[np.ndarray]:
+    """Each text's words by their places in ``known``; others are ``unknown``."""
+    for piece in _pieces(texts):
+        words, bounds = lm_words(piece)
+        ids = _ids(words, known)
+        yield from np.split(np.where(ids < 0, np.int32(unknown), ids), bounds[1:-1]) if len(piece) else ()
+
+
+def _order(numbers: np.ndarray, below: int) -> np.ndarray:
+    """A stable order; short numbers are sorted by digits, which is much faster."""
+    return np.argsort(numbers.astype(np.uint16) if below <= 1 << 16 else numbers, kind="stable")
 
 
 def _by_class(group: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The order of tokens by class, and each class with the bounds of its tokens in that order."""
-    order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(classes + 1))
+    order = _order(group, classes)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=classes))])
     met = np.flatnonzero(np.diff(bounds))
     return order, list(zip(met.tolist(), bounds[met].tolist(), bounds[met + 1].tolist(), strict=True))
 
@@ -76,31 +107,35 @@ def _ones(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _exp(z: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Exponentials of rows up to a factor for each row.  States are between -1 and 1, so that the weights bound ``z``, and mostly
-    no row has to be brought down first."""
-    if np.abs(weights).sum(0).max() > 60:
+def _most(weights: np.ndarray) -> np.ndarray:
+    """What each row of weights can come to: states are between -1 and 1."""
+    return np.abs(weights) @ np.ones(weights.shape[1], np.float32)
+
+
+def _exp(z: np.ndarray, most: float) -> np.ndarray:
+    """Exponentials of rows up to a factor for each row.  The weights bound ``z`` by ``most``, and mostly no row has to be brought
+    down first."""
+    if most > 60:
         z -= z.max(1, keepdims=True)
     return np.exp(z, out=z)
 
 
-def _softmax_loss(h: np.ndarray, weights: np.ndarray, picked: np.ndarray, share: np.float32) -> tuple[np.ndarray, float]:
-    """Gradients of the rows' cross-entropies, times ``share``, and their sum."""
-    z = _exp(h @ weights, weights)
-    rows = np.arange(len(z))
+def _softmax_loss(h: np.ndarray, weights: np.ndarray, picked: np.ndarray, share: np.float32, most: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Gradients of the rows' cross-entropies, up to a factor for each row; the factors, which bring ``share`` in; and the sum."""
+    z = _exp(h @ weights, most)
     total = z @ np.ones(z.shape[1], np.float32)
-    loss = -float(np.log(z[rows, picked] / total + 1e-12).sum())
-    z *= (share / total)[:, None]
-    z[rows, picked] -= share
-    return z, loss
+    flat, at = z.reshape(-1), np.arange(0, z.size, z.shape[1]) + picked
+    own = flat.take(at)
+    flat[at] = own - total
+    return z, (share / total)[:, None], -float(np.log(own / total + np.float32(1e-12)).sum())
 
 
-def _log_softmax(h: np.ndarray, weights: np.ndarray, picked: np.ndarray) -> np.ndarray:
+def _log_softmax(h: np.ndarray, weights: np.ndarray, picked: np.ndarray, most: float) -> np.ndarray:
     """Logarithm of the softmax at one column of each row; sums by products, which are faster than sums along rows."""
     z = h @ weights
-    if np.abs(weights).sum(0).max() > 60:
+    if most > 60:
         z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(z)), picked]
+    own = z.reshape(-1).take(np.arange(0, z.size, z.shape[1]) + picked)
     return own - np.log(np.maximum(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32), 1e-30))
 
 
@@ -156,16 +191,21 @@ class Model:
     def params(self) -> list[np.ndarray]:
         return [*self.gru.params(), self.class_w, self.word_w]
 
-    def log_probabilities(self, h: np.ndarray, targets: np.ndarray, class_of: np.ndarray | None = None) -> np.ndarray:
+    def most(self) -> tuple[float, list[float]]:
+        """Bounds of what goes into the softmax of the classes and into that of each class's words."""
+        return float(_most(self.class_w.T).max()), np.maximum.reduceat(_most(self.word_w), self.starts[:-1]).tolist()
+
+    def log_probabilities(self, h: np.ndarray, targets: np.ndarray, class_of: np.ndarray | None = None, most: tuple[float, list[float]] | None = None) -> np.ndarray:
         """Natural logarithms of the targets' probabilities after states ``h``."""
+        of_classes, of_words = most or self.most()
         group = (self.class_of if class_of is None else class_of)[targets]
         order, parts = _by_class(group, len(self.starts) - 1)
         h, targets = _ones(h[order]), targets[order]
-        found = _log_softmax(h, self.class_w, group[order])
+        found = _log_softmax(h, self.class_w, group[order], of_classes)
         for c, i, j in parts:
             a, b = self.starts[c], self.starts[c + 1]
             if b - a > 1:
-                found[i:j] += _log_softmax(h[i:j], self.word_w[a:b].T, targets[i:j] - a)
+                found[i:j] += _log_softmax(h[i:j], self.word_w[a:b].T, targets[i:j] - a, of_words[c])
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -173,47 +213,50 @@ class Model:
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, class_of: np.ndarray, grads: list[np.ndarray]) -> tuple[np.ndarray, float, np.ndarray, list[int]]:
         """Adds a window's gradients to ``grads``, (step, stream) symbols; ``fresh`` marks where a document starts.  Gives the states
         after it, the mean loss, the symbols read and the classes met, which all gradients of words belong to."""
-        kept, lanes = [], inputs.shape[1]
-        x = self.gru.x.take(inputs.ravel(), 0)
-        hs, flat = np.empty((inputs.size, self.gru.size), np.float32), targets.ravel()
-        for t in range(len(inputs)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            h, k = self.gru.step_kept(inputs[t], h, x[t * lanes : (t + 1) * lanes])
-            kept.append(k)
-            hs[t * lanes : (t + 1) * lanes] = h
+        h, loss, read, rows, met = self.gradient_rows(inputs, targets, fresh, h, class_of, grads)
+        grads[0][read] += rows
+        return h, loss, read, met
+
+    def gradient_rows(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, class_of: np.ndarray, grads: list[np.ndarray]) -> tuple[np.ndarray, float, np.ndarray, np.ndarray, list[int]]:
+        """``gradients``, but those of the symbols' rows are given with the symbols read and not added."""
+        hs, kept = self.gru.window(inputs, fresh, h)
+        h, flat = np.ascontiguousarray(hs[-1].T), targets.ravel()
+        hs = hs.transpose(0, 2, 1).reshape(-1, self.gru.size)
         rows = np.flatnonzero(flat >= 0)
         share = np.float32(1 / max(1, len(rows)))
         group = class_of[flat[rows]]
         order, parts = _by_class(group, len(self.starts) - 1)
         rows, group = rows[order], group[order]
         seen, wanted = _ones(hs[rows]), flat[rows]
-        p, loss = _softmax_loss(seen, self.class_w, group, share)
-        grads[3] += seen.T @ p
+        of_classes, of_words = self.most()
+        p, factor, loss = _softmax_loss(seen, self.class_w, group, share, of_classes)
+        grads[3] += (seen * factor).T @ p
         back = p @ self.class_w[:-1].T
+        back *= factor
         met = []
         for c, i, j in parts:
             a, b = self.starts[c], self.starts[c + 1]
             if b - a == 1:
                 continue
             some, own = seen[i:j], self.word_w[a:b]
-            p, one = _softmax_loss(some, own.T, wanted[i:j] - a, share)
+            p, factor, one = _softmax_loss(some, own.T, wanted[i:j] - a, share, of_words[c])
             loss += one
-            grads[4][a:b] += p.T @ some
-            back[i:j] += p @ own[:, :-1]
+            grads[4][a:b] += p.T @ (some * factor)
+            one_back = p @ own[:, :-1]
+            one_back *= factor
+            back[i:j] += one_back
             met.append(c)
         dh = np.zeros_like(hs)
         dh[rows] = back
-        dh = dh.reshape(len(inputs), -1, self.gru.size)
-        back, d = np.zeros_like(dh[0]), x  # the gradients of the rows take the rows' place
-        for t in range(len(inputs) - 1, -1, -1):
-            back, _ = self.gru.back_rows(kept[t], back + dh[t], grads[1], grads[2], d[t * lanes : (t + 1) * lanes])
-            back[fresh[t]] = 0
+        dh = np.ascontiguousarray(dh.reshape(len(inputs), -1, self.gru.size).transpose(0, 2, 1))
+        d = self.gru.back_window(kept, fresh, dh, grads[1], grads[2])
         # Rows of one symbol are summed together.
         symbols = inputs.ravel()
-        order = np.argsort(symbols, kind="stable")
-        read, first = np.unique(symbols[order], return_index=True)
-        grads[0][read] += np.add.reduceat(d[order], first, 0)
-        return h, float(loss * share), read, met
+        order = _order(symbols, len(self.gru.x))
+        times = np.bincount(symbols, minlength=len(self.gru.x))
+        read = np.flatnonzero(times)
+        times = times[read]
+        return h, float(loss * share), read, np.ascontiguousarray(np.add.reduceat(d.take(order, 1), np.cumsum(times) - times, 1).T), met
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
         """Base-10 logarithm of each document's probability, its end included; documents are arrays of word ids."""
@@ -237,18 +280,20 @@ class Model:
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # documents longer than t steps
         h = np.zeros((len(documents), self.gru.size), np.float32)
         before = np.full(len(documents), self.start, np.int32)
-        states, targets, owner, held, class_of, step = [], [], [], 0, self.class_of, self.gru.stepper()
+        states, targets, owner, held, class_of, most, step = [], [], [], 0, self.class_of, self.most(), self.gru.stepper()
+        places = np.arange(len(documents))
         for t in range(int(lengths[0])):
             n = int(active[t])
             h = step(before[:n], h[:n])
             before = flat[first[:n] + t]
             states.append(h)
             targets.append(before)
-            owner.append(index[:n])
+            owner.append(places[:n])
             held += n
             if held >= 32_768 or len(states) >= SCORE_WINDOW and held >= 4096 or t == lengths[0] - 1:
-                got = self.log_probabilities(np.concatenate(states), np.concatenate(targets), class_of)
-                np.add.at(out, np.concatenate(owner), got)
+                got = self.log_probabilities(np.concatenate(states), np.concatenate(targets), class_of, most)
+                sums = np.bincount(np.concatenate(owner), got)
+                out[index[: len(sums)]] += sums
                 states, targets, owner, held = [], [], [], 0
 
 
@@ -262,23 +307,35 @@ class Learner:
         self.grads, self.m, self.v = ([np.zeros_like(p) for p in self.params] for _ in range(3))
 
     def step(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, clip: float = 5.0) -> tuple[np.ndarray, float]:
-        h, loss, read, met = self.model.gradients(inputs, targets, fresh, h, self.class_of, self.grads)
+        h, loss, read, rows, met = self.model.gradient_rows(inputs, targets, fresh, h, self.class_of, self.grads)
         starts, whole = self.model.starts, slice(None)
         runs = np.split(np.array(met, int), np.flatnonzero(np.diff(met) != 1) + 1) if met else []  # classes that follow each other go together
-        touched = [(0, read), (1, whole), (2, whole), (3, whole), *((4, slice(starts[r[0]], starts[r[-1] + 1])) for r in runs)]
-        norm = math.sqrt(sum(float(np.square(self.grads[k][at]).sum()) for k, at in touched))
+        touched = [(0, read, rows), *((k, at, self.grads[k][at]) for k, at in ((1, whole), (2, whole), (3, whole), *((4, slice(starts[r[0]], starts[r[-1] + 1])) for r in runs)))]
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for _, _, g in touched))
         scale = np.float32(min(1.0, clip / (norm + 1e-9)))
         self.t += 1
         rate = np.float32(self.rate / (1 - 0.9**self.t))
         root = np.float32(1 / math.sqrt(1 - 0.99**self.t))
-        for k, at in touched:
-            g = self.grads[k][at] * scale
-            self.grads[k][at] = 0
-            m, v = self.m[k][at], self.v[k][at]
-            m = m + np.float32(0.1) * (g - m)
-            v = v + np.float32(0.01) * (g * g - v)
-            self.m[k][at], self.v[k][at] = m, v
-            self.params[k][at] -= rate * m / (np.sqrt(v) * root + np.float32(1e-8))
+        for k, at, g in touched:
+            m, v = self.m[k][at], self.v[k][at]  # a slice's are changed in their place
+            g *= scale
+            some = g - m
+            some *= np.float32(0.1)
+            m += some
+            np.multiply(g, g, out=some)
+            some -= v
+            some *= np.float32(0.01)
+            v += some
+            np.sqrt(v, out=some)
+            some *= root
+            some += np.float32(1e-8)
+            np.divide(m, some, out=some)
+            some *= rate
+            self.params[k][at] -= some
+            if k:
+                g[...] = 0
+            else:
+                self.m[k][at], self.v[k][at] = m, v
         return h, loss
 
 
@@ -371,17 +428,10 @@ def learn_all(known: DataFrame, model: Model, words: list[bytes]) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, first = sent.value
-        ids = _Ids(zip(words, range(len(words)), strict=True))
-        own = copy.deepcopy(first)
-
-        def documents() -> Iterator[np.ndarray]:
-            for batch in batches:
-                for x in batch.column(0):
-                    a = _encode(x.as_py(), ids)
-                    yield np.where(a < 0, own.unknown, a)
-
+        known, own = pa.array(words, pa.binary()), copy.deepcopy(first)
+        documents = (d for batch in batches for d in _encoded(batch.column(0), known, own.unknown))
         own_group = TaskContext.get().partitionId() // SUMMED
-        read, met = learn_on(own, documents())
+        read, met = learn_on(own, documents)
         if not read.any():
             return
         changes = [((p.astype(float) - q) * w).ravel() for p, q, w in zip(own.params(), first.params(), _weights(own, read, met), strict=True)]
@@ -418,19 +468,10 @@ def learn_all(known: DataFrame, model: Model, words: list[bytes]) -> None:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-
     for batch in batches:
-        for x in batch.column(0):
-            held.update(lm_words(x.as_py()))
-            if len(held) > 300_000:
-                yield out()
-                held.clear()
-    if held:
-        yield out()
+        for piece in _pieces(batch.column(0)):
+            counted = lm_words(piece)[0].value_counts()
+            yield pa.RecordBatch.from_arrays(counted.flatten(), names=["word", "n"])
 
 
 @dataclass
@@ -485,14 +526,13 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: in
     trained = Trained(counts, documents, int(sums[0]) + documents, int(sums[1]) + (documents > 0), words, numbers, beyond, beyond_distinct, None)
     if not documents:
         return trained
-    ids = _Ids(zip(words[:size], range(size), strict=True))
     # The sample: distinct ids by digest, of their texts those that are not long, as many as make up the tokens.
     chosen = known.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(19), "doc_id"), "doc_id").limit(rows)
     chosen = df.sparkSession.createDataFrame(chosen.toArrow())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.where((a := _encode(x.as_py(), ids)) < 0, size + 1, a) for x in batch.column(1)]
+            out = list(_encoded(batch.column(1), pa.array(words[:size], pa.binary()), size + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), pa.array([len(x) + 1 for x in out], pa.int64())], names=["place", "ids", "size"])
 
     placed = known.join(F.broadcast(chosen), "doc_id").select(F.xxhash64(F.lit(23), "doc_id", "body").alias("place"), "body")
@@ -508,9 +548,21 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: in
     return trained
 
 
-def _encode(text: str | None, ids: _Ids) -> np.ndarray:
-    words = lm_words(text)
-    return np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The sum of the values between each two bounds."""
+    out, some = np.zeros(len(bounds) - 1, values.dtype), np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some] = np.add.reduceat(values, bounds[some])
+    return out
+
+
+def _times(words: pa.Array, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words between each two bounds, the bounds of those, and how often each occurs."""
+    coded = words.dictionary_encode()
+    most = max(1, len(coded.dictionary))
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    pairs, times = np.unique(text * most + coded.indices.to_numpy(), return_counts=True)
+    return coded.dictionary.take(pa.array(pairs % most)), np.searchsorted(pairs, np.arange(len(bounds)) * most), times
 
 
 def score(df: DataFrame, trained: Trained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -527,37 +579,35 @@ def score(df: DataFrame, trained: Trained, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, logs, model = sent.value
-        ids = _Ids(zip(hot, range(len(hot)), strict=True))
+        hot = pa.array(hot, pa.binary())
         logs = np.append(logs, 0.0)  # of words that are not hot
         size = model.words if model else 0
         for batch in batches:
-            coded, rare_words, rare_counts, n, known, base, beyond = [], [], [], [], [], [], []
-            for x in batch.column(1):
-                words = lm_words(x.as_py())
-                a = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-                rare = Counter(words[i] for i in np.flatnonzero(a < 0))
-                out = (a < 0) | (a >= size)
-                n.append(len(a) + 1)
-                known.append(int((a >= 0).sum()) + (end > 0))
-                base.append(float(logs[a].sum() + np.log10(end + 1)))
-                beyond.append((int(out.sum()), float(logs[a[out]].sum())))
-                rare_words.append(list(rare.keys()))
-                rare_counts.append(list(rare.values()))
+            coded, made = [], []
+            for piece in _pieces(batch.column(1)):
+                words, bounds = lm_words(piece)
+                a = _ids(words, hot)
+                cold = np.flatnonzero(a < 0)
+                out, value = (a < 0) | (a >= size), logs[a]
+                rare, ends, times = _times(words.take(pa.array(cold)), np.searchsorted(cold, bounds))
+                n = np.diff(bounds)
+                made.append(
+                    [
+                        n + 1,
+                        n - np.diff(np.searchsorted(cold, bounds)) + (end > 0),
+                        _sums(value, bounds) + np.log10(end + 1),
+                        _sums(out.astype(np.int64), bounds),
+                        _sums(value * out, bounds),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(times, pa.int32())),
+                    ]
+                )
                 if model:
-                    coded.append(np.where(out, model.unknown, a))
-            lm = model.score(coded) if model else np.zeros(batch.num_rows)
+                    coded += np.split(np.where(out, np.int32(model.unknown), a), bounds[1:-1])
+            n, known, base, n_beyond, beyond, rare_words, rare_counts = (pa.concat_arrays([pa.array(x) for x in column]) for column in zip(*made, strict=True))
+            lm = pa.array(model.score(coded) if model else np.zeros(batch.num_rows))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n, pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(lm, pa.float64()),
-                    pa.array([b[0] for b in beyond], pa.int64()),
-                    pa.array([b[1] for b in beyond], pa.float64()),
-                    pa.array(rare_words, pa.list_(pa.binary())),
-                    pa.array(rare_counts, pa.list_(pa.int32())),
-                ],
+                [batch.column(0), n, known, base, lm, n_beyond, beyond, rare_words, rare_counts],
                 names=["doc_id", "n_tokens", "known", "base", "lm", "n_beyond", "beyond", "words", "counts"],
             )
 

@@ -1,9 +1,11 @@
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from loam.llm import lm
 from pyspark.sql import functions as F
@@ -84,6 +86,51 @@ def test_state_is_carried_through_windows_and_batches(monkeypatch):
     assert np.allclose(model.score(docs), want, rtol=1e-4)
 
 
+def test_window_against_single_steps():
+    gru, rng = small().gru, np.random.default_rng(6)
+    ids, fresh, first, d_states = rng.integers(0, 12, (7, 3)), rng.random((7, 3)) < 0.3, rng.normal(0, 1, (3, 5)).astype(np.float32), rng.normal(0, 1, (7, 3, 5)).astype(np.float32)
+    states, kept = gru.window(ids, fresh, first)
+    got = [np.zeros_like(p) for p in gru.params()]
+    rows = gru.back_window(kept, fresh, np.ascontiguousarray(d_states.transpose(0, 2, 1)), got[1], got[2])
+    np.add.at(got[0], ids.ravel(), rows.T)
+    h, single, want = first, [], [np.zeros_like(p) for p in gru.params()]
+    for t in range(7):
+        h, k = gru.step_kept(ids[t], np.where(fresh[t][:, None], np.float32(0), h))
+        assert np.allclose(states[t].T, h, atol=1e-6)
+        single.append(k)
+    back = np.zeros_like(first)
+    for t in range(6, -1, -1):
+        back = gru.back(single[t], back + d_states[t], want)
+        back[fresh[t]] = 0
+    assert all(np.allclose(g, w, atol=1e-5) for g, w in zip(got, want, strict=True))
+
+
+def test_words_of_texts():
+    texts = ["", None, " A\x0bb \x0cc\x1c\x85\xa0D ", "\t", "\u00c9A x" * 3, "one", "\r\n", "no edge", "Z" * 50 + " z"]
+    want = [[w.encode().lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    words, bounds = lm.lm_words(pa.array(["left out", *texts])[1:])
+    assert [words[i:j].to_pylist() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)] == want
+    known = sorted({w for ws in want for w in ws})[::2]
+    ids = [[known.index(w) if w in known else 99 for w in ws] for ws in want]
+    for piece in (1, 10, 1000):
+        assert pa.concat_arrays(list(lm._pieces(pa.array(texts), piece))).to_pylist() == texts
+    assert [a.tolist() for a in lm._encoded(pa.array(texts), pa.array(known), 99)] == ids
+    assert list(lm._encoded(pa.array([], pa.string()), pa.array(known), 99)) == []
+
+
+def test_words_are_counted_without_an_object_for_each():
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}" for i in range(200_000)), "w1 W2", None])], names=["body"])
+    tracemalloc.start()
+    made = list(lm._count(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = Counter()
+    for b in made:
+        found.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+    assert len(found) == 200_000 and found[b"w1"] == found[b"w2"] == 2 and found[b"w3"] == 1
+    assert most < 5_000_000
+
+
 def brute(rows):
     """(held_out, n_tokens, n_known, train_tokens, base score) of each row."""
     tokens = [[w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None] for _, t in rows]
